@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from sparloom.llm.decontamination import op4_decontamination
 from sparloom.llm.mixing import OP10_SQL, op10_mixing
 from sparloom.llm.quality_rules import OP5_SQL, op5_quality_rules
 from sparloom.llm.simhash import op8_simhash
 from sparloom.llm.url_filters import OP7_SQL, op7_url_filters
 
 QUERIES = {
+    "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op7_url_filters": op7_url_filters,
     "op8_simhash": op8_simhash,
