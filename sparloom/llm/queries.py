@@ -5,12 +5,14 @@ from __future__ import annotations
 from sparloom.llm.decontamination import op4_decontamination
 from sparloom.llm.lm_scoring import op1_lm_scoring
 from sparloom.llm.mixing import OP10_SQL, op10_mixing
+from sparloom.llm.pii import op2_pii
 from sparloom.llm.quality_rules import OP5_SQL, op5_quality_rules
 from sparloom.llm.simhash import op8_simhash
 from sparloom.llm.url_filters import OP7_SQL, op7_url_filters
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_pii": op2_pii,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op7_url_filters": op7_url_filters,
