@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sparloom.llm.decontamination import op4_decontamination
+from sparloom.llm.html_text import op9_html_extraction
 from sparloom.llm.lm_scoring import op1_lm_scoring
 from sparloom.llm.mixing import OP10_SQL, op10_mixing
 from sparloom.llm.pii import op2_pii
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op7_url_filters": op7_url_filters,
     "op8_simhash": op8_simhash,
+    "op9_html_extraction": op9_html_extraction,
     "op10_mixing": op10_mixing,
 }
 SQL = {
