@@ -44,6 +44,7 @@ MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 # HTML's block-level elements, void elements and elements with a meaning.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+LEAVES = frozenset("p li dd dt td th pre blockquote h1 h2 h3 h4 h5 h6 figcaption caption summary".split())
 OUTSIDE = frozenset("aside dialog dir fieldset footer form head header legend menu nav".split())
 INSIDE = frozenset("article main".split())
 #: An open element of these is closed by a new one of the same set.
@@ -90,7 +91,8 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                found.append(Block(text, stack[-1][1], stack[-1][0], stack[-1][2], linked))
+                holder = stack[-2] if stack[-1][0] in LEAVES else stack[-1]
+                found.append(Block(text, holder[1], stack[-1][0], stack[-1][2], linked))
             pieces, linked = [], 0
 
     def add(text: str) -> None:

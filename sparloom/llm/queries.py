@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sparloom.llm.decontamination import op4_decontamination
 from sparloom.llm.html_text import op9_html_extraction
+from sparloom.llm.license_scan import OP6_SQL, op6_license_scan
 from sparloom.llm.lm_scoring import op1_lm_scoring
 from sparloom.llm.mixing import OP10_SQL, op10_mixing
 from sparloom.llm.pii import op2_pii
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op6_license_scan": op6_license_scan,
     "op7_url_filters": op7_url_filters,
     "op8_simhash": op8_simhash,
     "op9_html_extraction": op9_html_extraction,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 SQL = {
     "op5_quality_rules": OP5_SQL,
+    "op6_license_scan": OP6_SQL,
     "op7_url_filters": OP7_SQL,
     "op10_mixing": OP10_SQL,
 }
