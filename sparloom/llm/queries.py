@@ -10,11 +10,13 @@ from sparloom.llm.mixing import OP10_SQL, op10_mixing
 from sparloom.llm.pii import op2_pii
 from sparloom.llm.quality_rules import OP5_SQL, op5_quality_rules
 from sparloom.llm.simhash import op8_simhash
+from sparloom.llm.substring_dedup import op3_substring_dedup
 from sparloom.llm.url_filters import OP7_SQL, op7_url_filters
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_pii": op2_pii,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op6_license_scan": op6_license_scan,
