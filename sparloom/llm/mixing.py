@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import materialize, words
+from sparloom.llm.common import fresh_name, materialize, words
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -47,13 +47,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return flagged.select("key", "source_size", F.when(F.col("capped"), F.col("top").cast("double")).otherwise(shared).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) for every document."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, source, size, source_size, target, copies, taken) for every document, and columns to carry."""
     source = F.col(source_col).cast("string")
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)).alias("key"), F.size(words(F.col(text_col))).cast("long").alias("size"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)).alias("key"), F.size(words(F.col(text_col))).cast("long").alias("size"), *carry)
     sized = materialize(sized, "mix-sizes")
     digits = F.col("size").cast("string")
-    keyed = sized.select("doc_id", "key", "size", F.rpad(F.substring(digits, 1, 2), F.length(digits), "0").cast("long").alias("class"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"))
+    keyed = sized.select("doc_id", "key", "size", *carry, F.rpad(F.substring(digits, 1, 2), F.length(digits), "0").cast("long").alias("class"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"))
     keyed = keyed.withColumn("salt", F.substring("h", 1, SALT_DIGITS))
     counts = keyed.groupBy("key", "class", "salt").agg(F.count("*").alias("n"))
     classes = counts.groupBy("key", "class").agg(F.sum("n").alias("n"))
@@ -69,10 +69,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     upto = lambda k: F.floor(offset + share * k.cast("double"))
     k = F.col("start") + F.col("place")
     copies = F.least(F.lit(cap).cast("long"), upto(k) - upto(k - 1))
-    out = placed.select("doc_id", F.when(F.col("key") != "1", F.expr("substring(key, 2)")).alias("source"), "size", "source_size", "target", copies.alias("copies"))
+    out = placed.select("doc_id", F.when(F.col("key") != "1", F.expr("substring(key, 2)")).alias("source"), "size", "source_size", "target", copies.alias("copies"), *carry)
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """The mix itself: each document's row once per copy, with copy (from 1), size, source_size, target and
+    taken (the words of this copy) beside its own columns, which must not have these names."""
+    row = fresh_name(docs, "_row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
+    found = mix(numbered, id_col, text_col, source_col, carry=(row,), **settings).filter("copies > 0")
+    emitted = found.select(row, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), "size", "source_size", "target", F.col("size").alias("taken"))
+    return numbered.join(emitted, row).drop(row)
+
+
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 
