@@ -2,9 +2,9 @@
 
 The gear hash runs over words: h = (h << 1) + G[word]; its bits GEAR_BITS depend on the last few words
 only, so a boundary moves with its text when something is inserted before it. Chunks are held against each
-other by digest. A run of chunks that other documents have too, with the chunks at both its ends, bounds
-every passage that could repeat there; an exact check follows inside these regions: the digests of all
-windows of ``min_words`` words. A passage is reported where such windows repeat in two documents or more.
+other by digest. A window of ``min_words`` words can only repeat if its whole chunks are repeated ones; an
+exact check follows for these windows, by their own digests. A passage is reported where windows repeat in
+two documents or more.
 
 Digests are counted without a row a chunk: tasks send sorted arrays of distinct digests to shards (by the
 digest's first bits), which keep those of several documents as sorted arrays in the shared folder; workers
@@ -40,17 +40,25 @@ MAX_CHUNK = 32
 HELD = 1 << 20
 
 
-def chunk_starts(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """First words of the chunks of some rows. A row starts a chunk; so does each word after a boundary;
-    runs of one word are cut at every word; chunks end after MAX_CHUNK words at the latest."""
+def cuts(hashes: np.ndarray) -> np.ndarray:
+    """Whether a boundary stands before each word (and after the last), by the WINDOW words before it: bits of
+    the gear hash are zero, or all of them are one word."""
     n = len(hashes)
     gear = np.zeros(n, np.uint64)
     same = np.ones(n, bool)
-    for k in range(WINDOW):
+    for k in range(min(WINDOW, n)):
         gear[k:] += hashes[: n - k] << np.uint64(k)
         same[k:] &= hashes[k:] == hashes[: n - k]
-    cut = np.zeros(n + 1, bool)
-    cut[1:] = ((gear & np.uint64(GEAR_BITS)) == 0) | same
+    out = np.zeros(n + 1, bool)
+    out[1:] = ((gear & np.uint64(GEAR_BITS)) == 0) | same
+    return out
+
+
+def chunk_starts(cut: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """First words of the chunks of some rows: a row starts a chunk, so does each word after a boundary, and
+    chunks end after MAX_CHUNK words at the latest."""
+    n = len(cut) - 1
+    cut = cut.copy()
     cut[offsets] = True
     cut[n] = False
     starts = np.flatnonzero(cut)
@@ -100,32 +108,30 @@ class Repeated:
 
 def chunk_digests(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, digest) of all chunks of some rows."""
-    starts = chunk_starts(hashes, offsets)
+    starts = chunk_starts(cuts(hashes), offsets)
     return row_of(offsets, starts), spans_hashes(hashes, starts, np.append(starts[1:], len(hashes)))
 
 
 def candidate_windows(hashes: np.ndarray, offsets: np.ndarray, chunks: Repeated, mapped: Mapped, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, digest) of the windows inside regions that repeated chunks leave possible."""
+    """(start, digest) of the windows that may repeat. Behind its first WINDOW words a window has the same
+    boundaries wherever it stands, so from the first of these on all its whole chunks must be repeated ones;
+    a window without a whole chunk (one in tens of thousands) may repeat anyway."""
     n = len(hashes)
-    starts = chunk_starts(hashes, offsets)
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    ends, row = np.append(starts[1:], n), row_of(offsets, starts)
-    yes = chunks.has(mapped, spans_hashes(hashes, starts, ends))
-    new = np.ones(len(starts), bool)
-    new[1:] = (row[1:] != row[:-1]) | ~yes[:-1]
-    last = np.ones(len(starts), bool)
-    last[:-1] = (row[1:] != row[:-1]) | ~yes[1:]
-    a, b = np.flatnonzero(yes & new), np.flatnonzero(yes & last)
-    low, high = offsets[row[a]], offsets[row[a] + 1]
-    # what stands before the run can agree as far as the chunk before it goes, and the gear's window more
-    begin = np.maximum(low, starts[np.maximum(a - 1, 0)] - WINDOW - MAX_CHUNK)
-    end = np.minimum(high, ends[np.minimum(b + 1, len(ends) - 1)] + WINDOW)
-    ok = end - begin >= width
-    inside = np.zeros(n + 1, np.int64)
-    np.add.at(inside, begin[ok], 1)
-    np.add.at(inside, end[ok] - width + 1, -1)
-    at = np.flatnonzero(np.cumsum(inside[:n]) > 0)
+    at = np.arange(max(0, n - width + 1))
+    row = row_of(offsets, at)
+    inside = at + width <= offsets[row + 1] if len(at) else np.zeros(0, bool)
+    at, row = at[inside], row[inside]
+    if not len(at):
+        return at, np.zeros(0, np.uint64)
+    cut = cuts(hashes)
+    starts = chunk_starts(cut, offsets)
+    ends = np.append(starts[1:], n)
+    fresh = np.concatenate([[0], np.cumsum(~chunks.has(mapped, spans_hashes(hashes, starts, ends)))])
+    own = np.append(np.flatnonzero(cut), n + width)
+    first = np.searchsorted(starts, own[np.searchsorted(own, at + WINDOW)])
+    last = np.searchsorted(ends, at + width, side="right")
+    last -= (at + width == offsets[row + 1]) & ~cut[at + width]  # that chunk ends with the row, not with a boundary
+    at = at[(first >= last) | (fresh[np.maximum(last, first)] == fresh[np.minimum(first, len(starts))])]
     return at, spans_hashes(hashes, at, at + width)
 
 
