@@ -63,3 +63,29 @@ def fresh_name(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base = f"_{base}"
     return base
+
+
+#: Bits of the filter of without_keys, at most: 16 MB.
+MAX_FILTER_BITS = 1 << 27
+
+
+def without_keys(df: DataFrame, key: str, gone: DataFrame, gone_key: str) -> DataFrame:
+    """``df`` without the rows whose key is in ``gone`` (null keys stay). Wide rows should not be shuffled to
+    drop a few: a bitmap of the keys' hashes, of MAX_FILTER_BITS at most and so broadcast, tells the rows that
+    may have to go, and only these are joined. A denser bitmap lets more rows into the join, which stays
+    exact."""
+    bits = 1 << 20
+    while bits < min(MAX_FILTER_BITS, 16 * gone.count()):
+        bits *= 2
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    page, place = fresh_name(df, "_page"), fresh_name(df, "_place")
+    pages = gone.select(slot(F.col(gone_key)).alias("s")).groupBy(F.shiftright("s", 15).alias(page)).agg(F.bitmap_construct_agg((F.col("s") % 32768).cast("long")).alias("_bitmap"))
+    pages = F.broadcast(materialize(pages, "bitmap"))
+    byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, F.col(place) % 8) == 1, F.lit(False))
+    at = slot(F.col(f"`{key}`"))
+    marked = df.withColumns({page: F.shiftright(at, 15), place: (at % 32768).cast("int")}).join(pages, page, "left")
+    own = [F.col(f"`{c}`") for c in df.columns]
+    target = fresh_name(df, "_gone")
+    maybe = marked.filter(hit & F.col(f"`{key}`").isNotNull()).select(*own).join(gone.select(F.col(gone_key).alias(target)), F.col(f"`{key}`") == F.col(target), "left_anti")
+    return marked.filter(~hit | F.col(f"`{key}`").isNull()).select(*own).unionAll(maybe)

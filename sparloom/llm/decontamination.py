@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparloom.llm import tokens
-from sparloom.llm.common import fresh_name, materialize
+from sparloom.llm.common import fresh_name, materialize, without_keys
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
@@ -124,7 +124,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     keyed = docs.withColumn(key, F.concat_ws("/", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), F.xxhash64(F.col(f"`{text_col}`"))))
     found = contaminated(keyed, benchmark, key, text_col, **settings).select(F.col("doc_id").alias(mark)).distinct()
     found = materialize(found, "contaminated")
-    return keyed.join(found, F.col(key) == F.col(mark), "left_anti").drop(key)
+    return without_keys(keyed, key, found, mark).drop(key)
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

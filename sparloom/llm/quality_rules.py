@@ -101,7 +101,7 @@ def keep_documents(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     measured = materialize(docs.withColumn(m, measures(F.col(text_col))), "quality-docs")
     own = rules(F.col(m))
     verdicts = host_verdicts(measured.select(F.col(host_col).cast("string").alias("host"), *[x.alias(r) for r, x in own.items()]), max_rate)
-    ok = verdicts.filter("host_ok").select(F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias(h))
+    ok = materialize(verdicts.filter("host_ok").select(F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias(h)), "quality-hosts")
     passed = measured.filter(~(own["short"] | own["repeats"] | own["symbols"] | own["lines"] | own["shout"]))
     return passed.withColumn(h, F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit(""))).join(ok, h, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 

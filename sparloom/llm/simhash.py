@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import materialize
+from sparloom.llm.common import materialize, without_keys
 from sparloom.llm.components import components
 
 SHINGLE = 3
@@ -119,11 +119,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """``docs`` with one document, that of the smallest id, of each group; all columns stay. Of rows with one
     id, one stays; rows without an id stay."""
     found = materialize(near_duplicates(docs, id_col, text_col, **settings).filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id")), "simhash-classes")
-    gone = found.filter("n > 1 or doc_id <> component_id").select("doc_id")
-    once = found.filter("n > 1 and doc_id = component_id").select("doc_id")
-    ids = lambda x: x.withColumnRenamed("doc_id", "__kept_id")
-    match = F.col(f"`{id_col}`") == F.col("__kept_id")
-    return docs.join(ids(gone), match, "left_anti").union(docs.join(ids(once), match, "left_semi").dropDuplicates([id_col]))
+    gone = materialize(found.filter("n > 1 or doc_id <> component_id").select("doc_id"), "simhash-gone")
+    once = found.filter("n > 1 and doc_id = component_id").select(F.col("doc_id").alias("__kept_id"))
+    one = docs.join(materialize(once, "simhash-once"), F.col(f"`{id_col}`") == F.col("__kept_id"), "left_semi").dropDuplicates([id_col])
+    return without_keys(docs, id_col, gone, "doc_id").unionAll(one)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
