@@ -26,7 +26,8 @@ def review_confidence(c: Column) -> Column:
     """Confidence of a review, between 0 and 1: words, numbers also as text; anything else is 0.75."""
     text = F.replace(F.lower(clean(c)), F.lit("_"), F.lit(" "))
     word = F.coalesce(*[F.when(text == w, F.lit(v)) for w, v in V.CONFIDENCE_WORDS.items()])
-    return F.coalesce(word, F.greatest(F.lit(0.0), F.least(F.lit(1.0), text.try_cast("double"))), F.lit(0.75))
+    number = text.try_cast("double")
+    return F.coalesce(word, F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))), F.lit(0.75))
 
 
 def confidence_label(c: Column) -> Column:

@@ -19,6 +19,12 @@ def fetch_url(location: str, page: int, limit: int) -> str:
         return answer.read().decode()
 
 
+def read_file(location: str, page: int, limit: int) -> str:
+    """The text of a page kept as a file, <location>/<page>.json, on a mounted folder."""
+    with open(f"{location}/{page}.json", encoding="utf-8") as f:
+        return f.read()
+
+
 def posts_of(text: str) -> list[dict]:
     """Posts of an answer: a list, {"post": [...]}, {"posts": [...]} or one post; anything else is none."""
     data = json.loads(text) if text.strip() else []
