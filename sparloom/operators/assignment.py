@@ -1,12 +1,12 @@
 """One-to-one matching of predicted and gold elements within a sample: optimal and greedy. A sample's elements
-are a handful, so a group is one small matrix."""
+are a handful, so each is one small matrix."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,25 +57,45 @@ def vector_similarity(a, b) -> float:
     return float(a @ b / size) if size else 0.0
 
 
-def similar(a: pd.DataFrame, b: pd.DataFrame, field: str, by: Callable = char_similarity) -> np.ndarray:
-    return np.array([[by(x, y) for y in b[field]] for x in a[field]]).reshape(len(a), len(b))
+def similar(a: list, b: list, by: Callable = char_similarity) -> np.ndarray:
+    return np.array([[by(x, y) for y in b] for x in a]).reshape(len(a), len(b))
 
 
-PAIRS = "pred_index int, gold_index int, similarity double, match_quality string"
+def _by_sample(pred: DataFrame, gold: DataFrame, key: str, pred_fields: list[str], gold_fields: list[str]) -> DataFrame:
+    """(key, p, g): both sides' elements of a sample as arrays in order. Lists of a handful of elements are one
+    row, so that a task works through many samples in one Arrow batch instead of one call a sample."""
+    listed = lambda d, fields, name: d.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    return listed(pred, pred_fields, "p").join(listed(gold, gold_fields, "g"), key)
+
+
+def _solved(pairs: DataFrame, key: str, kind: str, solve: Callable[[list, list], list[tuple]], columns: dict[str, pa.DataType]) -> DataFrame:
+    """Rows (key, columns) that ``solve`` gives for the arrays of each sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for k, (p, g) in enumerate(zip(batch.column("p").to_pylist(), batch.column("g").to_pylist(), strict=True)):
+                found = solve(p, g)
+                at += [k] * len(found)
+                rows += found
+            made = [pa.array([r[c] for r in rows], t) for c, t in enumerate(columns.values())]
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at, pa.int64())), *made], names=[key, *columns])
+
+    names = {pa.int32(): "int", pa.float64(): "double", pa.string(): "string"}
+    return pairs.mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{c} {names[t]}" for c, t in columns.items()))
 
 
 def optimal(pred: DataFrame, gold: DataFrame, key: str, text: str = "text", vectors: bool = False, accept: float = ACCEPT) -> DataFrame:
     """(key, pred_index, gold_index, similarity, match_quality): the assignment of each sample with the largest
     total similarity, as far as a pair reaches ``accept``. Both sides: key, index and ``text`` (or a vector)."""
+    by = vector_similarity if vectors else char_similarity
 
-    def solve(k: tuple, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        p, g = p.sort_values("index"), g.sort_values("index")
-        gain = similar(p, g, text, vector_similarity if vectors else char_similarity)
-        rows = [(k[0], p["index"].iloc[i], g["index"].iloc[j], gain[i, j], "good" if gain[i, j] >= GOOD else "weak") for i, j in (best_assignment(gain) if gain.size else []) if gain[i, j] >= accept]
-        return pd.DataFrame(rows, columns=[key, "pred_index", "gold_index", "similarity", "match_quality"])
+    def solve(p: list, g: list) -> list[tuple]:
+        gain = similar([x[text] for x in p], [x[text] for x in g], by)
+        return [(p[i]["index"], g[j]["index"], float(gain[i, j]), "good" if gain[i, j] >= GOOD else "weak") for i, j in best_assignment(gain) if gain[i, j] >= accept]
 
-    schema = f"{key} {gold.schema[key].dataType.simpleString()}, {PAIRS}"
-    return pred.select(key, "index", text).groupBy(key).cogroup(gold.select(key, "index", text).groupBy(key)).applyInPandas(solve, schema)
+    pairs = _by_sample(pred, gold, key, ["index", text], ["index", text])
+    return _solved(pairs, key, gold.schema[key].dataType.simpleString(), solve, {"pred_index": pa.int32(), "gold_index": pa.int32(), "similarity": pa.float64(), "match_quality": pa.string()})
 
 
 def expand_compounds(gold: DataFrame, halves_differ) -> DataFrame:
@@ -94,22 +114,22 @@ def greedy(pred: DataFrame, gold: DataFrame, key: str, name: str = "name", text:
     expand_compounds; without parts, -1)."""
     gold = gold if "part" in gold.columns else gold.withColumn("part", F.lit(-1))
 
-    def solve(k: tuple, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        p, g = p.sort_values("index"), g.sort_values(["index", "part"])
-        by = vector_similarity if vectors else char_similarity
-        gain = W_NAME * similar(p, g, name, by) + W_TEXT * similar(p, g, text, by)
+    by = vector_similarity if vectors else char_similarity
+
+    def solve(p: list, g: list) -> list[tuple]:
+        gain = W_NAME * similar([x[name] for x in p], [x[name] for x in g], by) + W_TEXT * similar([x[text] for x in p], [x[text] for x in g], by)
         free, rows = np.ones(len(g), bool), []
         for i in range(len(p)):
-            left = np.where(free, gain[i], 0.0) if len(g) else np.zeros(0)
-            if len(left) and left.max() > 0 and left.max() >= accept:
-                j = int(left.argmax())
+            left = np.where(free, gain[i], 0.0)
+            j = int(left.argmax())
+            if left[j] > 0 and left[j] >= accept:
                 free[j] = False
-                rows.append((k[0], p["index"].iloc[i], g["index"].iloc[j], g["part"].iloc[j], gain[i, j]))
-        return pd.DataFrame(rows, columns=[key, "pred_index", "gold_index", "part", "similarity"])
+                rows.append((p[i]["index"], g[j]["index"], g[j]["part"], float(gain[i, j])))
+        return rows
 
-    columns = list(dict.fromkeys([key, "index", name, text]))
-    schema = f"{key} {gold.schema[key].dataType.simpleString()}, pred_index int, gold_index int, part int, similarity double"
-    return pred.select(*columns).groupBy(key).cogroup(gold.select(*columns, "part").groupBy(key)).applyInPandas(solve, schema)
+    fields = list(dict.fromkeys(["index", name, text]))
+    pairs = _by_sample(pred, gold, key, fields, list(dict.fromkeys(["index", "part", name, text])))
+    return _solved(pairs, key, gold.schema[key].dataType.simpleString(), solve, {"pred_index": pa.int32(), "gold_index": pa.int32(), "part": pa.int32(), "similarity": pa.float64()})
 
 
 def evaluate(matches: DataFrame, pred: DataFrame, gold: DataFrame, key: str) -> DataFrame:
