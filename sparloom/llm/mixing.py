@@ -24,6 +24,8 @@ CAP = 3
 SEED = "mix-1"
 #: Hex digits of the order hash that split one size class of a source into windows: 4096 of them.
 SALT_DIGITS = 3
+#: Of these, the digits of the level above.
+HALF_DIGITS = 2
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -55,12 +57,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     digits = F.col("size").cast("string")
     keyed = sized.select("doc_id", "key", "size", *carry, F.rpad(F.substring(digits, 1, 2), F.length(digits), "0").cast("long").alias("class"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"))
     keyed = keyed.withColumn("salt", F.substring("h", 1, SALT_DIGITS))
-    counts = keyed.groupBy("key", "class", "salt").agg(F.count("*").alias("n"))
-    classes = counts.groupBy("key", "class").agg(F.sum("n").alias("n"))
-    earlier = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    class_start = classes.select("key", "class", F.coalesce(F.sum("n").over(earlier(["key"], "class")), F.lit(0)).alias("class_start"))
-    salt_start = counts.select("key", "class", "salt", F.coalesce(F.sum("n").over(earlier(["key", "class"], "salt")), F.lit(0)).alias("salt_start"))
-    start = salt_start.join(class_start, ["key", "class"]).select("key", "class", "salt", (F.col("class_start") + F.col("salt_start")).alias("start"))
+    groups = ["key", "class", "half", "salt"]
+    counts = keyed.withColumn("half", F.substring("salt", 1, HALF_DIGITS)).groupBy(*groups).agg(F.count("*").alias("n"))
+    start = counts.select(*groups, F.lit(0).cast("long").alias("start"))
+    # the rows before a group: those of earlier groups of its parent, level by level, each of a few hundred rows at most
+    for depth in range(len(groups), 1, -1):
+        level = counts.groupBy(*groups[:depth]).agg(F.sum("n").alias("n"))
+        before = Window.partitionBy(*groups[: depth - 1]).orderBy(groups[depth - 1]).rowsBetween(Window.unboundedPreceding, -1)
+        level = level.select(*groups[:depth], F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        start = start.join(level, groups[:depth]).select(*groups, (F.col("start") + F.col("before")).alias("start"))
+    start = start.drop("half")
     targets = source_targets(sized.select("key", "size"), weights, cap)
     place = F.row_number().over(Window.partitionBy("key", "class", "salt").orderBy("h", "size", "doc_id"))
     placed = keyed.withColumn("place", place).join(start, ["key", "class", "salt"]).join(targets, "key")
