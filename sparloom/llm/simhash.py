@@ -32,6 +32,8 @@ SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
 SEGMENT_BITS = 32
+#: Bytes of keys that one task makes of fingerprints.
+KEY_BYTES = 64 << 20
 #: Words of one text that are hashed at a time.
 BLOCK = 1 << 15
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -85,7 +87,10 @@ def link(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     the smallest ``b`` of its component. Links: ``max_bits`` (at most 3) or fewer differing bits."""
     if not 0 <= max_bits <= 3:
         raise ValueError("two segments find at most three differing bits")
-    keyed = fps.select("fp", F.explode(_variants()).alias("key"))
+    # a few bytes a fingerprint become 64 keys: as many tasks as keep each one's keys near KEY_BYTES
+    fps = materialize(fps.select("fp"), "simhash-fps")
+    tasks = max(fps.sparkSession.sparkContext.defaultParallelism, fps.count() * 64 * 24 // KEY_BYTES + 1)
+    keyed = fps.repartition(tasks).select("fp", F.explode(_variants()).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("fp").alias("rep"), F.max("fp").alias("top")).filter("rep <> top").drop("top")
     met = materialize(keyed.join(shared, "key"), "simhash-buckets")
     ties = met.filter((F.col("fp") != F.col("rep")) & (_apart("fp", "rep") <= max_bits)).select(F.col("fp").alias("a"), F.col("rep").alias("b"))
@@ -110,7 +115,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
     linked = link(firsts.select("fp"), max_bits)
     rooted = materialize(firsts.join(linked, F.col("fp") == F.col("a"), "left").select("fp", "first", F.coalesce("b", "fp").alias("root")), "simhash-roots")
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-names")
     classes = rooted.join(named, "root").select("fp", "component_id")
     return own.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
