@@ -225,7 +225,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     windows = repeated(texts, windows_of, folder, "windows")
     kind = own.schema["doc_id"].dataType.simpleString()
     spans = materialize(own.mapInArrow(lambda it: _spans(it, chunks, windows, min_words), f"doc_id {kind}, start_word long, end_word long, passage long"), "spans")
-    named = spans.groupBy("passage").agg(F.count("*").alias("n_spans"), F.min("doc_id").alias("first_doc_id"))
+    named = materialize(spans.groupBy("passage").agg(F.count("*").alias("n_spans"), F.min("doc_id").alias("first_doc_id")), "span-names")
     return spans.join(named, "passage").select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.lower(F.lpad(F.hex("passage"), 16, "0")).alias("passage"), "n_spans", "first_doc_id")
 
 
