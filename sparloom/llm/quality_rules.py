@@ -88,7 +88,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     m = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), measures(F.col(text_col)).alias("m"))
     flat = materialize(m.select("doc_id", "host", "m.*"), "quality-measures")
     flags = flat.select("*", *[x.alias(r) for r, x in rules({c: F.col(c) for c in flat.columns}).items()])
-    verdicts = host_verdicts(flags.select("host", *RULES), max_rate)
+    verdicts = materialize(host_verdicts(flags.select("host", *RULES), max_rate), "quality-hosts")
     failed = F.col("short") | F.col("repeats")
     bad = failed | F.col("symbols") | F.col("lines") | F.col("shout")
     joined = flags.withColumn("h", F.coalesce(F.concat(F.lit("="), "host"), F.lit(""))).join(verdicts.withColumn("h", F.coalesce(F.concat(F.lit("="), "host"), F.lit(""))).drop("host"), "h")
