@@ -1,17 +1,5 @@
-import re
-
 import pytest
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def low(text):
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-
-
-def words(text):
-    return WORD.findall(low(text))
-
 
 @pytest.fixture(scope="session")
 def documents(spark, sf):

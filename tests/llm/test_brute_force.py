@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from conftest import low, words
+from llm_helpers import low, words
 from sparloom.llm import components, decontamination, html_text, lm_scoring, mixing, pii, simhash, substring_dedup
 
 

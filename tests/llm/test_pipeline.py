@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from conftest import low, words
+from llm_helpers import low, words
 from test_brute_force import fingerprint, smallest, spans
 
 from sparloom.llm.common import materialize
