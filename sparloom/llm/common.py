@@ -57,6 +57,11 @@ def count_chars(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
 
 
+def hashed_share(h: Column, share: float) -> Column:
+    """Whether a row with this 64-bit hash belongs to a sample of about ``share`` of all hashes."""
+    return F.pmod(h, F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

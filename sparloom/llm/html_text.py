@@ -6,8 +6,8 @@ cost of calling it content or boilerplate: the capacities to the two terminals.
 in the page, and between blocks of the same parent, are the price of a change of label. The minimum cut,
 by maximum flow, separates content from boilerplate.
 
-The classifier is trained here, on at most SAMPLE pages (in the order of a hash of the page), from blocks
-whose ancestors tell what they are. The rest is a map over pages: no shuffle, one page in memory at a time.
+The classifier is trained here, on at most SAMPLE distinct pages (by a hash of the page), from blocks whose
+ancestors tell what they are. The rest is a map over pages: no shuffle, one page in memory at a time.
 
 Defined results: null and empty pages give empty text; null and repeated ids are rows of their own;
 unclosed tags, comments and scripts end with the page; an empty table gives an empty result; other columns
@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparloom.llm.common import hashed_share
+
 #: Pages that the classifier is trained on, at most.
 SAMPLE = 2_000
 #: Cost of a label that the ancestors speak against, and of a change of label between neighbours in the
@@ -258,9 +260,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> dict[str, float]:
     """The classifier's log odds from at most ``sample`` pages."""
-    some = pages.select(F.col(html_col).cast("string").alias("html"), F.xxhash64(html_col).alias("h")).filter("html is not null")
-    picked = some.orderBy("h", "html").limit(sample) if sample else some
-    counted = picked.select("html").repartition(picked.sparkSession.sparkContext.defaultParallelism).mapInArrow(_count, "feature string, label int, n long")
+    some = pages.select(F.col(html_col).cast("string").alias("html")).filter("html is not null").withColumn("h", F.xxhash64("html"))
+    picked = some.filter(hashed_share(F.col("h"), 0.9 * sample / max(1, some.count()))).dropDuplicates(["h"]).limit(sample)
+    counted = picked.select("html").mapInArrow(_count, "feature string, label int, n long")
     return weights({(r["feature"], r["label"]): r["n"] for r in counted.groupBy("feature", "label").agg(F.sum("n").alias("n")).collect()})
 
 
