@@ -79,9 +79,9 @@ def event_bag_rows(spark, sf_dir):
 
 
 @query("""
-SELECT tp, fp, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2.0 * tp / (2 * tp + fp + fn) AS f1 FROM (
-  SELECT count_if(n_chars >= 200 AND quality = 1) AS tp, count_if(n_chars >= 200 AND quality = 0) AS fp,
-    count_if(n_chars < 200 AND quality = 1) AS fn FROM documents JOIN labels USING (doc_id))
+SELECT *, 2 * precision * recall / (precision + recall) AS f1 FROM (SELECT tp, fp, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall FROM (
+  SELECT CAST(count_if(n_chars >= 200 AND quality = 1) AS BIGINT) AS tp, CAST(count_if(n_chars >= 200 AND quality = 0) AS BIGINT) AS fp,
+    CAST(count_if(n_chars < 200 AND quality = 1) AS BIGINT) AS fn FROM documents JOIN labels USING (doc_id)))
 """)
 def binary_pred_metrics(spark, sf_dir):
     """A length rule as prediction of quality."""
@@ -115,7 +115,7 @@ WITH {LINES},
 v AS (SELECT l_returnflag, 'front' AS view, front AS s, confidence FROM lines UNION ALL SELECT l_returnflag, 'side', side, confidence FROM lines
   UNION ALL SELECT l_returnflag, 'back', back, confidence FROM lines)
 SELECT l_returnflag AS category, view, s AS issue_type, substr(s, 7) AS attribute, count(*) AS n,
-  round(sum(CASE confidence WHEN 'high' THEN 0.95 ELSE 1.0 END), 6) AS confidence
+  round(sum(CAST(CASE confidence WHEN 'high' THEN 0.95 ELSE 1.0 END AS DOUBLE)), 6) AS confidence
 FROM v WHERE s IN ('wrong color', 'wrong material', 'wrong shape') GROUP BY ALL
 """)
 def view_unpivot_events(spark, sf_dir):
@@ -192,7 +192,7 @@ def row_quality_report(spark, sf_dir):
     return quality.judged(e, issues, warnings).select("event_id", "qc_status", "issues", "warnings")
 
 
-@query("SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer QUALIFY rank <= 5")
+@query("SELECT c_nationkey, c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS INTEGER) AS rank FROM customer QUALIFY rank <= 5")
 def top_k_by_group(spark, sf_dir):
     """The five customers of each nation with the most money."""
     c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_acctbal")
@@ -421,7 +421,7 @@ WITH e AS (SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS wrong, CASE WH
   count_if(l_returnflag = 'R') OVER (PARTITION BY l_orderkey) AS n, count_if(l_returnflag = 'R') OVER (PARTITION BY l_orderkey, l_linenumber) AS own
   FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1),
 m AS (SELECT o_orderkey, 1 + o_orderkey % 5 AS target, CASE WHEN o_custkey % 2 = 0 THEN 'color' ELSE 'shape' END AS expected FROM orders)
-SELECT expected AS expected_issue_type, count(*) AS total, count_if(coalesce(wrong, false)) AS caught, count_if(coalesce(wrong AND issue = expected, false)) AS issue_matched,
+SELECT expected AS expected_issue_type, count(*) AS total, CAST(count_if(coalesce(wrong, false)) AS BIGINT) AS caught, CAST(count_if(coalesce(wrong AND issue = expected, false)) AS BIGINT) AS issue_matched,
   CAST(sum(CASE WHEN l_linenumber IS NULL THEN 0 ELSE n - own END) AS BIGINT) AS extra_wrong
 FROM m LEFT JOIN e ON l_orderkey = o_orderkey AND l_linenumber = target GROUP BY ALL
 """)
@@ -480,12 +480,12 @@ def signature_groups(spark, sf_dir):
     return duplicates.signature_groups(d, "nation", "n_name", "s_suppkey", "s_suppkey")
 
 
-@query("SELECT l_orderkey, count_if(l_returnflag = 'R') AS returned, count_if(l_discount > 0.05) AS discounted, count(*) AS lines FROM lineitem GROUP BY ALL")
+@query("SELECT l_orderkey, CAST(count_if(l_returnflag = 'R') AS BIGINT) AS returned, CAST(count_if(l_discount > 0.05) AS BIGINT) AS discounted, count(*) AS lines FROM lineitem GROUP BY ALL")
 def conditional_counts(spark, sf_dir):
     return basics.count_where(table(spark, sf_dir, "lineitem"), ["l_orderkey"], returned=F.col("l_returnflag") == "R", discounted=F.col("l_discount") > 0.05, lines=F.lit(True))
 
 
-@query("SELECT n_nationkey, count(c_custkey) AS customers, count_if(c_acctbal < 0) AS in_debt FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
+@query("SELECT n_nationkey, count(c_custkey) AS customers, CAST(count_if(c_acctbal < 0) AS BIGINT) AS in_debt FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
 def dimension_summary(spark, sf_dir):
     """Customers of every nation, also of those without any."""
     c = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
