@@ -118,3 +118,8 @@ def column_number(cell: Column) -> Column:
     """Zero-based column of a cell reference such as AB12."""
     letters = F.regexp_replace(F.upper(cell), "[^A-Z]", "")
     return F.aggregate(F.filter(F.split(letters, ""), lambda c: c != ""), F.lit(0), lambda n, c: n * 26 + F.ascii(c) - 64) - 1
+
+
+def position_value(c: Column) -> Column:
+    """Left and right stay as they are written: a viewer's side is not turned into the figure's."""
+    return c
