@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import materialize, without_keys
+from sparloom.llm import similar_sets
+from sparloom.llm.common import fresh_name, materialize, without_keys
 from sparloom.llm.components import components
 
 SHINGLE = 3
@@ -130,5 +131,26 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     return without_keys(docs, id_col, gone, "doc_id").unionAll(one)
 
 
+def _first_rows(docs: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of ``found`` (key, doc_id, root): that of the smallest id, ids that
+    are null last."""
+    found = materialize(found.groupBy("root", "key").agg(F.count("*").alias("n"), F.first("doc_id").alias("doc_id")), "classes")
+    firsts = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"].alias("first"))
+    told = materialize(found.join(firsts, "root").select("key", "n", (F.col("key") == F.col("first")).alias("kept")), "classes-told")
+    gone = told.filter("n > 1 or not kept").select(F.col("key").alias("__gone_key"))
+    once = materialize(told.filter("n > 1 and kept").select(F.col("key").alias("__kept_key")), "classes-once")
+    one = docs.join(once, F.col(key) == F.col("__kept_key"), "left_semi").dropDuplicates([key])
+    return without_keys(docs, key, gone, "__gone_key").unionAll(one)
+
+
+def keep_similar_once(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = similar_sets.SHINGLE, similarity: float = similar_sets.SIMILARITY) -> DataFrame:
+    """``docs`` with one row, that of the smallest id, of each group that is linked by a Jaccard similarity of
+    ``size``-word shingles of ``similarity`` or more; all columns stay."""
+    key = fresh_name(docs, "_row_key")
+    keyed = docs.withColumn(key, F.concat_ws("/", F.coalesce(F.concat(F.lit("+"), F.col(f"`{id_col}`").cast("string")), F.lit("-")), F.xxhash64(F.col(f"`{text_col}`"))))
+    found = similar_sets.groups(keyed.select(F.col(key).alias("key"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), size, similarity)
+    return _first_rows(keyed, key, found).drop(key)
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
