@@ -3,9 +3,15 @@
 Generators of high recall propose spans, which may overlap: every match of the base patterns, valid or
 not, and looser forms (numbers without a plus sign or with unusual separators, spelled-out addresses).
 Each candidate has features of its format (digits, check digit, separators) and its context (words before
-it, characters around it). Boosted trees of depth two are fitted to the candidates, with the validity of
-the base patterns as labels; a threshold for each kind, calibrated on the half of the sample that the
-trees did not see, selects what is added to the valid base spans, which always stay.
+it, characters around it). Boosted trees of depth two are fitted for each kind; a threshold, calibrated on
+the half of the labels that the trees did not see, selects what is added to the valid base spans, which
+always stay.
+
+Labels: valid base spans are positive; candidates that no form of their kind allows (a wrong check digit, too
+few or too many digits, addresses out of range) are negative; the rest of the corpus has no label. What the
+looser forms are is told by a labelled sample, EXAMPLES made texts of each label and kind from fixed formats
+with and without context, which weighs as much as the corpus. Whether a span is a base span (its plus sign,
+its pattern, its range test) is no feature.
 
 Candidates are arrays inside the row; nothing is exploded or shuffled but the sample for the trees, at
 most SAMPLE candidates of distinct texts, by a hash of the text. The trees are fitted on the driver to the
@@ -16,13 +22,14 @@ between two domain characters are first replaced, one code point by one, with th
 themselves, where a text holds them, are replaced by blanks for the search.
 
 Defined results: a null text is empty; null and repeated ids are rows of their own; a corpus without
-candidates gives no model and no added spans; an empty table gives an empty result; other columns are left
+candidates leaves the labelled sample alone to fit to; an empty table gives an empty result; other columns are left
 out. Places count code points, ends are exclusive.
 """
 
 from __future__ import annotations
 
 import math
+import random
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +40,8 @@ from sparloom.llm.common import fresh_name, hashed_share, let, materialize
 KINDS = ("email", "ip", "card", "phone")
 #: Candidates that the trees are fitted to and calibrated on, at most.
 SAMPLE = 20_000
+#: Made texts of each label and kind.
+EXAMPLES = 400
 TREES = 16
 RATE = 0.4
 PRECISION = 0.98
@@ -45,7 +54,13 @@ CONTEXT = {
     "card": r"(?i)(card|visa|master|amex|credit|debit|payment|account)[^a-z]{0,12}$",
     "phone": r"(?i)(phone|tel|call|mobile|cell|fax|whatsapp|contact)[^a-z]{0,12}$",
 }
-FEATURES = ("kind", "digits", "luhn", "plus", "separators", "parens", "dots", "parts", "context", "joined_before", "joined_after", "loose")
+FEATURES = ("kind", "digits", "luhn", "separators", "parens", "dots", "shape", "context", "joined_before", "joined_after")
+#: What a value, for cards its digits, looks like where nothing is written before it.
+SHAPE = {
+    "email": r"\.[A-Za-z]{2,}\.?$",
+    "card": r"^(?:4[0-9]{12}(?:[0-9]{3})?|3[47][0-9]{13}|3(?:0[0-5]|[68][0-9])[0-9]{11})$",
+    "phone": r"^(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20/])[0-9]{3}[-.\x20][0-9]{4}$",
+}
 NO_CONTEXT = 24
 
 
@@ -104,15 +119,13 @@ def _candidate(kind: str, c: Column, loose: bool) -> Column:
         "kind": F.lit(KINDS.index(kind)),
         "digits": F.least(n, F.lit(24)),
         "luhn": flag(n.between(12, 24) & F.call_function("luhn_check", digits)),
-        "plus": flag(F.startswith(value, F.lit("+"))),
         "separators": F.least(F.length(F.regexp_replace(value, rf"[^\x20{JOIN}/-]", "")), F.lit(8)),
         "parens": flag(F.contains(value, F.lit("("))),
         "dots": F.least(F.length(F.regexp_replace(value, rf"[^.{DOT}]", "")), F.lit(6)),
-        "parts": flag(value.rlike(rf"^{PART}(?:\.{PART}){{3}}$")),
+        "shape": flag((digits if kind == "card" else value).rlike(SHAPE[kind])) if kind in SHAPE else F.lit(0),
         "context": flag(c["before"].rlike(CONTEXT[kind])),
         "joined_before": flag(c["before"].rlike(r"[A-Za-z0-9]$")),
         "joined_after": flag(c["after"].rlike(r"[A-Za-z0-9]")),
-        "loose": F.lit(int(loose)),
     }
     return F.struct(F.lit(KINDS.index(kind)).alias("kind"), c["start"].alias("start"), (c["start"] + F.length(value)).alias("end"), base.alias("base"), F.struct(*[x.alias(k) for k, x in features.items()]).alias("f"))
 
@@ -203,25 +216,99 @@ def _expression(tree, f: Column) -> Column:
     return F.when(f[FEATURES[tree[0]]] <= tree[1], _expression(tree[2], f)).otherwise(_expression(tree[3], f))
 
 
-def fit_model(found_in: DataFrame, column: str, h: str, sample: int = SAMPLE) -> tuple[list, dict[int, float]]:
-    """(trees, thresholds) from the candidate arrays of ``column`` of distinct texts (by their hash ``h``)."""
+def _formatted(rnd: random.Random, form: str) -> str:
+    """The form with d for any digit, D for one above 1 and a for a letter."""
+    return "".join(str(rnd.randrange(10)) if c == "d" else str(rnd.randrange(2, 10)) if c == "D" else rnd.choice("abcdefghiklmnoprstu") if c == "a" else c for c in form)
+
+
+def _checked(rnd: random.Random, start: str, n: int, valid: bool = True) -> str:
+    """A number of n digits whose check digit is right, or wrong."""
+    body = start + "".join(str(rnd.randrange(10)) for _ in range(n - 1 - len(start)))
+    total = sum(x - 9 * (x > 9) for i, c in enumerate(reversed(body)) for x in [int(c) * (2 - i % 2)])
+    return body + str((-total + (0 if valid else rnd.randrange(1, 10))) % 10)
+
+
+def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, int, int]]:
+    """The labelled sample: (text, kind, label), a candidate or more of the kind in each text."""
+    rnd = random.Random(seed)
+    told = {"email": ("mail me: ", "email ", "contact ", "write to "), "card": ("card ", "visa: ", "credit card no. ", "payment by "), "phone": ("call ", "phone: ", "tel. ", "mobile ", "fax ")}
+    plain = ("", "we saw ", "and then ", "the number ", "in ", "order ", "on ", "version ", "see ", "about ", "it was ")
+    local = ("aaaaa.aaaaa", "aaaaa", "aaa_dd", "aaaa-aaa")
+    at = (" (at) ", "(at)", " [at] ", " (AT) ", "[AT]")
+    usual, abroad = ("(Ddd) Ddd-dddd", "(Ddd)Ddd-dddd", "Ddd-Ddd-dddd", "Ddd.Ddd.dddd", "Ddd Ddd dddd"), ("0dd dddd dddd", "0dddd dddddd", "0ddd/dddddd", "00dd dd dddd dddd", "(0dd) dddd dddd")
+    dates = ("20dd-0D-1d", "0D.1d.20dd", "1d/0D/19dd", "19dd - 20dd", "20dd-20dd", "20dd/20dd")
+    numbers = ("dd.ddd.ddd", "dddd dddd dddd", "97D-d-dd-dddddd-d", "DDD.DDD.DDD.DDD", "ddd-dd-dddd", "dd dd dd dd", "Ddd-dddd", "(dd) 20dd-0D-1d", "dd.d.dd.dddd")
+    issuers = (("4", 13), ("34", 15), ("37", 15), ("30", 14), ("36", 14), ("38", 14))
+
+    def email(good: bool) -> tuple[str, str]:
+        name, end = _formatted(rnd, rnd.choice(local)), _formatted(rnd, rnd.choice(("aaaaaa", "aaaa-aaa")))
+        host = f"{end}.{rnd.choice(('org', 'com', 'net', 'co.uk', 'de'))}"
+        if good:
+            return rnd.choice(((rnd.choice(plain + told["email"]), name + rnd.choice(at) + host), (rnd.choice(told["email"]), name + rnd.choice(at) + end)))
+        return rnd.choice(plain), rnd.choice(("sold", "meet", "bought", "price")) + rnd.choice(at) + rnd.choice(("noon", "home", "work", "5", "12.50", "9.15"))
+
+    def card(good: bool) -> tuple[str, str]:
+        start, size = rnd.choice(issuers)
+        start += str(rnd.randrange(6)) if start == "30" else ""
+        if good:
+            number = _checked(rnd, start, size)
+            if size == 15 and rnd.random() < 0.5:
+                number = f"{number[:4]} {number[4:10]} {number[10:]}"
+            if rnd.random() < 0.3:
+                return rnd.choice(told["card"]), _checked(rnd, rnd.choice("12679"), rnd.choice((13, 14, 15)))
+            return rnd.choice(plain + told["card"]), number
+        if rnd.random() < 0.5:
+            return rnd.choice(plain + told["card"]), _checked(rnd, start, size, False)
+        return rnd.choice(plain), _checked(rnd, rnd.choice(("1", "2", "7", "86", "35", "978")), rnd.choice((13, 14, 15)))
+
+    def phone(good: bool) -> tuple[str, str]:
+        if good:
+            return rnd.choice(((rnd.choice(plain + told["phone"]), _formatted(rnd, rnd.choice(usual))), (rnd.choice(told["phone"]), _formatted(rnd, rnd.choice(abroad)))))
+        return rnd.choice(((rnd.choice(plain), _formatted(rnd, rnd.choice(numbers))), (rnd.choice(plain + told["phone"]), _formatted(rnd, rnd.choice(dates)))))
+
+    out = []
+    for kind, made in (("email", email), ("card", card), ("phone", phone)):
+        for k in range(2 * n):
+            before, value = made(k % 2 == 0)
+            out.append((before + value + rnd.choice((" ", ", ", "; ok", "\n", "")), KINDS.index(kind), int(k % 2 == 0)))
+    return out
+
+
+def _excluded(c: Column) -> Column:
+    """Whether no form of its kind allows a candidate that is no base span."""
+    n, luhn = c["f"]["digits"], c["f"]["luhn"]
+    return F.when(c["kind"] == KINDS.index("card"), (luhn == 0) | ~n.between(13, 19)).when(c["kind"] == KINDS.index("phone"), ~n.between(7, 15)).otherwise(c["kind"] == KINDS.index("ip"))
+
+
+def fit_model(found_in: DataFrame, column: str, h: str, sample: int = SAMPLE) -> dict[int, tuple[list, float]]:
+    """Trees and threshold of each kind that has them, from the labelled sample and the candidate arrays of
+    ``column`` of distinct texts (by their hash ``h``)."""
     total = found_in.agg(F.sum(F.size(column))).first()[0] or 0
     texts = found_in.filter(hashed_share(F.col(h), 0.9 * sample / max(1, total))).select(F.col(h).alias("h"), F.col(column).alias("c")).dropDuplicates(["h"])
     one = texts.select(F.explode("c").alias("c")).limit(sample)
-    rows = one.groupBy("c.f", (F.xxhash64("c") % 2 == 0).alias("even")).agg(F.count_if("c.base").alias("pos"), F.count_if(~F.col("c.base")).alias("neg")).collect()
-    parts = {even: sorted((tuple(r["f"]), r["pos"], r["neg"]) for r in rows if r["even"] is even) for even in (True, False)}
-    trees = fit(parts[True])
-    return trees, calibrate(trees, parts[False])
+    rows = one.groupBy("c.f", (F.xxhash64("c") % 2 == 0).alias("even")).agg(F.count_if("c.base").alias("pos"), F.count_if(~F.col("c.base") & _excluded(F.col("c"))).alias("neg")).filter("pos + neg > 0").collect()
+    made = found_in.sparkSession.createDataFrame(examples(), "text string, kind int, label int")
+    told = made.select("kind", "label", (F.xxhash64("text") % 2 == 0).alias("even"), F.explode(candidates(F.col("text"))).alias("c")).filter("c.kind = kind")
+    told = told.groupBy("c.f", "even").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")).collect()
+    model = {}
+    for kind in range(len(KINDS)):
+        given, shown = ([r for r in part if r["f"]["kind"] == kind] for part in (rows, told))
+        weight = max(1, sum(r["pos"] + r["neg"] for r in given) // max(1, sum(r["pos"] + r["neg"] for r in shown)))
+        parts = {even: sorted([(tuple(r["f"]), r["pos"], r["neg"]) for r in given if r["even"] is even] + [(tuple(r["f"]), weight * r["pos"], weight * r["neg"]) for r in shown if r["even"] is even]) for even in (True, False)}
+        trees = fit(parts[True])
+        limits = calibrate(trees, parts[False])
+        if trees and kind in limits:
+            model[kind] = (trees, limits[kind])
+    return model
 
 
-def selected(column: Column, model: tuple[list, dict[int, float]]) -> Column:
+def selected(column: Column, model: dict[int, tuple[list, float]]) -> Column:
     """The candidates that count: valid base ones, and others above their kind's threshold that overlap
     none of these; by kind and start."""
-    trees, limits = model
     base = F.filter(column, lambda c: c["base"])
-    if trees and limits:
-        score = lambda c: sum((_expression(t, c["f"]) for t in trees), F.lit(0.0))
-        enough = lambda c: score(c) >= F.coalesce(*[F.when(c["kind"] == k, F.lit(v)) for k, v in limits.items()], F.lit(float("inf")))
+    if model:
+        score = lambda c, trees: sum((_expression(t, c["f"]) for t in trees), F.lit(0.0))
+        enough = lambda c: F.coalesce(*[F.when(c["kind"] == k, score(c, trees) >= F.lit(limit)) for k, (trees, limit) in model.items()], F.lit(False))
         more = let(base, lambda b: F.filter(column, lambda c: ~c["base"] & enough(c) & ~F.exists(b, lambda x: (x["start"] < c["end"]) & (c["start"] < x["end"]))))
         base = F.concat(base, more)
     return F.sort_array(F.transform(base, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"))))
