@@ -335,7 +335,9 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
 
     def rewrite(s: Column) -> Column:
-        ends = F.transform(s, lambda x, i: F.struct(x["start"].alias("start"), F.greatest(x["end"], F.coalesce(F.get(s, i - 1)["end"], F.lit(0))).alias("end"), x["kind"].alias("kind"), (x["start"] < F.coalesce(F.get(s, i - 1)["end"], F.lit(0))).alias("inside")))
+        # spans that overlap are one: each ends where the furthest of those up to it does
+        grown = lambda done, x: F.concat(done, F.array(F.struct(x["start"].alias("start"), F.greatest(x["end"], F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0))).alias("end"), x["kind"].alias("kind"), (x["start"] < F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0))).alias("inside"))))
+        ends = F.aggregate(s, F.array().cast("array<struct<start:int,end:int,kind:int,inside:boolean>>"), grown)
         pieces = lambda e: F.transform(e, lambda x, i: let(F.coalesce(F.get(e, i - 1)["end"], F.lit(0)), lambda was: F.when(x["inside"], F.lit("")).otherwise(F.concat(F.substring(text, was + 1, x["start"] - was), names[x["kind"]]))))
         return let(ends, lambda e: F.concat(F.array_join(pieces(e), ""), F.substring(text, F.element_at(e, -1)["end"] + 1, F.length(text))))
 
