@@ -33,11 +33,12 @@ from sparloom.llm.common import hashed_share
 SAMPLE = 2_000
 #: Cost of a label that the ancestors speak against, and of a change of label between neighbours in the
 #: page and, in addition, between blocks of one parent.
-MEANING, NEXT, SIBLING = 8.0, 0.8, 2.0
+MEANING, NEXT, SIBLING = 3.0, 0.8, 2.0
 SCALE = 1000
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
+    |<(?:svg|math)\b(?>[^>"']|"[^"<]*"|'[^'<]*')*+(?<=/)>
     |<(?P<raw>script|style|noscript|template|textarea|svg|math|iframe|object|select|button|title)\b(?>[^>"']|"[^"<]*"|'[^'<]*')*+>.*?(?:</(?P=raw)\s*>|\Z)
     |<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?>[^>"']|"[^"<]*"|'[^'<]*')*+|[^>]*)(?:>|\Z)""",
     re.S | re.I | re.X,
@@ -52,6 +53,8 @@ INSIDE = frozenset("article main".split())
 #: An open element of these is closed by a new one of the same set.
 CLOSES = ({"p"}, {"li"}, {"dt", "dd"}, {"td", "th"}, {"tr"}, {"option"})
 OUT_WORDS = frozenset("ad ads advert advertisement advertorial adverts alert author-box banner bottombar breadcrumb breadcrumbs bylinks comment comments consent cookie cookies copyright dialog disclaimer disqus footer form gdpr header masthead menu menubar meta-nav modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup privacy promo promoted promotion reader-comments recommend recommended related reply replies respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe tags taglist teaser toc toolbar topbar widget".split())
+#: Parts of a compound class name that make the others tell of something beside or absent.
+BESIDE = frozenset("has have no not non with without".split())
 IN_WORDS = frozenset("article article-body articlebody content-body entry-content main-content mainbody post-body post-content story story-body".split())
 
 
@@ -62,6 +65,7 @@ class Block:
     tag: str
     meaning: int
     linked: int
+    form: int = 0
     features: tuple[str, ...] = field(default=())
 
 
@@ -73,7 +77,8 @@ def _meaning(name: str, attrs: str) -> int:
     if "=" in attrs and name not in ("html", "body"):
         for m in MARK.finditer(attrs):
             names = (m[1] or m[2] or m[3] or "").lower().split()
-            parts = {x for n in names for x in (n, *re.split(r"[-_]+", n))}
+            split = {n: re.split(r"[-_]+", n) for n in names}
+            parts = {x for n, xs in split.items() for x in ((n,) if BESIDE.intersection(xs) else (n, *xs))}
             if parts & OUT_WORDS:
                 return -1
             if parts & IN_WORDS:
@@ -82,9 +87,10 @@ def _meaning(name: str, attrs: str) -> int:
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks of text in page order. An ancestor that holds no content outweighs one that does."""
+    """Blocks of text in page order. The nearest ancestor that says something decides; the header of an article
+    says nothing, nor does a form around most of the page's text."""
     found: list[Block] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # name, number, meaning
+    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # name, number, meaning, the form that gave it
     pieces: list[str] = []
     linked, in_link, numbers, last = 0, 0, 0, 0
 
@@ -94,7 +100,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
                 holder = stack[-2] if stack[-1][0] in LEAVES else stack[-1]
-                found.append(Block(text, holder[1], stack[-1][0], stack[-1][2], linked))
+                found.append(Block(text, holder[1], stack[-1][0], stack[-1][2], linked, stack[-1][3]))
             pieces, linked = [], 0
 
     def add(text: str) -> None:
@@ -138,11 +144,19 @@ def blocks(page: str) -> list[Block]:
                 said = _meaning(name, m["attrs"] or "")
                 before = stack[-1][2]
                 numbers += 1
-                stack.append((name, numbers, -1 if -1 in (said, before) else max(said, before)))
+                if name == "header" and before > 0 and not MARK.search(m["attrs"] or ""):
+                    said = 0
+                form = numbers if name == "form" else 0 if said else stack[-1][3]
+                stack.append((name, numbers, said or before, form))
     if last < len(page):
         add(page[last:])
     close()
+    sizes = Counter()
     for b in found:
+        sizes[b.form] += len(b.text)
+    for b in found:
+        if b.form and 2 * sizes[b.form] >= sizes.total():
+            b.meaning = 0
         b.features = look(b)
     return found
 
