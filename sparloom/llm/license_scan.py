@@ -1,6 +1,6 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-A block is a sentence of a line. Template words are put in one global order, rarest in the corpus first
+A block is a sentence, which may be wrapped over lines; blank lines end it. Template words are put in one global order, rarest in the corpus first
 (counted over all documents). A template of n words must share ceil(t * n) words with a block; so a block
 must hold one of the template's first n - ceil(t * n) + 1 words (prefix filter), have enough words (length
 filter), and, from the places of the first shared word in both, be able to reach the overlap (positional
@@ -115,10 +115,14 @@ class Index:
 
 
 def block_edges(data: np.ndarray) -> np.ndarray:
-    """Offsets of the bytes that end a block: line ends, and . ! ? or ; before white space."""
+    """Offsets of the bytes that end a block: line ends before a blank line, and . ! ? or ; before white space."""
     stop = np.isin(data, np.frombuffer(b".!?;", np.uint8))
     space = tokens.SPACE[data]
-    return np.flatnonzero((data == 10) | (stop & np.append(space[1:], True)))
+    lines = np.flatnonzero(data == 10)
+    seen = np.cumsum(~space)[lines]
+    blank = np.zeros(len(data), bool)
+    blank[lines[:-1]] = seen[1:] == seen[:-1]
+    return np.flatnonzero(blank | (stop & np.append(space[1:], True)))
 
 
 def _row(text: bytes, hashes: np.ndarray, phrases, index: Index):
