@@ -207,6 +207,15 @@ def _tokens_sql(text: str) -> str:
     return f"list_distinct(list_transform(list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), lambda t: t <> '' AND t NOT IN ({STOP})), lambda t: coalesce({ALIAS}[t], t)))"
 
 
+def _aligned_parts(spark, sf_dir, sequences: bool) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    f = p.select(F.col("p_partkey").alias("_row"), F.col("p_partkey").cast("string").alias("finding_id"), F.col("p_brand").alias("sample_id"), F.lit("").alias("category"), F.col("p_name").alias("human_rule_name"), F.col("p_type").alias("expected_value"))
+    types = p.select(F.col("p_brand").alias("sample_id"), F.col("p_type").alias("rule_id")).distinct()
+    rules = basics.numbered(types, ["sample_id"], ["rule_id"], "position").select(F.lit("").alias("category"), "sample_id", "position", "rule_id", F.col("rule_id").alias("value"))
+    found, _ = alignment.align(f, rules, top_k=3, sequences=sequences)
+    return found.filter("atomic_rule_id <> ''").select(F.col("_row").alias("finding"), F.col("atomic_rule_id").alias("rule"), "rank", "mapping_score", "candidate_match_type")
+
+
 @query(f"""
 WITH f AS (SELECT p_partkey, p_brand, lower(p_type) AS h_value, {_tokens_sql("p_name || ' ' || p_type")} AS h FROM part),
 r AS (SELECT DISTINCT p_brand, p_type FROM part),
@@ -222,12 +231,13 @@ FROM k
 """)
 def align_candidates(spark, sf_dir):
     """The three best of a brand's types for each part, by token overlap and containment."""
-    p = table(spark, sf_dir, "part")
-    f = p.select(F.col("p_partkey").alias("_row"), F.col("p_partkey").cast("string").alias("finding_id"), F.col("p_brand").alias("sample_id"), F.lit("").alias("category"), F.col("p_name").alias("human_rule_name"), F.col("p_type").alias("expected_value"))
-    types = p.select(F.col("p_brand").alias("sample_id"), F.col("p_type").alias("rule_id")).distinct()
-    rules = basics.numbered(types, ["sample_id"], ["rule_id"], "position").select(F.lit("").alias("category"), "sample_id", "position", "rule_id", F.col("rule_id").alias("value"))
-    found, _ = alignment.align(f, rules, top_k=3, sequences=False)
-    return found.filter("atomic_rule_id <> ''").select(F.col("_row").alias("finding"), F.col("atomic_rule_id").alias("rule"), "rank", "mapping_score", "candidate_match_type")
+    return _aligned_parts(spark, sf_dir, False)
+
+
+@query()
+def align_candidates_sequences(spark, sf_dir):
+    """The same with the ratio of matching character sequences, which SQL cannot express: the whole score."""
+    return _aligned_parts(spark, sf_dir, True)
 
 
 TAG_RULES = {"solo": "p_size > 3", "full_body": "p_size % 4 <> 0", "looking_at_viewer": "p_size % 3 <> 0", "standing": "p_size % 5 = 0", "sitting": "p_size % 7 = 0", "turnaround": "p_size % 2 = 0", "multiple_views": "p_partkey % 3 <> 0", "white_background": "p_partkey % 2 = 0", "sword": "p_partkey % 11 = 0", "armor": "p_partkey % 13 = 0", "tail": "p_partkey % 17 = 0", "hat": "p_partkey % 5 < 2", "dress": "p_partkey % 7 < 3", "smile": "p_partkey % 19 < 9", "official_art": "p_partkey % 23 < 4", "1boy": "p_partkey % 29 < 5", "1girl": "p_partkey % 29 >= 5", "text": "p_partkey % 31 = 0", "bikini": "p_partkey % 37 = 0", "chibi": "p_partkey % 41 = 0", "upper_body": "p_partkey % 43 = 0"}
