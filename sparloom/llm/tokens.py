@@ -1,8 +1,9 @@
 """Word hashes of Arrow text columns in numpy, a few megabytes of text at a time.
 
 Words are maximal runs of bytes outside a table of separators (white space, or all ASCII but letters and
-digits); A-Z are lower-cased. A word's hash is a polynomial in its bytes modulo 2**64, mixed; all words of
-a block come from one running sum over its bytes.
+digits); A-Z are lower-cased. A word is cut into pieces of eight bytes; each piece is mixed with its place in
+the word, and the mixed pieces and the length are added up and mixed again. Mixing is no ring operation, so
+words that are alike in a regular way do not meet, as they do under a polynomial modulo 2**64.
 """
 
 from __future__ import annotations
@@ -58,11 +59,30 @@ def word_hashes(data: np.ndarray, breaks: np.ndarray, between: np.ndarray = SPAC
     after[-1], after[:-1] = True, space
     starts = np.flatnonzero(~after & (prior | edge))
     ends = np.flatnonzero(~prior & (after | edge))
-    power, inverse = _power_tables(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(raw + (ends - starts).astype(np.uint64)), starts, ends
+    return _digests(_LOWER[data], starts, ends - starts), starts, ends
+
+
+#: Masks of the first k bytes of a piece, read little-endian.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def _digests(low: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of the byte runs of the given starts and sizes (one byte or more)."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded, (len(low) + 1, 8), (1, 1), writeable=False)
+    read = lambda at, n: eight[at].view("<u8")[:, 0] & _FIRST[np.minimum(n, 8)]
+    total = mix(read(starts, sizes) + np.uint64(_P)) + sizes.astype(np.uint64)
+    long = np.flatnonzero(sizes > 8)
+    if len(long):
+        pieces = (sizes[long] - 1) // 8  # those behind the first
+        first = np.cumsum(pieces) - pieces
+        place = np.arange(pieces.sum()) - np.repeat(first, pieces) + 1
+        of = np.repeat(long, pieces)
+        mixed = mix(read(starts[of] + 8 * place, sizes[of] - 8 * place) + (place + 1).astype(np.uint64) * np.uint64(_P))
+        total[long] += np.add.reduceat(mixed, first)
+    return mix(total)
 
 
 def _text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
