@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 
@@ -11,14 +12,18 @@ from pyspark.sql import functions as F
 #: White space of every word definition here: blank, tab, \n, \v, \f, \r.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Where driver and executors are one process, and only there.
 OWN_CHECKPOINTS = "file:///tmp/checkpoints/sparloom"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); where it is unset, as in
-    tests, a local one is set."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Where it is unset, a local master
+    (as in tests) gets one of its own; on a cluster that is an error, as no local folder is shared."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = OWN_CHECKPOINTS
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -28,6 +33,17 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def mounted_folder(spark: SparkSession, label: str, use: str) -> str:
+    """A fresh folder as a path that workers open as files; the shared folder must be mounted on all of them.
+    A worker without the mount cannot write there, and reading a file that was written raises."""
+    path = fresh_path(spark, label)
+    folder = path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
+    if "://" in folder:
+        raise ValueError(f"workers map {use} into memory: spark.checkpoint.dir must be a mounted folder (file:), not {path}")
+    os.makedirs(folder, exist_ok=True)
+    return folder
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: later steps neither repeat the work nor
     depend on executors that have gone."""
@@ -70,27 +86,41 @@ def fresh_name(df: DataFrame, base: str) -> str:
     return base
 
 
-#: Bits of the filter of without_keys, at most: 16 MB.
+#: Bits of the filter of with_keys and without_keys, at most: 16 MB.
 MAX_FILTER_BITS = 1 << 27
 
 
-def without_keys(df: DataFrame, key: str, gone: DataFrame, gone_key: str) -> DataFrame:
-    """``df`` without the rows whose key is in ``gone`` (null keys stay). Wide rows should not be shuffled to
-    drop a few: a bitmap of the keys' hashes, of MAX_FILTER_BITS at most and so broadcast, tells the rows that
-    may have to go, and only these are joined. A denser bitmap lets more rows into the join, which stays
-    exact."""
+def _marked(df: DataFrame, key: str, keys: DataFrame, keys_col: str) -> tuple[DataFrame, Column]:
+    """``df`` with what tells whether its key may be in ``keys``, and that condition (false for null keys). It is
+    a bitmap of the keys' hashes, of MAX_FILTER_BITS at most and so broadcast; a denser one says so of more
+    rows."""
     bits = 1 << 20
-    while bits < min(MAX_FILTER_BITS, 16 * gone.count()):
+    while bits < min(MAX_FILTER_BITS, 16 * keys.count()):
         bits *= 2
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    page, place = fresh_name(df, "_page"), fresh_name(df, "_place")
-    pages = gone.select(slot(F.col(gone_key)).alias("s")).groupBy(F.shiftright("s", 15).alias(page)).agg(F.bitmap_construct_agg((F.col("s") % 32768).cast("long")).alias("_bitmap"))
+    page, place, bitmap = fresh_name(df, "_page"), fresh_name(df, "_place"), fresh_name(df, "_bitmap")
+    pages = keys.select(slot(F.col(keys_col)).alias("s")).groupBy(F.shiftright("s", 15).alias(page)).agg(F.bitmap_construct_agg((F.col("s") % 32768).cast("long")).alias(bitmap))
     pages = F.broadcast(materialize(pages, "bitmap"))
-    byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(byte, F.col(place) % 8) == 1, F.lit(False))
+    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, F.col(place) % 8) == 1, F.lit(False)) & F.col(f"`{key}`").isNotNull()
     at = slot(F.col(f"`{key}`"))
-    marked = df.withColumns({page: F.shiftright(at, 15), place: (at % 32768).cast("int")}).join(pages, page, "left")
+    return df.withColumns({page: F.shiftright(at, 15), place: (at % 32768).cast("int")}).join(pages, page, "left"), hit
+
+
+def with_keys(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows of ``df`` whose key is in ``wanted`` (distinct keys), joined with its columns. Only rows that the
+    bitmap lets through are shuffled, and the join is exact."""
+    marked, hit = _marked(df, key, wanted, wanted_key)
+    target = fresh_name(df, "_target")
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return marked.filter(hit).select(*own).join(wanted.withColumnRenamed(wanted_key, target), F.col(f"`{key}`") == F.col(target)).drop(target)
+
+
+def without_keys(df: DataFrame, key: str, gone: DataFrame, gone_key: str) -> DataFrame:
+    """``df`` without the rows whose key is in ``gone`` (null keys stay). Wide rows should not be shuffled to
+    drop a few: only those that the bitmap lets through are joined, and the join is exact."""
+    marked, hit = _marked(df, key, gone, gone_key)
     own = [F.col(f"`{c}`") for c in df.columns]
-    target = fresh_name(df, "_gone")
-    maybe = marked.filter(hit & F.col(f"`{key}`").isNotNull()).select(*own).join(gone.select(F.col(gone_key).alias(target)), F.col(f"`{key}`") == F.col(target), "left_anti")
-    return marked.filter(~hit | F.col(f"`{key}`").isNull()).select(*own).unionAll(maybe)
+    target = fresh_name(df, "_target")
+    maybe = marked.filter(hit).select(*own).join(gone.select(F.col(gone_key).alias(target)), F.col(f"`{key}`") == F.col(target), "left_anti")
+    return marked.filter(~hit).select(*own).unionAll(maybe)

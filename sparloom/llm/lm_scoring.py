@@ -11,7 +11,7 @@ packed arrays to shards, never one row a token:
 
 Per word, the number of distinct words before it, and of followers seen once, twice and more often, are
 gathered from the pair shards. All arrays are files in the shared folder, which must be mounted on every
-worker (``file:`` path); workers map them into memory and search them. Discounts come from counts of
+worker (``file:`` path); workers map them into memory and search them; a file that is gone is an error. Discounts come from counts of
 counts over the whole corpus; nothing is pruned.
 
 A text is its words and one end; the end is also the context of the first word. A pair's probability is
@@ -37,14 +37,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparloom.llm import tokens
-from sparloom.llm.common import fresh_path, materialize
+from sparloom.llm.common import materialize, mounted_folder
 
 END = np.uint64(0x5EED0FE9D0C0FFEE)
 #: Tokens of a task counted together before they are sent on.
 CHUNK = 1 << 20
 PAIRS_PER_SHARD = 4_000_000
-#: Bits of a pair key for the number of the second word; the rest holds the first word within its shard.
-SECOND_BITS = 40
 
 
 def is_training(doc_id: Column) -> Column:
@@ -122,6 +120,14 @@ class Vocabulary:
     shard: np.ndarray  # first pair shard of each word shard, and of all
     pairs: int
 
+    @property
+    def second_bits(self) -> int:
+        """Bits of a pair key for the number of the second word; the rest holds the first word within its shard."""
+        return max(1, int(self.first[-1]).bit_length())
+
+    def key(self, place: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return (place.astype(np.uint64) << np.uint64(self.second_bits)) | second.astype(np.uint64)
+
     def look_up(self, mapped: Mapped, words: np.ndarray, names: tuple[str, ...]) -> tuple[np.ndarray, ...]:
         """(known, shard, place in the shard, arrays ``names`` there) of sorted distinct hashes."""
         part = (words >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(words), np.int64)
@@ -184,8 +190,6 @@ def count_words(train: DataFrame, folder: str) -> Vocabulary:
     sizes, held = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
     at = made.column("shard").to_numpy()
     sizes[at], held[at] = made.column("words").to_numpy(), made.column("tokens").to_numpy()
-    if sizes.max(initial=0) >= 1 << (64 - SECOND_BITS) or sizes.sum() >= 1 << SECOND_BITS:
-        raise ValueError("too many distinct words for the pair keys")
     ends = lambda x: np.concatenate([[0], np.cumsum(x)])
     return Vocabulary(folder, bits, ends(sizes), held, ends((held + PAIRS_PER_SHARD - 1) // PAIRS_PER_SHARD), PAIRS_PER_SHARD)
 
@@ -237,8 +241,8 @@ def count_pairs(train: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def write(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         part = int(np.searchsorted(vocabulary.shard, shard, side="right") - 1)
-        first = np.repeat(_bytes(table, "firsts", np.uint32), _bytes(table, "runs", np.uint32)).astype(np.uint64)
-        keys = (first << np.uint64(SECOND_BITS)) | _bytes(table, "seconds", wide).astype(np.uint64)
+        first = np.repeat(_bytes(table, "firsts", np.uint32), _bytes(table, "runs", np.uint32))
+        keys = vocabulary.key(first, _bytes(table, "seconds", wide))
         del first
         counts = _bytes(table, "counts", np.uint8).astype(np.uint32)
         counts[counts == 255] = _bytes(table, "large", np.uint32)
@@ -247,9 +251,9 @@ def count_pairs(train: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         save(vocabulary.folder, f"pairs-{shard}", key=keys, count=np.minimum(counts, 65535).astype(np.uint16), large=large, larger=counts[large])
         low = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
         rows = [(shard, "low", b"", b"", b"", b"", low)]
-        second, n = np.unique(keys & np.uint64((1 << SECOND_BITS) - 1), return_counts=True)
+        second, n = np.unique(keys & np.uint64((1 << vocabulary.second_bits) - 1), return_counts=True)
         rows += _by_word_shard(vocabulary, second.astype(np.int64), "cont", n)
-        own = (keys >> np.uint64(SECOND_BITS)).astype(np.int64)
+        own = (keys >> np.uint64(vocabulary.second_bits)).astype(np.int64)
         runs = np.flatnonzero(np.diff(own, prepend=-1))
         seen = [np.add.reduceat(x.astype(np.int64), runs) for x in (counts == 1, counts == 2, counts > 2)]
         rows += _by_word_shard(vocabulary, vocabulary.first[part] + own[runs], "next", *seen)
@@ -299,32 +303,32 @@ class Model:
     spare: float  # weight of the uniform distribution
     words: int
     tokens: int
+    written: np.ndarray  # a bit for each pair shard: whether it holds a pair and so has files
 
 
 def train_model(train: DataFrame) -> Model:
     """Counts ``train`` (column text) into a model in the shared folder."""
-    path = fresh_path(train.sparkSession, "lm")
-    folder = path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
-    if "://" in folder:
-        raise ValueError(f"workers map the model into memory: spark.checkpoint.dir must be a mounted folder (file:), not {path}")
-    os.makedirs(folder, exist_ok=True)
+    folder = mounted_folder(train.sparkSession, "lm", "the model")
     vocabulary = count_words(train, folder)
     stats = count_pairs(train, vocabulary)
+    written = np.zeros(int(vocabulary.shard[-1]), bool)
+    written[stats.filter("kind = 'low'").select("shard").toArrow().column("shard").to_numpy()] = True
     low = stats.filter("kind = 'low'").agg(*[F.coalesce(F.sum(F.col("low")[k]), F.lit(0)).alias(f"n{k}") for k in range(4)]).first()
     cont = gather_stats(stats, vocabulary)
     by_word = discounts(cont[:4])
     spare = float(by_word[1] * cont[0] + by_word[2] * cont[1] + by_word[3] * (cont[2] + cont[3] + cont[4])) / max(1, cont[5])
-    return Model(vocabulary, discounts(list(low)), by_word, cont[5], spare if cont[5] else 1.0, int(vocabulary.first[-1]), int(vocabulary.tokens.sum()))
+    return Model(vocabulary, discounts(list(low)), by_word, cont[5], spare if cont[5] else 1.0, int(vocabulary.first[-1]), int(vocabulary.tokens.sum()), np.packbits(written))
 
 
 def pair_counts(model: Model, mapped: Mapped, shard: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Counts of pairs given in the order of (shard, key)."""
+    """Counts of pairs given in the order of (shard, key). A shard that was written and is gone is an error."""
     counts = np.zeros(len(keys), np.int64)
     edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        name = f"pairs-{shard[lo]}"
-        if not os.path.exists(f"{mapped.folder}/{name}.key.npy"):
+        at = int(shard[lo])
+        if not model.written[at >> 3] >> (7 - (at & 7)) & 1:
             continue
+        name = f"pairs-{at}"
         have = mapped(f"{name}.key")
         at = np.minimum(np.searchsorted(have, keys[lo:hi]), len(have) - 1)
         got = np.where(have[at] == keys[lo:hi], mapped(f"{name}.count")[at], 0).astype(np.int64)
@@ -349,7 +353,7 @@ def _scored(batches, model: Model) -> Iterator[pa.RecordBatch]:
         if len(both):
             a, b = u[both], v[both]
             second = vocabulary.first[part[b]] + place[b]
-            keys = (place[a].astype(np.uint64) << np.uint64(SECOND_BITS)) | second.astype(np.uint64)
+            keys = vocabulary.key(place[a], second)
             c[both] = pair_counts(model, mapped, vocabulary.pair_shard(part[a], before[a], count[a], second), keys)
         p = np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(count[u], 1) + back[u] * p_word[v]
         sums = lambda x: np.add.reduceat(x, offsets[:-1])

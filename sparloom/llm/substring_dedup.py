@@ -18,7 +18,6 @@ empty table gives an empty result; other columns are left out.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparloom.llm import tokens
-from sparloom.llm.common import fresh_path, materialize
+from sparloom.llm.common import materialize, mounted_folder
 from sparloom.llm.lm_scoring import Mapped, _bytes, distinct, save
 
 MIN_WORDS = 50
@@ -84,11 +83,13 @@ def row_of(offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Repeated:
-    """Digests of two or more documents, as sorted arrays in shards by their first bits."""
+    """Digests of two or more documents, as sorted arrays in shards by their first bits. ``written``: a bit for
+    each shard, whether digests came to it, so that it has a file; a file that is gone is an error."""
 
     folder: str
     name: str
     bits: int
+    written: np.ndarray
 
     def has(self, mapped: Mapped, digests: np.ndarray) -> np.ndarray:
         found, place = distinct(digests)
@@ -96,10 +97,10 @@ class Repeated:
         yes = np.zeros(len(found), bool)
         edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            name = f"{self.name}-{part[lo]}.hash"
-            if not os.path.exists(f"{self.folder}/{name}.npy"):
+            shard = int(part[lo])
+            if not self.written[shard >> 3] >> (7 - (shard & 7)) & 1:
                 continue
-            have = mapped(name)
+            have = mapped(f"{self.name}-{shard}.hash")
             if len(have):
                 at = np.minimum(np.searchsorted(have, found[lo:hi]), len(have) - 1)
                 yes[lo:hi] = have[at] == found[lo:hi]
@@ -177,11 +178,12 @@ def repeated(texts: DataFrame, digests_of, folder: str, name: str) -> Repeated:
         times = np.add.reduceat(several.astype(np.int64) + 1, starts)
         kept = digests[starts[times > 1]]
         save(folder, f"{name}-{shard}", hash=kept)
-        return pa.table({"n": pa.array([len(kept)], pa.int64())})
+        return pa.table({"shard": pa.array([shard], pa.int32())})
 
     packed = texts.mapInArrow(lambda it: _packed(it, digests_of, bits), "shard int, digests binary, several binary")
-    packed.groupBy("shard").applyInArrow(write, "n long").agg(F.sum("n")).first()
-    return Repeated(folder, name, bits)
+    written = np.zeros(1 << bits, bool)
+    written[packed.groupBy("shard").applyInArrow(write, "shard int").toArrow().column("shard").to_numpy()] = True
+    return Repeated(folder, name, bits, np.packbits(written))
 
 
 def _spans(batches: Iterator[pa.RecordBatch], chunks: Repeated, windows: Repeated, width: int) -> Iterator[pa.RecordBatch]:
@@ -209,11 +211,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     """(doc_id, start_word, end_word, n_words, passage, n_spans, first_doc_id): the maximal spans of words
     covered by windows of ``min_words`` words that stand in two documents or more. ``passage`` names the
     text of a span (its smallest window digest), with the number of spans and the smallest id that have it."""
-    path = fresh_path(docs.sparkSession, "passages")
-    folder = path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
-    if "://" in folder:
-        raise ValueError(f"workers map the digests into memory: spark.checkpoint.dir must be a mounted folder (file:), not {path}")
-    os.makedirs(folder, exist_ok=True)
+    folder = mounted_folder(docs.sparkSession, "passages", "the digests")
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = own.select("text")
     chunks = repeated(texts, chunk_digests, folder, "chunks")
