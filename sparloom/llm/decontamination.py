@@ -1,9 +1,10 @@
 """Benchmark decontamination by greedy string tiling.
 
 Windows of ``min_match`` words are hashed Karp-Rabin style on both sides and joined on the hash: the seeds.
-Runs of seeds on one diagonal are the common substrings of a document and a benchmark item; the longest
-that is not marked yet is marked, again and again, until none of ``min_match`` words is left. The share of
-the item's words under tiles decides, so passages put in another order count as well.
+Runs of seeds on one diagonal, merged before those of a pair are put together, are the common substrings of a
+document and a benchmark item; the longest that is not marked yet is marked, again and again, until none of
+``min_match`` words is left. The share of the item's words under tiles decides, so passages put in another order
+count as well.
 
 Before the join, a bitmap of the benchmark's window hashes drops the windows that cannot match. It has at
 most MAX_FILTER_BITS bits (2 MB) whatever the benchmark's size; a denser one lets more windows through, and
@@ -51,17 +52,27 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int, bitmap, keep: list[s
                 yield pa.RecordBatch.from_arrays([*own.columns, *made], names=[*keep, "hash", "pos", "n"])
 
 
-def tile(seeds: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling from the seeds (start in the document, start in the item) of all common windows of
-    ``width`` words: tiles (document start, item start, words), longest first."""
-    heap: list[tuple[int, int, int]] = []
-    last = None
+def runs_of(seeds: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]:
+    """Common substrings (start in the document, start in the item, words) that the seeds (starts of common
+    windows) of each diagonal make."""
+    out: list[tuple[int, int, int]] = []
     for d, i in sorted(seeds, key=lambda s: (s[0] - s[1], s[0])):
-        if last and last[0] - last[1] == d - i and d == last[0] + 1:
-            heap[-1] = (heap[-1][0] - 1, *heap[-1][1:])
+        if out and out[-1][0] - out[-1][1] == d - i and d == out[-1][0] + out[-1][2] - width + 1:
+            out[-1] = (*out[-1][:2], out[-1][2] + 1)
         else:
-            heap.append((-width, i, d))
-        last = (d, i)
+            out.append((d, i, width))
+    return out
+
+
+def tile(seeds: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling from the seeds of all common windows of ``width`` words."""
+    return tile_runs(runs_of(seeds, width), width)
+
+
+def tile_runs(runs: list[tuple[int, int, int]], width: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling from the common substrings of ``width`` words or more: tiles (document start, item start,
+    words), longest first."""
+    heap = [(-n, i, d) for d, i, n in runs]
     heapq.heapify(heap)
     done: list[tuple[int, int, int]] = []
     doc_used, item_used = set(), set()
@@ -85,8 +96,8 @@ def tile(seeds: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]
 def _tiled(batches: Iterator[pa.RecordBatch], width: int, threshold: float, keep: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, covered, tiles = [], [], []
-        for at, (seeds, n) in enumerate(zip(batch.column("seeds").to_pylist(), batch.column("n_item").to_pylist(), strict=True)):
-            found = tile([(x["d"], x["i"]) for x in seeds], width)
+        for at, (runs, n) in enumerate(zip(batch.column("runs").to_pylist(), batch.column("n_item").to_pylist(), strict=True)):
+            found = tile_runs([(x["d"], x["i"], x["n"]) for x in runs], width)
             total = sum(t[2] for t in found)
             if total >= threshold * n:
                 rows.append(at)
@@ -112,7 +123,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     shared = spark.sparkContext.broadcast(bitmap.tobytes())
     seeds = own.mapInArrow(lambda it: _windows(it, min_match, shared, ["doc_id", "th"]), f"doc_id {kinds['doc_id']}, th bigint, hash bigint, pos int, n int")
     met = seeds.select("doc_id", "th", "hash", F.col("pos").alias("d")).join(grams.select("item_id", "hash", F.col("pos").alias("i"), F.col("n").alias("n_item")), "hash")
-    lists = met.groupBy("doc_id", "th", "item_id", "n_item").agg(F.collect_set(F.struct("d", "i")).alias("seeds"))
+    # seeds become runs diagonal by diagonal, so that no row holds a product of two lengths
+    places = met.groupBy("doc_id", "th", "item_id", "n_item", (F.col("d") - F.col("i")).alias("shift")).agg(F.sort_array(F.collect_set("d")).alias("p"))
+    lone = lambda at, step: F.coalesce(F.get("p", at + step) != F.get("p", at) + step, F.lit(True))
+    ends = lambda step: F.filter("p", lambda _, k: lone(k, step))
+    runs = F.zip_with(ends(-1), ends(1), lambda a, b: F.struct(a.alias("d"), (a - F.col("shift")).alias("i"), (b - a + min_match).alias("n")))
+    lists = places.groupBy("doc_id", "th", "item_id", "n_item").agg(F.flatten(F.collect_list(runs)).alias("runs"))
     out = lists.mapInArrow(lambda it: _tiled(it, min_match, threshold, ["doc_id", "item_id", "n_item"]), f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, n_item int, covered int, tiles string")
     return out.select("doc_id", "item_id", "n_item", "covered", (F.col("covered") / F.col("n_item")).alias("coverage"), "tiles")
 
