@@ -2,8 +2,11 @@
 
 Each document is held against a few rules; failures are counted by host (the source of a document, or
 any column given); each rule's failure rates are shrunk towards an empirical beta prior fitted to all
-hosts by moments; a host whose shrunk rate of any rule is above ``max_rate`` is rejected, and that
-verdict is joined back to its documents. A document stays if it passes every rule itself and its host
+hosts by moments; a host whose shrunk rate of any rule, less the standard deviation that its number of documents
+leaves, is above that rule's limit is rejected, and that verdict is joined back to its documents. The limit follows
+from the prior, SPREAD of its standard deviations above its mean, between MIN_RATE and MAX_RATE: a host is rejected
+for being unlike the others, never for a rate that is small in itself, always for breaking a rule in clearly more
+than half of its documents. A document stays if it passes every rule itself and its host
 stands.
 
 Only DataFrame functions are used. Tokens are never exploded: word windows are hashed, compared and
@@ -16,6 +19,10 @@ left out.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +31,8 @@ from sparloom.llm.common import SPACES, UPPER, count_chars, fresh_name, let, mat
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
-#: A host is rejected above this shrunk failure rate of one rule.
-MAX_RATE = 0.5
+#: The limit of a rule's rate: this many standard deviations over the mean, within these bounds.
+SPREAD, MIN_RATE, MAX_RATE = 3.0, 0.2, 0.5
 #: Weight of the prior where hosts give no variance to fit it from.
 PLAIN_STRENGTH = 10.0
 RULES = ("short", "repeats", "symbols", "lines", "shout")
@@ -66,7 +73,7 @@ def rules(m: Column) -> dict[str, Column]:
     }
 
 
-def host_verdicts(flags: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
+def host_verdicts(flags: DataFrame, spread: float = SPREAD, min_rate: float = MIN_RATE, max_rate: float = MAX_RATE) -> DataFrame:
     """(host, host_docs, rate of each rule, host_ok) from rows (host, one boolean a rule).
 
     The prior of a rule is the beta distribution with the mean and variance of the hosts' rates, less
@@ -74,33 +81,35 @@ def host_verdicts(flags: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     hosts = flags.groupBy("host").agg(F.count("*").alias("host_docs"), *[F.count_if(r).alias(r) for r in RULES])
     rate = {r: F.col(r) / F.col("host_docs") for r in RULES}
     moments = hosts.agg(*[x for r in RULES for x in (F.avg(rate[r]).alias(f"{r}_m"), F.var_pop(rate[r]).alias(f"{r}_v"))], F.avg(1 / F.col("host_docs")).alias("inv")).first()
-    shrunk = []
+    shrunk, ok = [], []
     for r in RULES:
-        mean, spread = moments[f"{r}_m"] or 0.0, (moments[f"{r}_v"] or 0.0) - (moments[f"{r}_m"] or 0.0) * (1 - (moments[f"{r}_m"] or 0.0)) * (moments["inv"] or 0.0)
-        strength = max(1.0, mean * (1 - mean) / spread - 1) if spread > 0 and 0 < mean < 1 else PLAIN_STRENGTH
+        mean, found = moments[f"{r}_m"] or 0.0, (moments[f"{r}_v"] or 0.0) - (moments[f"{r}_m"] or 0.0) * (1 - (moments[f"{r}_m"] or 0.0)) * (moments["inv"] or 0.0)
+        strength = max(1.0, mean * (1 - mean) / found - 1) if found > 0 and 0 < mean < 1 else PLAIN_STRENGTH
         shrunk.append(((F.col(r) + mean * strength) / (F.col("host_docs") + strength)).alias(f"rate_{r}"))
-    rated = hosts.select("host", "host_docs", *shrunk)
-    return rated.withColumn("host_ok", F.greatest(*[F.col(f"rate_{r}") for r in RULES]) <= max_rate)
+        limit = min(max_rate, max(min_rate, mean + spread * math.sqrt(mean * (1 - mean) / (strength + 1))))
+        ok.append(F.col(f"rate_{r}") - F.sqrt(F.col(f"rate_{r}") * (1 - F.col(f"rate_{r}")) / (F.col("host_docs") + strength + 1)) <= F.lit(limit))
+    return hosts.select("host", "host_docs", *shrunk).withColumn("host_ok", reduce(and_, ok))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
-    """One row a document: its measures, ``base_failed``, ``doc_ok``, its host's rates and ``kept``."""
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits: float) -> DataFrame:
+    """One row a document: its measures, ``base_failed``, ``doc_ok``, its host's rates and ``kept``; ``limits`` are
+    those of host_verdicts."""
     m = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), measures(F.col(text_col)).alias("m"))
     flat = materialize(m.select("doc_id", "host", "m.*"), "quality-measures")
     flags = flat.select("*", *[x.alias(r) for r, x in rules({c: F.col(c) for c in flat.columns}).items()])
-    verdicts = materialize(host_verdicts(flags.select("host", *RULES), max_rate), "quality-hosts")
+    verdicts = materialize(host_verdicts(flags.select("host", *RULES), **limits), "quality-hosts")
     failed = F.col("short") | F.col("repeats")
     bad = failed | F.col("symbols") | F.col("lines") | F.col("shout")
     joined = flags.withColumn("h", F.coalesce(F.concat(F.lit("="), "host"), F.lit(""))).join(verdicts.withColumn("h", F.coalesce(F.concat(F.lit("="), "host"), F.lit(""))).drop("host"), "h")
     return joined.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~bad).alias("doc_ok"), "host_docs", *[f"rate_{r}" for r in RULES], "host_ok", (~bad & F.col("host_ok")).alias("kept"))
 
 
-def keep_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
+def keep_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", **limits: float) -> DataFrame:
     """``docs`` without the documents that ``judge`` rejects; every column stays as it is."""
     m, h = fresh_name(docs, "_measures"), fresh_name(docs, "_host")
     measured = materialize(docs.withColumn(m, measures(F.col(text_col))), "quality-docs")
     own = rules(F.col(m))
-    verdicts = host_verdicts(measured.select(F.col(host_col).cast("string").alias("host"), *[x.alias(r) for r, x in own.items()]), max_rate)
+    verdicts = host_verdicts(measured.select(F.col(host_col).cast("string").alias("host"), *[x.alias(r) for r, x in own.items()]), **limits)
     ok = materialize(verdicts.filter("host_ok").select(F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias(h)), "quality-hosts")
     passed = measured.filter(~(own["short"] | own["repeats"] | own["symbols"] | own["lines"] | own["shout"]))
     return passed.withColumn(h, F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit(""))).join(ok, h, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -139,11 +148,14 @@ counted AS (
 hosts AS (SELECT source, n, unnest([1, 2, 3, 4, 5]) AS rule, unnest([c1, c2, c3, c4, c5]) AS c FROM counted),
 prior AS (
   SELECT rule, avg(c / n) AS mean, var_pop(c / n) - avg(c / n) * (1 - avg(c / n)) * avg(1 / n) AS spread FROM hosts GROUP BY rule),
-rated AS (
-  SELECT source, max((c + mean * k) / (n + k)) AS rate FROM hosts JOIN (
-    SELECT rule, mean, CASE WHEN spread > 0 AND mean > 0 AND mean < 1 THEN greatest(1, mean * (1 - mean) / spread - 1) ELSE 10 END AS k
-    FROM prior) USING (rule) GROUP BY source)
+strength AS (
+  SELECT rule, mean, CASE WHEN spread > 0 AND mean > 0 AND mean < 1 THEN greatest(1, mean * (1 - mean) / spread - 1) ELSE 10 END AS k
+  FROM prior),
+shrunk AS (
+  SELECT source, n, k, (c + mean * k) / (n + k) AS p, least(0.5, greatest(0.2, mean + 3 * sqrt(mean * (1 - mean) / (k + 1)))) AS top
+  FROM hosts JOIN strength USING (rule)),
+rated AS (SELECT source, bool_and(p - sqrt(p * (1 - p) / (n + k + 1)) <= top) AS host_ok FROM shrunk GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,
-  NOT (short OR repeats OR symbols OR lines OR shout) AND rate <= 0.5 AS kept
+  NOT (short OR repeats OR symbols OR lines OR shout) AND host_ok AS kept
 FROM f JOIN rated ON f.source IS NOT DISTINCT FROM rated.source
 """
