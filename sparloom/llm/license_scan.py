@@ -1,7 +1,7 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-A block is a sentence, which may be wrapped over lines; blank lines end it. Template words are put in one global order, rarest in the corpus first
-(counted over all documents). A template of n words must share ceil(t * n) words with a block; so a block
+A block is a sentence, which may be wrapped over lines; a line without words ends it. Template words are put in
+one global order, rarest in the corpus first (counted over all documents). A template of n words must share ceil(t * n) words with a block; so a block
 must hold one of the template's first n - ceil(t * n) + 1 words (prefix filter), have enough words (length
 filter), and, from the places of the first shared word in both, be able to reach the overlap (positional
 filter). What is left is verified on whole word sets, so the result is exact.
@@ -33,22 +33,63 @@ from sparloom.llm import tokens
 THRESHOLD = 0.9
 #: (phrase, label): places where the words stand consecutively.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: (label, sentence).
+# The sentences of well-known licences and notices, as (label, sentence). A sentence ends where a
+# block does, so what follows a semicolon in the licence is a template of its own.
 TEMPLATES = (
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit", "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement"),
+    ("mit", "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("apache-2", "Licensed under the Apache License, Version 2.0"),
     ("apache-2", "You may not use this file except in compliance with the License"),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
+    ("apache-2", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is basis, without warranties or conditions of any kind, either express or implied"),
+    ("apache-2", "See the License for the specific language governing permissions and limitations under the License"),
+    ("apache-2", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form"),
     ("gpl", "Redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program"),
+    ("gpl", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"),
+    ("gpl-2", "either version 2 of the License, or (at your option) any later version"),
+    ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
+    ("gpl-3", "either version 3 of the License, or (at your option) any later version"),
+    ("lgpl", "Redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("lgpl", "You should have received a copy of the GNU Lesser General Public License along with this library"),
+    ("agpl-3", "Redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("agpl-3", "You should have received a copy of the GNU Affero General Public License along with this program"),
+    ("gnu-warranty", "This program is distributed in the hope that it will be useful, but without any warranty"),
+    ("gnu-warranty", "without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
+    ("mpl-2", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
+    ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("bsd", "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("bsd", "In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services"),
+    ("bsd-3", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0"),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty"),
+    ("zlib", "In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+    ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by", "Except where otherwise noted, content on this site is licensed under a Creative Commons Attribution 4.0 International license"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-sa", "Text is available under the Creative Commons Attribution-ShareAlike License"),
     ("all-rights-reserved", "All rights reserved"),
-)
+)
 
 
 def hashed(text: str) -> np.ndarray:
@@ -115,11 +156,12 @@ class Index:
 
 
 def block_edges(data: np.ndarray) -> np.ndarray:
-    """Offsets of the bytes that end a block: line ends before a blank line, and . ! ? or ; before white space."""
+    """Offsets of the bytes that end a block: line ends before a line without words, and . ! ? or ; before white
+    space."""
     stop = np.isin(data, np.frombuffer(b".!?;", np.uint8))
     space = tokens.SPACE[data]
     lines = np.flatnonzero(data == 10)
-    seen = np.cumsum(~space)[lines]
+    seen = np.cumsum(~tokens.PUNCTUATION[data])[lines]
     blank = np.zeros(len(data), bool)
     blank[lines[:-1]] = seen[1:] == seen[:-1]
     return np.flatnonzero(blank | (stop & np.append(space[1:], True)))
@@ -203,7 +245,7 @@ base AS (
   SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(label) AS found FROM places GROUP BY r),
 blocks AS (
   SELECT r, list_distinct(regexp_extract_all(b, '{words}')) AS ws
-  FROM (SELECT r, unnest(regexp_split_to_array(low, '\\n|[.!?;](?:[\\x20\\x09-\\x0D]|$)')) AS b FROM t)),
+  FROM (SELECT r, unnest(regexp_split_to_array(low, '\\n[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]*\\n|[.!?;](?:[\\x20\\x09-\\x0D]|$)')) AS b FROM t)),
 met AS (
   SELECT r, label, len(list_intersect(ws, tw)) / len(tw) AS share FROM blocks JOIN templates
   ON len(ws) >= need AND len(list_intersect(ws, tw)) >= need),
