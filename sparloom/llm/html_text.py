@@ -22,6 +22,7 @@ import re
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,8 +39,8 @@ SCALE = 1000
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
-    |<(?:svg|math)\b(?>[^>"']|"[^"<]*"|'[^'<]*')*+(?<=/)>
-    |<(?P<raw>script|style|noscript|template|textarea|svg|math|iframe|object|select|button|title)\b(?>[^>"']|"[^"<]*"|'[^'<]*')*+>.*?(?:</(?P=raw)\s*>|\Z)
+    |<svg\b(?>[^>"']|"[^"<]*"|'[^'<]*')*+(?<=/)>
+    |<(?P<raw>script|style|noscript|template|textarea|svg|annotation|annotation-xml|iframe|object|select|button|title)\b(?>[^>"']|"[^"<]*"|'[^'<]*')*+>.*?(?:</(?P=raw)\s*>|\Z)
     |<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?>[^>"']|"[^"<]*"|'[^'<]*')*+|[^>]*)(?:>|\Z)""",
     re.S | re.I | re.X,
 )
@@ -69,17 +70,19 @@ class Block:
     features: tuple[str, ...] = field(default=())
 
 
-def _meaning(name: str, attrs: str) -> int:
-    """1: holds content, -1: holds none, 0: says nothing."""
-    if name in OUTSIDE:
+def _meaning(name: str, attrs: str, before: int) -> int:
+    """1: holds content, -1: holds none, 0: says nothing. ``before``: what the element around it says; the header
+    of an article is part of it. Elements that hold content speak by their tag and by whole names only."""
+    headline = name == "header" and before > 0
+    if name in OUTSIDE and not headline:
         return -1
     said = 1 if name in INSIDE else 0
     if "=" in attrs and name not in ("html", "body"):
         for m in MARK.finditer(attrs):
             names = (m[1] or m[2] or m[3] or "").lower().split()
             split = {n: re.split(r"[-_]+", n) for n in names}
-            parts = {x for n, xs in split.items() for x in ((n,) if BESIDE.intersection(xs) else (n, *xs))}
-            if parts & OUT_WORDS:
+            parts = {x for n, xs in split.items() for x in ((n,) if name in INSIDE or BESIDE.intersection(xs) else (n, *xs))}
+            if (parts - {"header", "masthead"} if headline else parts) & OUT_WORDS:
                 return -1
             if parts & IN_WORDS:
                 said = 1
@@ -91,6 +94,7 @@ def blocks(page: str) -> list[Block]:
     says nothing, nor does a form around most of the page's text."""
     found: list[Block] = []
     stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # name, number, meaning, the form that gave it
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     linked, in_link, numbers, last = 0, 0, 0, 0
 
@@ -131,21 +135,20 @@ def blocks(page: str) -> list[Block]:
             close()
             in_link = 0
             if m["end"]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                if opened[name]:
+                    while (gone := stack.pop()[0]) != name:
+                        opened[gone] -= 1
+                    opened[name] -= 1
             elif name not in VOID:
                 for group in CLOSES:
                     if name in group and stack[-1][0] in group:
-                        stack.pop()
+                        opened[stack.pop()[0]] -= 1
                 if name != "p" and stack[-1][0] == "p":
-                    stack.pop()
-                said = _meaning(name, m["attrs"] or "")
+                    opened[stack.pop()[0]] -= 1
                 before = stack[-1][2]
+                said = _meaning(name, m["attrs"] or "", before)
                 numbers += 1
-                if name == "header" and before > 0 and not MARK.search(m["attrs"] or ""):
-                    said = 0
+                opened[name] += 1
                 form = numbers if name == "form" else 0 if said else stack[-1][3]
                 stack.append((name, numbers, said or before, form))
     if last < len(page):
@@ -195,8 +198,9 @@ def weights(counts: dict[tuple[str, int], int]) -> dict[str, float]:
 
 def max_flow_cut(source: list[int], sink: list[int], edges: dict[tuple[int, int], int]) -> list[bool]:
     """Which nodes stay with the source in a minimum cut. source, sink: capacities of the terminal edges;
-    edges: undirected capacities. Shortest augmenting paths, after nodes whose terminals outweigh all their
-    edges have been decided, which no minimum cut contradicts."""
+    edges: undirected capacities. Nodes whose terminals outweigh all their edges are decided first, which no
+    minimum cut contradicts; for the others, all shortest paths of a breadth-first search are filled in one
+    sweep, again and again (blocking flows), so that long pages take little more than a few sweeps."""
     n = len(source)
     excess = [a - b for a, b in zip(source, sink, strict=True)]
     near: list[dict[int, int]] = [{} for _ in range(n)]
@@ -218,30 +222,41 @@ def max_flow_cut(source: list[int], sink: list[int], edges: dict[tuple[int, int]
     room = {k: dict(near[k]) for k in left}
     inflow, outflow = {k: max(0, excess[k]) for k in left}, {k: max(0, -excess[k]) for k in left}
     while True:
-        back: dict[int, int | None] = {k: None for k in left if inflow[k] > 0}
-        queue, end = deque(back), None
+        level = {k: 0 for k in left if inflow[k] > 0}
+        queue, starts, open_end = deque(level), list(level), False
         while queue:
             k = queue.popleft()
-            if outflow[k] > 0:
-                end = k
-                break
+            open_end |= outflow[k] > 0
             for j, c in room[k].items():
-                if c > 0 and j not in back:
-                    back[j] = k
+                if c > 0 and j not in level:
+                    level[j] = level[k] + 1
                     queue.append(j)
-        if end is None:
-            break
-        path = [end]
-        while back[path[-1]] is not None:
-            path.append(back[path[-1]])
-        path.reverse()
-        push = min(inflow[path[0]], outflow[end], *[room[a][b] for a, b in zip(path, path[1:])])  # noqa: B905
-        inflow[path[0]] -= push
-        outflow[end] -= push
-        for a, b in zip(path, path[1:]):  # noqa: B905
-            room[a][b] -= push
-            room[b][a] += push
-    return [back_or is True if back_or is not None else k in back for k, back_or in enumerate(label)]
+        if not open_end:
+            return [level_or is True if level_or is not None else k in level for k, level_or in enumerate(label)]
+        arcs, tried = {k: list(room[k]) for k in level}, dict.fromkeys(level, 0)
+        for start in starts:
+            path = [start]
+            while path and inflow[start] > 0:
+                k = path[-1]
+                if outflow[k] > 0:
+                    push = min(inflow[start], outflow[k], *[room[a][b] for a, b in pairwise(path)])
+                    inflow[start] -= push
+                    outflow[k] -= push
+                    for a, b in pairwise(path):
+                        room[a][b] -= push
+                        room[b][a] += push
+                    full = next((n for n, (a, b) in enumerate(pairwise(path)) if not room[a][b]), len(path) - 1)
+                    del path[full + 1 :]
+                elif tried[k] < len(arcs[k]):
+                    j = arcs[k][tried[k]]
+                    if room[k][j] > 0 and level.get(j) == level[k] + 1:
+                        path.append(j)
+                    else:
+                        tried[k] += 1
+                else:
+                    path.pop()
+                    if path:
+                        tried[path[-1]] += 1
 
 
 def extract(page: str, odds: dict[str, float]) -> str:
