@@ -7,18 +7,22 @@ the number of differing bits verifies them.
 
 Fingerprints, not documents, are joined: equal ones are grouped first. A bucket is first tied to its
 smallest fingerprint (a linear number of pairs); only fingerprints of a bucket that are in different
-components after that are compared with each other, all of them, so no link that could change a component
-is missed and a large group of near copies does not give all its pairs.
+components after that are compared with each other, cut once more by the bytes of the other segment, of which
+one must agree. So no link that could change a component is missed, a large group of near copies does not
+give all its pairs, and a crowded bucket is many small ones.
 
 Defined results: null and blank texts have no shingles and the fingerprint zero, which links like any
 other; a text of fewer words than a shingle is one shingle; a null id takes part, gets its group's
 smallest id, and is null if the group has no other; repeated ids are rows of their own; an empty table
-gives an empty result; other columns are left out.
+gives an empty result; other columns are left out. keep_one and keep_similar_once keep all columns and one
+row of each group: that of the smallest id, null ids last; among rows of equal id and text, of the smallest
+hash of all columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -99,55 +103,73 @@ def link(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     labelled = met.select("key", "fp").join(first, F.col("fp") == F.col("a"), "left").select("key", "fp", F.coalesce("b", "fp").alias("c"))
     mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
     rest = materialize(labelled.join(mixed, "key"), "simhash-rest")
-    left, right = rest.select("key", F.col("fp").alias("x"), F.col("c").alias("cx")), rest.select("key", F.col("fp").alias("y"), F.col("c").alias("cy"))
-    differ = F.col("x").bitwiseXOR(F.col("y"))
+    # three bits leave one of the four bytes of the other segment as it is: a crowded bucket is cut by these
     at = F.shiftright("key", SEGMENT_BITS).cast("int")
+    other = lambda c: F.when(at < SEGMENT_BITS, F.shiftrightunsigned(c, SEGMENT_BITS)).otherwise(c.bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)))
+    byte = lambda c, k: F.shiftright(c, 8 * k).bitwiseAND(F.lit(255))
+    cut = rest.select("key", "fp", "c", other(F.col("fp")).alias("o")).select("key", "fp", "c", F.inline(F.array(*[F.struct(F.lit(k).alias("part"), byte(F.col("o"), k).alias("byte")) for k in range(SEGMENT_BITS // 8)])))
+    left, right = cut.select("key", "part", "byte", F.col("fp").alias("x"), F.col("c").alias("cx")), cut.select("key", "part", "byte", F.col("fp").alias("y"), F.col("c").alias("cy"))
+    differ = F.col("x").bitwiseXOR(F.col("y"))
     segment = F.when(at < SEGMENT_BITS, differ.bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))).otherwise(F.shiftrightunsigned(differ, SEGMENT_BITS))
-    meets_here = (segment != 0) | (at % SEGMENT_BITS == 0)
-    more = left.join(right, (left.key == right.key) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (F.bit_count(differ) <= max_bits)).select(left.key.alias("key"), "x", "y", "cx", "cy").filter(meets_here)
+    earlier = reduce(lambda a, k: a | ((F.col("part") > k) & (byte(other(differ), k) == 0)), range(SEGMENT_BITS // 8 - 1), F.lit(False))
+    meets_here = ((segment != 0) | (at % SEGMENT_BITS == 0)) & ~earlier
+    more = left.join(right, ["key", "part", "byte"]).filter((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (F.bit_count(differ) <= max_bits) & meets_here)
     second = components(more.select(F.col("cx").alias("a"), F.col("cy").alias("b")))
     moved = first.join(second.select(F.col("a").alias("b"), F.col("b").alias("root")), "b", "left").select("a", F.coalesce("root", "b").alias("b"))
     return moved.union(second.select("a", "b")).distinct()
 
 
+def _roots(own: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, first, root) of the fingerprints of rows (doc_id, fp): the smallest id, and one name a component."""
+    firsts = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    linked = link(firsts.select("fp"), max_bits)
+    return materialize(firsts.join(linked, F.col("fp") == F.col("a"), "left").select("fp", "first", F.coalesce("b", "fp").alias("root")), "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document; the component is named by its smallest id."""
     own = materialize(fingerprints(docs, id_col, text_col, size, seed), "simhash-docs")
-    firsts = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = link(firsts.select("fp"), max_bits)
-    rooted = materialize(firsts.join(linked, F.col("fp") == F.col("a"), "left").select("fp", "first", F.coalesce("b", "fp").alias("root")), "simhash-roots")
+    rooted = _roots(own, max_bits)
     named = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-names")
     classes = rooted.join(named, "root").select("fp", "component_id")
     return own.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of each group; all columns stay. Of rows with one
-    id, one stays; rows without an id stay."""
-    found = materialize(near_duplicates(docs, id_col, text_col, **settings).filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id")), "simhash-classes")
-    gone = materialize(found.filter("n > 1 or doc_id <> component_id").select("doc_id"), "simhash-gone")
-    once = found.filter("n > 1 and doc_id = component_id").select(F.col("doc_id").alias("__kept_id"))
-    one = docs.join(materialize(once, "simhash-once"), F.col(f"`{id_col}`") == F.col("__kept_id"), "left_semi").dropDuplicates([id_col])
-    return without_keys(docs, id_col, gone, "doc_id").unionAll(one)
-
-
 def _first_rows(docs: DataFrame, key: str, found: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of ``found`` (key, doc_id, root): that of the smallest id, ids that
     are null last."""
     found = materialize(found.groupBy("root", "key").agg(F.count("*").alias("n"), F.first("doc_id").alias("doc_id")), "classes")
     firsts = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"].alias("first"))
+    kept_key = fresh_name(docs, "_kept_key")
     told = materialize(found.join(firsts, "root").select("key", "n", (F.col("key") == F.col("first")).alias("kept")), "classes-told")
-    gone = told.filter("n > 1 or not kept").select(F.col("key").alias("__gone_key"))
-    once = materialize(told.filter("n > 1 and kept").select(F.col("key").alias("__kept_key")), "classes-once")
-    one = docs.join(once, F.col(key) == F.col("__kept_key"), "left_semi").dropDuplicates([key])
-    return without_keys(docs, key, gone, "__gone_key").unionAll(one)
+    gone = told.filter("n > 1 or not kept").select("key")
+    once = materialize(told.filter("n > 1 and kept").select(F.col("key").alias(kept_key)), "classes-once")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    several = docs.join(once, F.col(f"`{key}`") == F.col(kept_key), "left_semi")
+    one = several.groupBy(F.col(f"`{key}`").alias(kept_key)).agg(F.min_by(F.struct(*own), F.xxhash64(*plain)).alias("row")).select("row.*")
+    return without_keys(docs, key, gone, "key").unionAll(one)
+
+
+def _with_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with a key of id and text, and its name."""
+    key = fresh_name(docs, "_row_key")
+    return docs.withColumn(key, F.concat_ws("/", F.coalesce(F.concat(F.lit("+"), F.col(f"`{id_col}`").cast("string")), F.lit("-")), F.xxhash64(F.col(f"`{text_col}`")))), key
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row, that of the smallest id, of each group of linked fingerprints; all columns stay."""
+    keyed, key = _with_key(docs, id_col, text_col)
+    rows = keyed.select(F.struct(F.col(key).alias("key"), F.col(f"`{id_col}`").alias("doc_id")).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    own = materialize(fingerprints(rows, size=size, seed=seed), "simhash-docs")
+    found = own.join(_roots(own, max_bits), "fp").select("doc_id.key", "doc_id.doc_id", "root")
+    return _first_rows(keyed, key, found).drop(key)
 
 
 def keep_similar_once(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = similar_sets.SHINGLE, similarity: float = similar_sets.SIMILARITY) -> DataFrame:
     """``docs`` with one row, that of the smallest id, of each group that is linked by a Jaccard similarity of
     ``size``-word shingles of ``similarity`` or more; all columns stay."""
-    key = fresh_name(docs, "_row_key")
-    keyed = docs.withColumn(key, F.concat_ws("/", F.coalesce(F.concat(F.lit("+"), F.col(f"`{id_col}`").cast("string")), F.lit("-")), F.xxhash64(F.col(f"`{text_col}`"))))
+    keyed, key = _with_key(docs, id_col, text_col)
     found = similar_sets.groups(keyed.select(F.col(key).alias("key"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), size, similarity)
     return _first_rows(keyed, key, found).drop(key)
 
