@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparloom.llm.common import fresh_name, materialize, words
+from sparloom.operators.basics import global_place
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -29,24 +30,25 @@ HALF_DIGITS = 2
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(key, source_size, target) of each source, from rows (key, size).
-
-    Works on one row per source (the components of the mix, not documents); the capped sources are
-    those at the low end of cap * size / weight, found with running sums in exact integers."""
+    """(key, source_size, target) of each source, from rows (key, size), by rounds of aggregates over one row a
+    source: every round caps the sources whose share of what is left is above ``cap`` times their words, until
+    none is. Sources are placed, for their weights, by ranges of their names, so no task sorts them all."""
     per = sizes.groupBy("key").agg(F.sum("size").alias("source_size"))
     cycle = F.array(*[F.lit(w) for w in weights])
-    ranked = per.withColumn("w", cycle[((F.row_number().over(Window.orderBy("key")) - 1) % len(weights))].cast("decimal(38,0)"))
-    top = (F.col("source_size") * cap).cast("decimal(38,0)")
-    by_room = Window.orderBy(top.cast("double") / F.col("w").cast("double"), "key")
-    before = by_room.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    state = ranked.select("key", "source_size", "w", top.alias("top"), F.sum("source_size").over(everything).cast("decimal(38,0)").alias("total"), F.sum("w").over(everything).alias("all_w"), F.coalesce(F.sum(top).over(before), F.lit(0)).alias("top_before"), F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w_before"))
-    capped = (F.col("total") - F.col("top_before")).cast("double") * F.col("w").cast("double") > F.col("top").cast("double") * (F.col("all_w") - F.col("w_before")).cast("double")
-    flagged = state.withColumn("capped", capped)
-    rest = F.col("total") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("top"))).over(everything), F.lit(0))
-    open_w = F.coalesce(F.sum(F.when(~F.col("capped"), F.col("w"))).over(everything), F.lit(0))
-    shared = F.col("w").cast("double") * rest.cast("double") / open_w.cast("double")
-    return flagged.select("key", "source_size", F.when(F.col("capped"), F.col("top").cast("double")).otherwise(shared).alias("target"))
+    w, top = cycle[(F.col("_place") % len(weights)).cast("int")], F.col("source_size") * cap
+    ranked = materialize(global_place(per, [F.col("key")]).select("key", "source_size", w.cast("long").alias("w"), top.alias("top")), "mix-sources")
+    total = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    capped, n = F.lit(False), -1
+    while True:
+        full = ranked.agg(F.coalesce(F.sum(F.when(capped, F.col("top"))), F.lit(0)), F.coalesce(F.sum(F.when(~capped, F.col("w"))), F.lit(0)), F.count_if(capped)).first()
+        rest, open_w = float(total - full[0]), float(full[1])
+        share = F.col("w").cast("double") * F.lit(rest) / F.lit(open_w) if open_w else F.lit(0.0)
+        if full[2] == n or not open_w:
+            break
+        n = full[2]
+        # capped once, capped for good: what is left for the others only grows
+        capped = F.lit(rest) * F.col("w").cast("double") > F.col("top").cast("double") * F.lit(open_w)
+    return ranked.select("key", "source_size", F.when(capped, F.col("top").cast("double")).otherwise(share).alias("target"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -81,11 +83,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
     """The mix itself: each document's row once per copy, with copy (from 1), size, source_size, target and
-    taken (the words of this copy) beside its own columns, which must not have these names."""
+    taken (the words of this copy) beside its own columns; of these, a name that a column has already gets
+    underscores before it."""
     row = fresh_name(docs, "_row")
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
     found = mix(numbered, id_col, text_col, source_col, carry=(row,), **settings).filter("copies > 0")
-    emitted = found.select(row, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), "size", "source_size", "target", F.col("size").alias("taken"))
+    name = {c: fresh_name(docs, c) for c in ("copy", "size", "source_size", "target", "taken")}
+    emitted = found.select(row, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(name["copy"]), *[F.col(c).alias(name[c]) for c in ("size", "source_size", "target")], F.col("size").alias(name["taken"]))
     return numbered.join(emitted, row).drop(row)
 
 

@@ -12,7 +12,7 @@ def texts(documents):
 
 
 #: Names that operators use inside; inputs may have them as columns of their own.
-CLASHING = ("n_words", "fp", "key", "hash", "score", "kept", "host", "m", "h", "th", "c", "size", "class", "salt", "spans", "component_id", "base_failed", "copies", "_measures", "_candidates", "_key")
+CLASHING = ("n_words", "fp", "key", "hash", "score", "kept", "host", "m", "h", "th", "c", "size", "class", "salt", "spans", "component_id", "base_failed", "copies", "_measures", "_candidates", "_key", "_bitmap", "_page", "_place", "_target", "_kept_key", "__kept_key", "__kept_id", "copy", "source_size", "target", "taken", "_row", "_row_key")
 LONG = "lorem Ipsum " * 30_000
 
 

@@ -38,10 +38,12 @@ def test_findings_only(spark, odd, none):
 
 
 def test_filters_keep_columns(spark, odd, none):
-    steps = {"quality": quality_rules.keep_documents, "one": simhash.keep_one, "clean": lambda d: decontamination.clean_documents(d, bench(spark)), "redact": lambda d: pii.redact(d, length_col="n_chars")}
+    steps = {"quality": quality_rules.keep_documents, "one": simhash.keep_one, "similar": simhash.keep_similar_once, "clean": lambda d: decontamination.clean_documents(d, bench(spark)), "redact": lambda d: pii.redact(d, length_col="n_chars")}
     for step in steps.values():
         assert step(odd).columns == odd.columns
         assert step(none).count() == 0
+    for d in (odd, none):
+        assert mixing.mixture(d).columns == [*odd.columns, "_copy", "_size", "_source_size", "__target", "_taken"]
     plain = odd.select("doc_id", "text", "lang", "source", "n_chars")
     assert mixing.mixture(plain.limit(0)).count() == 0
     mixed = mixing.mixture(plain).collect()
@@ -73,3 +75,10 @@ def test_a_row_in_a_group_stays(spark):
     rows = [(5, base), (3, base), (9, base + " more"), (4, "another text with words that differ in all places"), (4, "another text with words that differ in all places")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4]
+
+
+def test_two_texts_under_one_id_stay(spark):
+    rows = [(1, "alpha beta gamma delta epsilon"), (1, "one two three four five six"), (2, "alpha beta gamma delta epsilon"), (None, "seven eight nine ten eleven"), (None, "seven eight nine ten eleven")]
+    for step in (simhash.keep_one, simhash.keep_similar_once):
+        kept = step(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, rows[3][1]), *sorted(rows[:2])]
