@@ -4,7 +4,8 @@ import re
 
 import corpus_pipeline
 from llm_helpers import low, words
-from test_brute_force import fingerprint, smallest, spans
+from test_brute_force import smallest, spans
+from test_similar_sets import near, shingles
 
 from sparloom.llm.common import materialize
 from sparloom.llm.decontamination import tile
@@ -27,8 +28,8 @@ def test_stages(spark, sf):
     lost = [i for i in start if labels.get(i) == 1 and i not in good and len(plain(start[i].text)) >= 10]
     grams = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
     assert all(len(set(g := grams(plain(start[i].text)))) < len(g) for i in lost)
-    rows = sorted((i, fingerprint(r.text)) for i, r in good.items())
-    roots = smallest(len(rows), lambda a, b: (rows[a][1] ^ rows[b][1]).bit_count() <= 3)
+    rows = sorted((i, shingles(r.text)) for i, r in good.items())
+    roots = smallest(len(rows), lambda a, b: near(rows[a][1], rows[b][1]))
     assert sorted(one) == sorted({rows[k][0] for k in roots})
     items = [re.findall("[0-9a-z\x80-\U0010ffff]+", low(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     for i, r in one.items():
