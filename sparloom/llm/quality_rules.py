@@ -21,12 +21,12 @@ from __future__ import annotations
 
 import math
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import SPACES, UPPER, count_chars, fresh_name, let, materialize, words
+from sparloom.llm.common import SPACES, UPPER, count_chars, fresh_name, let, materialize, without_keys, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -106,13 +106,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 def keep_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", **limits: float) -> DataFrame:
     """``docs`` without the documents that ``judge`` rejects; every column stays as it is."""
-    m, h = fresh_name(docs, "_measures"), fresh_name(docs, "_host")
-    measured = materialize(docs.withColumn(m, measures(F.col(text_col))), "quality-docs")
-    own = rules(F.col(m))
-    verdicts = host_verdicts(measured.select(F.col(host_col).cast("string").alias("host"), *[x.alias(r) for r, x in own.items()]), **limits)
-    ok = materialize(verdicts.filter("host_ok").select(F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias(h)), "quality-hosts")
-    passed = measured.filter(~(own["short"] | own["repeats"] | own["symbols"] | own["lines"] | own["shout"]))
-    return passed.withColumn(h, F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit(""))).join(ok, h, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = fresh_name(docs, "_row_key")
+    host, text = F.col(f"`{host_col}`").cast("string"), F.col(f"`{text_col}`")
+    # rows of equal text and host share their verdict, so a hash of both is their key; wide rows are written nowhere
+    keyed = docs.withColumn(key, F.concat_ws("/", F.coalesce(F.concat(F.lit("="), host), F.lit("")), F.xxhash64(text), F.coalesce(F.length(text), F.lit(-1))))
+    m = materialize(keyed.select(F.col(f"`{key}`").alias("key"), host.alias("host"), measures(text).alias("m")).select("key", "host", *[x.alias(r) for r, x in rules(F.col("m")).items()]), "quality-rules")
+    verdicts = materialize(host_verdicts(m.select("host", *RULES), **limits).filter("not host_ok").select(F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("bad_host")), "quality-hosts")
+    own = reduce(or_, [F.col(r) for r in RULES])
+    of_host = m.select("key", F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("h")).join(verdicts, F.col("h") == F.col("bad_host"), "left_semi")
+    gone = materialize(m.filter(own).select("key").unionByName(of_host.select("key")).distinct(), "quality-gone")
+    return without_keys(keyed, key, gone, "key").drop(key)
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
