@@ -32,3 +32,22 @@ def test_labels_are_no_features():
 
 def test_no_span_is_added_to_given_texts(spark, documents):
     assert pii.find(documents).filter(F.exists("found", lambda s: ~s["base"])).count() == 0
+
+
+def test_precision_and_recall_on_texts_of_another_seed(spark, documents):
+    """Made texts that the trees have not seen: a text counts as found if a span of its kind is added."""
+    made = pii.examples(150, seed=2024)
+    d = spark.createDataFrame([(1_000_000 + k, text) for k, (text, _, _) in enumerate(made)], "doc_id long, text string")
+    found = pii.find(documents.select("doc_id", "text").union(d)).filter("doc_id >= 1000000")
+    kinds = {r.doc_id - 1_000_000: {s.kind for s in r.found if not s.base} for r in found.collect()}
+    told = [(kind in kinds[k], label) for k, (_, kind, label) in enumerate(made)]
+    hit = sum(yes and label for yes, label in told)
+    assert hit / sum(yes for yes, _ in told) >= 0.9
+    assert hit / sum(label for _, label in told) >= 0.9
+
+
+def test_thresholds_are_there(spark, documents):
+    own = pii.find(documents)  # the model of the given texts alone
+    assert own.count() == documents.count()
+    candidates = documents.select(F.xxhash64("text").alias("h"), pii.candidates(F.col("text")).alias("c"))
+    assert set(pii.fit_model(candidates, "c", "h")) >= {0, 2, 3}
