@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparloom import vocabulary as V
-from sparloom.functions.text import clean
+from sparloom.functions.text import clean, stripped
 
 
 def as_float(c: Column) -> Column:
     """A number, or 0 where there is none."""
-    return F.coalesce(F.trim(c.cast("string")).try_cast("double"), F.lit(0.0))
+    return F.coalesce(stripped(c.cast("string")).try_cast("double"), F.lit(0.0))
 
 
 def event_confidence(c: Column, is_number: bool = False) -> Column:
@@ -77,7 +77,7 @@ def rejection_kind(message: Column) -> Column:
 def lenient_json(text: Column) -> Column:
     """VARIANT of model text: code fences stripped; else what stands between the first { and the last };
     null if neither parses."""
-    bare = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"(?s)^```[A-Za-z]*\s*|\s*```\s*$", "")
+    bare = F.regexp_replace(stripped(F.coalesce(text, F.lit(""))), r"(?s)^```[A-Za-z]*\s*|\s*```\s*$", "")
     start = F.instr(bare, "{")
     end = F.length(bare) - F.instr(F.reverse(bare), "}") + 1
     inner = F.when((start > 0) & (end > start), F.substring(bare, start, end - start + 1))
@@ -123,3 +123,14 @@ def column_number(cell: Column) -> Column:
 def position_value(c: Column) -> Column:
     """Left and right stay as they are written: a viewer's side is not turned into the figure's."""
     return c
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """A number from 1/128 up to 8 to ``digits`` places, by its exact binary value and ties to even, as Python rounds;
+    Spark's own functions round the decimal text of a number. Smaller ones are cut to 60 binary places first."""
+    scale, one = 10**digits, 1 << 60
+    exact = (x * F.lit(float(one))).cast("bigint").cast("decimal(20,0)") * F.lit(scale).cast("decimal(8,0)")
+    down = F.call_function("div", exact, F.lit(one).cast("decimal(20,0)"))
+    rest = (exact - down.cast("decimal(20,0)") * F.lit(one).cast("decimal(20,0)")) * F.lit(2).cast("decimal(2,0)")
+    up = (rest > one) | ((rest == one) & (down % 2 == 1))
+    return (down + up.cast("bigint")) / F.lit(float(scale))

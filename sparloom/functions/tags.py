@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparloom import vocabulary as V
+from sparloom.functions.text import characters, stripped
 
 
 def tag_set(tags: Column) -> Column:
     """Distinct tags of a text with blanks between them."""
-    return F.array_distinct(F.filter(F.split(F.coalesce(tags, F.lit("")), r"\s+"), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.split(F.coalesce(tags, F.lit("")), characters(V.WHITE) + "+"), lambda t: t != ""))
 
 
 def literals(values) -> Column:
@@ -35,7 +36,7 @@ def single_subject(tags: Column) -> Column:
 def source_key(source: Column) -> Column:
     """The first URL of a text, or the text: without slashes at the end, lower-cased, then without query and
     fragment."""
-    text = F.trim(F.coalesce(source, F.lit("")))
+    text = stripped(F.coalesce(source, F.lit("")))
     url = F.regexp_extract(text, r"https?://\S+", 0)
     return F.regexp_replace(F.lower(F.rtrim(F.when(url != "", url).otherwise(text), F.lit("/"))), r"[?#].*$", "")
 
@@ -53,5 +54,5 @@ def character_signature(tags: Column, source: Column, post_id: Column) -> Column
 def identity_signature(rules: Column) -> Column:
     """Sorted id=value pairs of the identity rules (array of struct with id and value), joined by bars."""
     starts = lambda rid: F.greatest(*[F.startswith(rid, F.lit(p)) for p in V.IDENTITY_PREFIXES])
-    pairs = F.transform(F.filter(rules, lambda r: starts(r["id"]) & (F.trim(r["value"]) != "")), lambda r: F.concat_ws("=", r["id"], F.trim(r["value"])))
+    pairs = F.transform(F.filter(rules, lambda r: starts(r["id"]) & (stripped(r["value"]) != "")), lambda r: F.concat_ws("=", r["id"], stripped(r["value"])))
     return F.array_join(F.array_sort(pairs), "|")

@@ -15,9 +15,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def stripped(c: Column | str) -> Column:
+    """Text without white space of any script at its ends."""
+    return F.btrim(c, F.lit(V.WHITE))
+
+
+def characters(chars: str) -> str:
+    """A character class of a regular expression that holds just these."""
+    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
+
+
 def clean(c: Column) -> Column:
     """Trimmed text, null as blank."""
-    return F.coalesce(F.trim(c.cast("string")), F.lit(""))
+    return F.coalesce(stripped(c.cast("string")), F.lit(""))
 
 
 def first_filled(*columns: Column) -> Column:
@@ -57,7 +67,7 @@ def compact_text(text: Column, strip_ascii: bool = True) -> Column:
     """Text without white space and punctuation; in the element form also without ASCII letters, lower-cased."""
     text = F.coalesce(text, F.lit(""))
     text = F.lower(F.regexp_replace(text, "[A-Za-z]+", "")) if strip_ascii else text
-    return F.regexp_replace(text, r"[\s，。、'：:；;,.!！?？/|（）()\[\]{}<>《》-]+", "")
+    return F.regexp_replace(text, characters(V.WHITE + V.PUNCTUATION) + "+", "")
 
 
 def char_set(text: Column, strip_ascii: bool = True) -> Column:
@@ -83,7 +93,7 @@ def append_once(current: Column, item: Column) -> Column:
 
 def with_safe_rating(tags: Column) -> Column:
     """A tag query with single blanks that asks for safe ratings."""
-    tags = F.array_join(F.filter(F.split(F.coalesce(tags, F.lit("")), r"\s+"), lambda t: t != ""), " ")
+    tags = F.array_join(F.filter(F.split(F.coalesce(tags, F.lit("")), characters(V.WHITE) + "+"), lambda t: t != ""), " ")
     return F.when(F.array_contains(F.split(tags, " "), "rating:safe"), tags).otherwise(F.btrim(F.concat_ws(" ", tags, F.lit("rating:safe"))))
 
 
@@ -93,13 +103,13 @@ def slug(text: Column, fallback: str = "item") -> Column:
 
 
 def snake_case(text: Column) -> Column:
-    made = F.lower(F.btrim(F.regexp_replace(F.trim(F.coalesce(text.cast("string"), F.lit(""))), "[^A-Za-z0-9]+", "_"), F.lit("_")))
+    made = F.lower(F.btrim(F.regexp_replace(stripped(F.coalesce(text.cast("string"), F.lit(""))), "[^A-Za-z0-9]+", "_"), F.lit("_")))
     return F.coalesce(F.nullif(made, F.lit("")), F.lit("unnamed_rule"))
 
 
 def composite_parts(name: Column) -> Column:
     """Parts of a name at the joining character, trimmed, without blanks."""
-    return F.filter(F.transform(F.split(F.coalesce(name, F.lit("")), "与"), lambda p: F.trim(p)), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(name, F.lit("")), "与"), stripped), lambda p: p != "")
 
 
 def compound_halves(name: Column) -> Column:
@@ -108,7 +118,7 @@ def compound_halves(name: Column) -> Column:
     none = F.array().cast("array<string>")
     chosen = none
     for joint in ("和", "及", "与"):
-        halves = F.transform(F.split(F.coalesce(name, F.lit("")), joint, 2), lambda p: F.trim(p))
+        halves = F.transform(F.split(F.coalesce(name, F.lit("")), joint, 2), stripped)
         chosen = F.when((F.size(halves) == 2) & F.forall(halves, lambda p: F.length(p) >= 2), halves).otherwise(chosen)
     return chosen
 

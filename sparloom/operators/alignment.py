@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparloom.functions.parsing import rounded
 from sparloom.functions.similarity import sequence_ratio
 from sparloom.functions.text import append_once, finding_text, first_filled, set_jaccard, tokens
 
@@ -29,10 +32,11 @@ def _text(df: DataFrame, c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")
 
 
-def scored_pairs(findings: DataFrame, rules: DataFrame, sequences: bool = True) -> DataFrame:
+def scored_pairs(findings: DataFrame, rules: DataFrame, sequences: bool = True, scorer: Callable[[Column, Column], Column] = sequence_ratio) -> DataFrame:
     """Pairs of a finding (with _finding, an id of the row) and a rule of its sample, scored. Token sets are
     made once a row on each side; the pairs are an equality join on the sample, whose rules are few. Rules by
-    category and sample come before rules by sample alone."""
+    category and sample come before rules by sample alone. ``scorer``: the similarity of two texts that is the
+    sequence term. Scores are rounded by their binary value, ties to even."""
     f = findings.select("_finding", _text(findings, "category").alias("category"), _text(findings, "sample_id").alias("sample_id"), finding_text(findings.columns).alias("h_text"), F.lower(first_filled(_text(findings, "expected_value"), _text(findings, "expected_from_2d"))).alias("h_value"))
     f = f.withColumn("h_tokens", tokens(F.col("h_text")))
     r = rules.select(_text(rules, "category").alias("category"), "sample_id", "position", "rule_id", "value", F.concat_ws(" ", "rule_id", "value").alias("r_text"))
@@ -43,19 +47,19 @@ def scored_pairs(findings: DataFrame, rules: DataFrame, sequences: bool = True)
     pairs = exact.unionByName(loose)
     both = (F.size("h_tokens") > 0) & (F.size("r_tokens") > 0)
     pairs = pairs.withColumns({"jaccard": F.when(both, set_jaccard(F.col("h_tokens"), F.col("r_tokens"))).otherwise(0.0), "bonus": F.when((F.col("h_value") != "") & (F.col("value") != "") & F.contains(F.lower("value"), F.col("h_value")), BONUS).otherwise(0.0)})
-    sequence = sequence_ratio(F.lower("h_text"), F.lower("r_text")) if sequences else F.lit(0.0)
+    sequence = scorer(F.lower("h_text"), F.lower("r_text")) if sequences else F.lit(0.0)
     pairs = pairs.withColumn("sequence", sequence)
-    score = F.when(both, F.round(F.col("jaccard") * W_TOKENS + F.col("sequence") * W_SEQUENCE + F.col("bonus"), 4)).otherwise(0.0)
+    score = F.when(both, rounded(F.col("jaccard") * W_TOKENS + F.col("sequence") * W_SEQUENCE + F.col("bonus"), 4)).otherwise(0.0)
     overlap = F.size(F.array_intersect("h_tokens", "r_tokens"))
     reason = F.when(both, F.format_string("token_overlap=%d;jaccard=%.3f;sequence=%.3f;value_bonus=%.2f", overlap, "jaccard", "sequence", "bonus")).otherwise("empty_tokens")
     return pairs.withColumns({"mapping_score": score, "mapping_reason": reason}).withColumn("candidate_match_type", tier(F.col("mapping_score"), F.col("h_tokens"), F.col("r_tokens")))
 
 
-def align(findings: DataFrame, rules: DataFrame, top_k: int = TOP_K, min_score: float = MIN_SCORE, sequences: bool = True) -> tuple[DataFrame, DataFrame]:
+def align(findings: DataFrame, rules: DataFrame, top_k: int = TOP_K, min_score: float = MIN_SCORE, sequences: bool = True, scorer: Callable[[Column, Column], Column] = sequence_ratio) -> tuple[DataFrame, DataFrame]:
     """(candidates, review queue). Ties keep the order of the rules; a finding without candidates gives one
     row that says so; several high scores of one finding are a warning on all its rows."""
     f = findings.withColumn("_finding", F.struct("_file", "_row") if "_file" in findings.columns else F.struct("_row"))
-    pairs = scored_pairs(f, rules, sequences)
+    pairs = scored_pairs(f, rules, sequences, scorer)
     has_rules = pairs.select("_finding", F.lit(True).alias("_rules")).distinct()
     rank = Window.partitionBy("_finding").orderBy(F.desc("mapping_score"), "position")
     kept = pairs.filter(F.col("mapping_score") >= min_score).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= top_k)

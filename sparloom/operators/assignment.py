@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.functions.text import compound_halves
+from sparloom.functions.text import char_set, compound_halves
 
 ACCEPT, GOOD = 0.50, 0.65
 GREEDY, RELAXED, W_NAME, W_TEXT, SPLIT = 0.6, 0.6, 0.3, 0.7, 0.75
@@ -41,16 +41,20 @@ def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     return sorted(pairs if gain.shape[0] <= gain.shape[1] else [(j, i) for i, j in pairs])
 
 
-def char_similarity(a: str, b: str) -> float:
-    """The larger of Jaccard and overlap of the characters but white space and punctuation."""
-    drop = set(" \t\n\r\f\v，。、'：:；;,.!！?？/|（）()[]{}<>《》-")
-    x, y = set(a or "") - drop, set(b or "") - drop
+def char_similarity(a: list[str], b: list[str]) -> float:
+    """set_overlap of two lists of distinct characters."""
+    x, y = set(a or ()), set(b or ())
     if not x or not y:
         return 0.0
     shared = len(x & y)
     return max(shared / len(x | y), shared / min(len(x), len(y)))
 
 
+def _comparable(df: DataFrame, columns: list[str], vectors: bool) -> DataFrame:
+    """Texts as their distinct characters, by the one rule of ``functions.text``; vectors as they are."""
+    return df if vectors else df.withColumns({c: char_set(F.col(c), strip_ascii=False) for c in columns})
+
+
 def vector_similarity(a, b) -> float:
     a, b = np.asarray(a, float), np.asarray(b, float)
     size = np.linalg.norm(a) * np.linalg.norm(b)
@@ -94,7 +98,7 @@ def optimal(pred: DataFrame, gold: DataFrame, key: str, text: str = "text", vect
         gain = similar([x[text] for x in p], [x[text] for x in g], by)
         return [(p[i]["index"], g[j]["index"], float(gain[i, j]), "good" if gain[i, j] >= GOOD else "weak") for i, j in best_assignment(gain) if gain[i, j] >= accept]
 
-    pairs = _by_sample(pred, gold, key, ["index", text], ["index", text])
+    pairs = _by_sample(_comparable(pred, [text], vectors), _comparable(gold, [text], vectors), key, ["index", text], ["index", text])
     return _solved(pairs, key, gold.schema[key].dataType.simpleString(), solve, {"pred_index": pa.int32(), "gold_index": pa.int32(), "similarity": pa.float64(), "match_quality": pa.string()})
 
 
@@ -128,7 +132,8 @@ def greedy(pred: DataFrame, gold: DataFrame, key: str, name: str = "name", text:
         return rows
 
     fields = list(dict.fromkeys(["index", name, text]))
-    pairs = _by_sample(pred, gold, key, fields, list(dict.fromkeys(["index", "part", name, text])))
+    both = list(dict.fromkeys([name, text]))
+    pairs = _by_sample(_comparable(pred, both, vectors), _comparable(gold, both, vectors), key, fields, list(dict.fromkeys(["index", "part", name, text])))
     return _solved(pairs, key, gold.schema[key].dataType.simpleString(), solve, {"pred_index": pa.int32(), "gold_index": pa.int32(), "part": pa.int32(), "similarity": pa.float64()})
 
 

@@ -7,58 +7,76 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparloom.functions.text import stripped
 
-def _issues(df: DataFrame, severity: str, code: str, when: Column, message: Column, path: str = "path") -> DataFrame:
-    return df.filter(when).select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.col(path).alias("path"), message.alias("message"))
+
+ISSUE = "array<struct<severity:string,code:string,path:string,message:string>>"
+
+
+def _issue(severity: str, code: str, when: Column, message: Column, path: Column) -> Column:
+    """The issue as a struct, or null."""
+    return F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), path.alias("path"), message.alias("message")))
+
+
+def _found(df: DataFrame, *issues: Column) -> DataFrame:
+    return df.select(F.inline(F.array_compact(F.array(*issues))))
 
 
 def audit(documents: DataFrame, images: DataFrame) -> DataFrame:
     """Rows (severity, code, path, message). ``documents``: (path, v) with v a VARIANT or null; ``images``: (path,
-    sha256, width, height), width null where the header tells none. A source image is relative to its document."""
-    kind = F.call_function("schema_of_variant", F.col("v"))
-    text = lambda p: F.trim(F.coalesce(F.try_variant_get("v", p, "string"), F.lit("")))
-    is_object = F.startswith(kind, F.lit("OBJECT"))
-    d = documents.withColumns({"is_object": F.coalesce(is_object, F.lit(False)), "sample_id": text("$.sample_id"), "source": text("$.source_image"), "elements": F.try_variant_get("v", "$.elements", "array<variant>")})
-    ok = d.filter("is_object")
-    folder = F.regexp_replace("path", r"/[^/]*$", "")
-    absolute = F.startswith("source", F.lit("/"))
-    ok = ok.withColumn("image", F.when(F.col("source") != "", F.when(absolute, F.col("source")).otherwise(F.concat(folder, F.lit("/"), F.regexp_replace("source", r"^\./", "")))))
-    i = images.select(F.col("path").alias("image"), "sha256", "width")
-    referenced = ok.filter("image is not null").join(i, "image", "left")
-    items = ok.select("path", F.posexplode("elements").alias("k", "e"))
-    name, value = (F.trim(F.coalesce(F.try_variant_get("e", p, "string"), F.lit(""))) for p in ("$.name", "$.value"))
-    items = items.withColumns({"item_object": F.startswith(F.call_function("schema_of_variant", F.col("e")), F.lit("OBJECT")), "name": name, "value": value})
-    repeated = items.filter("item_object and name <> '' and value <> ''").groupBy("path", "name").count().filter("count > 1").groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
-    shared_ids = ok.filter("sample_id <> ''").groupBy("sample_id").agg(F.count("*").alias("times")).filter("times > 1")
-    shared_bytes = images.groupBy("sha256").agg(F.count("*").alias("times")).filter("times > 1")
-    say = F.lit
-    found = [
-        _issues(d, "error", "invalid_json", F.col("v").isNull(), say("not JSON")),
-        _issues(d, "error", "invalid_root", F.col("v").isNotNull() & ~F.col("is_object"), say("JSON root must be an object")),
-        _issues(ok, "error", "invalid_sample_id", F.col("sample_id") == "", say("sample_id must be a non-empty string")),
-        _issues(ok, "error", "invalid_source_image", F.col("source") == "", say("source_image must be a non-empty string")),
-        _issues(ok, "warning", "absolute_source_path", absolute, say("source_image is not portable")),
-        _issues(referenced, "error", "missing_source_image", F.col("sha256").isNull(), say("referenced image does not exist"), "image"),
-        _issues(referenced, "warning", "unknown_dimensions", F.col("sha256").isNotNull() & F.col("width").isNull(), say("image dimensions could not be read")),
-        _issues(ok, "error", "invalid_elements", F.col("elements").isNull(), say("elements must be a list")),
-        _issues(items, "error", "invalid_element", ~F.col("item_object"), F.format_string("elements[%d] must be an object", "k")),
-        _issues(items, "error", "invalid_element_name", F.col("item_object") & (F.col("name") == ""), F.format_string("elements[%d].name is empty", "k")),
-        _issues(items, "error", "invalid_element_value", F.col("item_object") & (F.col("name") != "") & (F.col("value") == ""), F.format_string("elements[%d].value is empty", "k")),
-        _issues(repeated, "warning", "duplicate_element_names", F.lit(True), F.col("names")),
-        _issues(ok.join(shared_ids, "sample_id"), "error", "duplicate_sample_id", F.lit(True), F.format_string("sample_id '%s' appears %d times", "sample_id", "times")),
-        _issues(images.join(shared_bytes, "sha256"), "warning", "duplicate_image", F.lit(True), F.format_string("same bytes as %d other image(s)", F.col("times") - 1)),
-        _issues(images.join(referenced.select(F.col("image").alias("path")), "path", "left_anti"), "warning", "orphan_image", F.lit(True), say("image is not referenced by a sample JSON")),
+    sha256, width, height), sha256 null where the file could not be read, width null where the header tells none.
+    A source image is relative to its document. What a document alone shows comes out of one pass over it."""
+    here = F.col("path")
+    text = lambda c, p: stripped(F.coalesce(F.try_variant_get(c, p, "string"), F.lit("")))
+    is_object = lambda c: F.coalesce(F.startswith(F.call_function("schema_of_variant", c), F.lit("OBJECT")), F.lit(False))
+    source = text("v", "$.source_image")
+    d = documents.select("path", "v", is_object(F.col("v")).alias("ok"), text("v", "$.sample_id").alias("sample_id"), source.alias("source"), F.try_variant_get("v", "$.elements", "array<variant>").alias("elements"))
+    folder, absolute = F.regexp_replace("path", r"/[^/]*$", ""), F.startswith("source", F.lit("/"))
+    d = d.withColumn("image", F.when(F.col("ok") & (F.col("source") != ""), F.when(absolute, F.col("source")).otherwise(F.concat(folder, F.lit("/"), F.regexp_replace("source", r"^\./", "")))))
+    element = F.transform(F.coalesce("elements", F.array().cast("array<variant>")), lambda e, k: F.struct(k.alias("k"), is_object(e).alias("ok"), text(e, "$.name").alias("name"), text(e, "$.value").alias("value")))
+
+    def of_element(e: Column) -> Column:
+        say = lambda form: F.format_string(form, e["k"])
+        return F.array(_issue("error", "invalid_element", ~e["ok"], say("elements[%d] must be an object"), here), _issue("error", "invalid_element_name", e["ok"] & (e["name"] == ""), say("elements[%d].name is empty"), here), _issue("error", "invalid_element_value", e["ok"] & (e["name"] != "") & (e["value"] == ""), say("elements[%d].value is empty"), here))
+
+    names = F.transform(F.filter("e", lambda e: e["ok"] & (e["name"] != "") & (e["value"] != "")), lambda e: e["name"])
+    repeated = F.array_sort(F.array_distinct(F.filter("names", lambda n: F.size(F.filter("names", lambda m: m == n)) > 1)))
+    own = d.withColumn("e", element).withColumn("names", names).withColumn("repeated", repeated)
+    alone = [
+        _issue("error", "invalid_json", F.col("v").isNull(), F.lit("not JSON"), here),
+        _issue("error", "invalid_root", F.col("v").isNotNull() & ~F.col("ok"), F.lit("JSON root must be an object"), here),
+        _issue("error", "invalid_sample_id", F.col("ok") & (F.col("sample_id") == ""), F.lit("sample_id must be a non-empty string"), here),
+        _issue("error", "invalid_source_image", F.col("ok") & (F.col("source") == ""), F.lit("source_image must be a non-empty string"), here),
+        _issue("warning", "absolute_source_path", F.col("ok") & absolute, F.lit("source_image is not portable"), here),
+        _issue("error", "invalid_elements", F.col("ok") & F.col("elements").isNull(), F.lit("elements must be a list"), here),
+        _issue("warning", "duplicate_element_names", F.col("ok") & (F.size("repeated") > 0), F.array_join("repeated", ", "), here),
+    ]
+    issues = F.array_compact(F.concat(F.array(*alone), F.when(F.col("ok"), F.flatten(F.transform("e", of_element))).otherwise(F.array().cast(ISSUE))))
+    keys = d.filter("ok").select("path", "sample_id", "image")
+    i = images.select(F.col("path").alias("image"), "sha256", "width", F.lit(True).alias("there"))
+    referenced = keys.filter("image is not null").join(i, "image", "left")
+    there, read = F.coalesce("there", F.lit(False)), F.col("sha256").isNotNull()
+    shared_ids = keys.filter("sample_id <> ''").groupBy("sample_id").agg(F.count("*").alias("times")).filter("times > 1")
+    shared_bytes = images.groupBy("sha256").agg(F.count("*").alias("times")).filter("times > 1 and sha256 is not null")
+    across = [
+        _found(referenced, _issue("error", "missing_source_image", ~there, F.lit("referenced image does not exist"), F.col("image")), _issue("warning", "unknown_dimensions", there & F.col("width").isNull(), F.lit("image dimensions could not be read"), F.col("image"))),
+        _found(images, _issue("error", "unreadable_image", ~read, F.lit("image could not be read"), here)),
+        _found(keys.join(shared_ids, "sample_id"), _issue("error", "duplicate_sample_id", F.lit(True), F.format_string("sample_id '%s' appears %d times", "sample_id", "times"), here)),
+        _found(images.join(shared_bytes, "sha256"), _issue("warning", "duplicate_image", F.lit(True), F.format_string("same bytes as %d other image(s)", F.col("times") - 1), here)),
+        _found(images.join(keys.select(F.col("image").alias("path")).distinct(), "path", "left_anti"), _issue("warning", "orphan_image", F.lit(True), F.lit("image is not referenced by a sample JSON"), here)),
     ]
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, across, own.select(F.inline(issues)))
 
 
 def audit_summary(issues: DataFrame, documents: DataFrame, images: DataFrame) -> DataFrame:
     """One row of counts: documents, images, errors, warnings, documents without error, ranges of sizes."""
-    n = issues.agg(F.count_if(F.col("severity") == "error").alias("error_count"), F.count_if(F.col("severity") == "warning").alias("warning_count"))
-    bad = issues.filter("severity = 'error'").select("path").distinct()
-    d = documents.join(bad, "path", "left_anti").agg(F.count("*").alias("valid_samples")).join(documents.agg(F.count("*").alias("json_files")))
-    i = images.agg(F.count("*").alias("image_files"), *[f(c).alias(f"{n}_{c}") for c in ("width", "height") for n, f in (("min", F.min), ("max", F.max))])
-    return n.join(d).join(i)
+    none = F.lit(None).cast("int")
+    bad = issues.filter("severity = 'error'").select("path", F.lit(True).alias("bad")).distinct()
+    rows = issues.select(F.col("severity").alias("kind"), none.alias("width"), none.alias("height"))
+    rows = rows.unionByName(documents.select("path").join(bad, "path", "left").select(F.when(F.col("bad"), "bad").otherwise("valid").alias("kind"), none.alias("width"), none.alias("height")))
+    rows = rows.unionByName(images.select(F.lit("image").alias("kind"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height")))
+    of = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
+    return rows.agg(of("error").alias("error_count"), of("warning").alias("warning_count"), of("valid").alias("valid_samples"), of("valid", "bad").alias("json_files"), of("image").alias("image_files"), *[f(c).alias(f"{n}_{c}") for c in ("width", "height") for n, f in (("min", F.min), ("max", F.max))])
 
 
 def smoke_problems(assigned: DataFrame, manifest: DataFrame, per_category: int = 2, categories: int = 6) -> DataFrame:

@@ -19,8 +19,11 @@ def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def flag_repeats(df: DataFrame, keys: list[str], order: list, name: str = "is_repeat") -> DataFrame:
-    """Whether an earlier row has the same key."""
-    return numbered(df, keys, order).withColumn(name, F.col("_n") > 1).drop("_n")
+    """Whether an earlier row has the same key. Each key's first row is found before the shuffle, so a frequent key
+    is no single sort. ``order`` must tell rows apart."""
+    first = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(F.struct(*order)).alias("_first"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return df.join(first, same).withColumn(name, F.struct(*order) != F.col("_first")).drop("_first", *[f"_k{i}" for i in range(len(keys))])
 
 
 def top_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
@@ -44,8 +47,9 @@ def count_where(df: DataFrame, keys: list[str], **conditions: Column) -> DataFra
 
 
 def frequencies(items: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """How often each value stands, most frequent first, then by first appearance."""
-    return items.groupBy(*keys).agg(F.count("*").alias("n"), F.min(order).alias("first_seen")).orderBy(F.desc("n"), "first_seen")
+    """How often each value stands, and where first. A report orders them by -n, then first_seen
+    (``ordered_report``)."""
+    return items.groupBy(*keys).agg(F.count("*").alias("n"), F.min(order).alias("first_seen"))
 
 
 def summary_over(df: DataFrame, dimension: DataFrame, key: str, **conditions: Column) -> DataFrame:
@@ -97,9 +101,12 @@ def reference_gaps(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").withColumn("side", F.lit("left_only")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("right_only")))
 
 
-def lookup(df: DataFrame, table: DataFrame, exact: list[str], fallback: list[str], value: str) -> DataFrame:
-    """``value`` by the exact key, else by the fallback key (rows of the table with a blank first key)."""
+def lookup(df: DataFrame, table: DataFrame, exact: list[str], fallback: list[str], value: str, order: str | None = None) -> DataFrame:
+    """``value`` by the exact key, else by the fallback key (rows of the table with a blank first key). A key that
+    stands in several rows of the table has the last one by ``order``, without it the largest value; rows of
+    ``df`` are never multiplied."""
+    one = F.max_by(value, order) if order else F.max(value)
     narrow = [c for c in exact if c not in fallback]
-    by_exact = table.select(*exact, F.col(value).alias("_exact"))
-    loose = table.filter(F.lit(True) if not narrow else F.col(narrow[0]) == "").select(*fallback, F.col(value).alias("_loose"))
+    by_exact = table.groupBy(*exact).agg(one.alias("_exact"))
+    loose = table.filter(F.lit(True) if not narrow else F.col(narrow[0]) == "").groupBy(*fallback).agg(one.alias("_loose"))
     return df.join(by_exact, exact, "left").join(loose, fallback, "left").withColumn(value, F.coalesce("_exact", "_loose")).drop("_exact", "_loose")

@@ -4,6 +4,8 @@ Pairs are an equality join on the sample; the best pair of each gold object is a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,15 +29,22 @@ def prepared(df: DataFrame, side: str) -> DataFrame:
     return d.select("sample_id", *[F.col(c).alias(f"{side}_{c}") for c in d.columns if c != "sample_id"])
 
 
-def relation(vector_similarity: Column | None = None, gold: str = "gold", pred: str = "pred") -> Column:
+#: A similarity of two texts that a caller may put into the score of a pair.
+Scorer = Callable[[Column, Column], Column]
+
+
+def relation(scorer: Scorer | None = None, gold: str = "gold", pred: str = "pred") -> Column:
     """Score of a pair: characters of the texts; of the names if they share two or more; shared objects, in
-    the prediction's name or else in its text; and a given similarity of vectors."""
+    the prediction's name or else in its text; and what a ``scorer`` gives for the two texts."""
     g, p = (lambda c: F.col(f"{gold}_{c}")), (lambda c: F.col(f"{pred}_{c}"))
     names = F.when(F.size(F.array_intersect(g("name_chars"), p("name_chars"))) >= 2, set_overlap(g("name_chars"), p("name_chars"))).otherwise(0.0)
     first, second = F.size(F.array_intersect(g("all"), p("primary"))), F.size(F.array_intersect(g("all"), p("secondary")))
     objects = F.when(first > 0, F.least(F.lit(0.9), 0.62 + 0.08 * first)).when(second > 0, F.least(F.lit(0.72), 0.5 + 0.06 * second)).otherwise(0.0)
     own = F.greatest(set_overlap(g("chars"), p("chars")), names, objects)
-    return own if vector_similarity is None else F.greatest(own, F.when(F.isnan(vector_similarity), F.lit(0.0)).otherwise(F.coalesce(vector_similarity, F.lit(0.0))))
+    if scorer is None:
+        return own
+    given = scorer(g("text"), p("text"))
+    return F.greatest(own, F.when(F.isnan(given), F.lit(0.0)).otherwise(F.coalesce(given, F.lit(0.0))))
 
 
 def _apart(a: Column, b: Column) -> Column:
@@ -64,12 +73,12 @@ def conflicts(gold: str = "gold", pred: str = "pred") -> Column:
     return F.struct(notes.alias("notes"), F.when(differ & ok, shades).alias("tolerated"))
 
 
-def audit_simple(gold: DataFrame, pred: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def audit_simple(gold: DataFrame, pred: DataFrame, threshold: float = THRESHOLD, scorer: Scorer | None = None) -> DataFrame:
     """(sample_id, gold_index, gold_name, covered, covering, best_score, missing, conflict_notes, tolerated) of gold
     elements with one name: all objects of the name must be found in some prediction, the best of each is
     chosen; a name without objects, or with none found, is covered by score alone."""
     g, p = prepared(gold, "gold"), prepared(pred, "pred")
-    pairs = g.join(p, "sample_id").withColumn("score", relation()).withColumns({"first": F.array_intersect("gold_named", "pred_primary"), "second": F.array_intersect("gold_named", "pred_secondary")})
+    pairs = g.join(p, "sample_id").withColumn("score", relation(scorer)).withColumns({"first": F.array_intersect("gold_named", "pred_primary"), "second": F.array_intersect("gold_named", "pred_secondary")})
     pairs = pairs.filter((F.col("score") >= threshold) | (F.size("first") + F.size("second") > 0)).withColumn("c", conflicts())
     item = F.struct(F.col("pred_index").alias("i"), F.col("score").alias("s"), F.col("c.notes").alias("n"), F.col("c.tolerated").alias("t"))
     rank = F.struct((F.size("first") > 0).alias("a"), F.size("first").alias("b"), F.size("second").alias("c"), F.col("score").alias("d"), (-F.col("pred_index")).alias("e"))
@@ -86,13 +95,13 @@ def audit_simple(gold: DataFrame, pred: DataFrame, threshold: float = THRESHOLD)
     return d.select("sample_id", "gold_index", "gold_name", covered.alias("covered"), F.transform(ordered, lambda x: x["i"]).alias("covering"), "best_score", F.array_sort("missing").alias("missing"), F.flatten(F.transform(ordered, lambda x: x["n"])).alias("conflict_notes"), F.array_compact(F.transform(ordered, lambda x: x["t"])).alias("tolerated"))
 
 
-def audit_composite(gold: DataFrame, pred: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def audit_composite(gold: DataFrame, pred: DataFrame, threshold: float = THRESHOLD, scorer: Scorer | None = None) -> DataFrame:
     """The same for gold names of several parts: every part must reach the threshold with some prediction; one
     prediction may serve several parts, and is held against the first of them for conflicts."""
     parts = gold.select("sample_id", F.col("index").alias("of"), F.col("name").alias("whole"), F.posexplode(composite_parts(F.col("name"))).alias("part", "name"))
     as_elements = parts.select("sample_id", F.struct("of", "part").alias("index"), "name", *[F.lit("").alias(c) for c in ("value", "category", "color", "material", "shape", "location")])
     g, p = prepared(as_elements, "gold"), prepared(pred, "pred")
-    pairs = g.join(p, "sample_id", "left").withColumn("score", F.coalesce(relation(), F.lit(0.0))).withColumn("c", conflicts())
+    pairs = g.join(p, "sample_id", "left").withColumn("score", F.coalesce(relation(scorer), F.lit(0.0))).withColumn("c", conflicts())
     item = F.struct(F.col("pred_index").alias("i"), F.col("score").alias("s"), F.col("c.notes").alias("n"), F.col("c.tolerated").alias("t"))
     best = pairs.groupBy("sample_id", "gold_index", "gold_name", "gold_named").agg(F.max_by(item, F.struct("score", -F.col("pred_index"))).alias("b"))
     one = F.struct(F.col("gold_index.part").alias("part"), ((F.col("b.s") >= threshold) & (F.col("b.s") > 0)).alias("ok"), F.col("b").alias("b"), F.col("gold_named").alias("named"))
@@ -104,19 +113,19 @@ def audit_composite(gold: DataFrame, pred: DataFrame, threshold: float = THRESHO
     return d.select("sample_id", "gold_index", "gold_name", F.forall("parts", lambda x: x["ok"]).alias("covered"), F.transform(fresh, lambda x: x["b"]["i"]).alias("covering"), F.round(F.array_max(F.transform("parts", lambda x: F.coalesce(x["b"]["s"], F.lit(0.0)))), 3).alias("best_score"), F.array_sort(F.array_except(required, F.flatten(F.transform(ok, lambda x: x["named"])))).alias("missing"), F.flatten(F.transform(fresh, lambda x: x["b"]["n"])).alias("conflict_notes"), F.array_compact(F.transform(fresh, lambda x: x["b"]["t"])).alias("tolerated"))
 
 
-def audit_gold(gold: DataFrame, pred: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def audit_gold(gold: DataFrame, pred: DataFrame, threshold: float = THRESHOLD, scorer: Scorer | None = None) -> DataFrame:
     """Both kinds of gold elements."""
     several = F.size(composite_parts(F.col("name"))) > 1
-    return audit_simple(gold.filter(~several), pred, threshold).unionByName(audit_composite(gold.filter(several), pred, threshold))
+    return audit_simple(gold.filter(~several), pred, threshold, scorer).unionByName(audit_composite(gold.filter(several), pred, threshold, scorer))
 
 
-def extras(gold: DataFrame, pred: DataFrame, audits: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def extras(gold: DataFrame, pred: DataFrame, audits: DataFrame, threshold: float = THRESHOLD, scorer: Scorer | None = None) -> DataFrame:
     """(sample_id, pred_index, pred_name, classification, best_gold_index, best_score) of predictions that cover
     nothing: supported if the nearest gold element shares an object with the name, unsupported if it is near
     but shares none, else for review."""
     used = audits.select("sample_id", F.explode("covering").alias("index")).distinct()
     g, p = prepared(gold, "gold"), prepared(pred.join(used, ["sample_id", "index"], "left_anti"), "pred")
-    pairs = p.join(g, "sample_id", "left").withColumns({"score": F.coalesce(relation(), F.lit(0.0)), "shared": F.coalesce(F.arrays_overlap("gold_all", "pred_primary"), F.lit(False))})
+    pairs = p.join(g, "sample_id", "left").withColumns({"score": F.coalesce(relation(scorer), F.lit(0.0)), "shared": F.coalesce(F.arrays_overlap("gold_all", "pred_primary"), F.lit(False))})
     best = pairs.groupBy("sample_id", "pred_index", "pred_name").agg(F.max_by(F.struct("gold_index", "score", "shared"), F.struct("score", -F.col("gold_index"))).alias("b"))
     near = (F.col("b.score") >= threshold) & (F.col("b.score") > 0)
     kind = F.when(near & F.col("b.shared"), "supported_extra").when(near, "unsupported_extra").otherwise("needs_review")
@@ -126,8 +135,11 @@ def extras(gold: DataFrame, pred: DataFrame, audits: DataFrame, threshold: float
 def totals(audits: DataFrame, extra: DataFrame, all_gold: int | None = None) -> DataFrame:
     """Counts of gold covered, conflicts, tolerated colours and extras, with the coverage rate of the gold
     evaluated and, if given, of all gold."""
-    a = audits.agg(F.count("*").alias("gold_count"), F.count_if("covered").alias("covered_gold_count"), F.count_if(F.size("conflict_notes") > 0).alias("conflict_count"), F.count_if(F.size("tolerated") > 0).alias("color_family_tolerated_count"))
-    e = extra.agg(*[F.count_if(F.col("classification") == k).alias(f"{k}_count") for k in ("supported_extra", "unsupported_extra", "needs_review")])
+    kinds = ("supported_extra", "unsupported_extra", "needs_review")
+    of_gold = audits.select(F.lit(True).alias("gold"), "covered", (F.size("conflict_notes") > 0).alias("conflict"), (F.size("tolerated") > 0).alias("tolerated"), F.lit("").alias("kind"))
+    of_extra = extra.select(*[F.lit(False).alias(c) for c in ("gold", "covered", "conflict", "tolerated")], F.col("classification").alias("kind"))
+    count = {"gold_count": "gold", "covered_gold_count": "covered", "conflict_count": "conflict", "color_family_tolerated_count": "tolerated"}
+    d = of_gold.unionByName(of_extra).agg(*[F.count_if(c).alias(n) for n, c in count.items()], *[F.count_if(F.col("kind") == k).alias(f"{k}_count") for k in kinds])
     rate = lambda n: F.when(n > 0, F.col("covered_gold_count") / n).otherwise(0.0)
-    d = a.join(e).withColumn("gold_coverage_rate", rate(F.col("gold_count")))
+    d = d.withColumn("gold_coverage_rate", rate(F.col("gold_count")))
     return d if all_gold is None else d.withColumn("all_gold_coverage_rate", rate(F.lit(all_gold)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparloom import vocabulary as V
 from sparloom.functions.colors import color_families, tolerated
-from sparloom.operators.basics import keep_first
+from sparloom.functions.text import stripped
 
 
 def downgraded(elements: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def downgraded(elements: DataFrame) -> DataFrame:
     said = F.concat_ws(" ", t("reason"), t("evidence"))
     d = elements.withColumns({"_f": color_families(said), "_all": color_families(F.concat_ws(" ", t("name"), t("expected_value"), said))})
     shades = F.when(F.size("_f") < 2, F.col("_all")).otherwise(F.col("_f"))
-    asked = (F.lower(F.trim(t("verdict"))) == "wrong") & (F.lower(F.trim(t("issue_type"))) == "color")
+    asked = (F.lower(stripped(t("verdict"))) == "wrong") & (F.lower(stripped(t("issue_type"))) == "color")
     d = d.withColumns({"_s": shades, "_down": asked & tolerated(shades)})
     note = F.struct(F.lit(True).alias("color_family_downgraded"), F.lit(V.COLOR_RULE).alias("rule"), F.col("_s").alias("matched_color_families"), F.col("verdict").alias("original_verdict"), F.col("issue_type").alias("original_issue_type"))
     return d.withColumn("postprocess", F.when(F.col("_down"), note)).withColumns({"verdict": F.when(F.col("_down"), "correct").otherwise(F.col("verdict")), "issue_type": F.when(~F.col("_down"), F.col("issue_type"))}).drop("_f", "_all", "_s", "_down")
@@ -43,11 +43,12 @@ def detection(elements: DataFrame, mutations: DataFrame) -> DataFrame:
     """One row a mutation (negative_sample_id, mutated_element_index, expected_issue_type): whether the target was
     found, caught and named rightly, and how many other elements of its sample were called wrong. A mutation
     whose target is missing counts no others."""
-    first = keep_first(elements.select("sample_id", "element_id", "position", "verdict", "issue_type"), ["sample_id", "element_id"], ["position"])
-    wrong = elements.groupBy("sample_id").agg(F.count_if(F.col("verdict") == "wrong").alias("_wrong"))
-    mine = elements.groupBy("sample_id", "element_id").agg(F.count_if(F.col("verdict") == "wrong").alias("_own"))
+    first = F.min_by(F.struct("position", "verdict", "issue_type"), "position").alias("r")
+    mine = elements.groupBy("sample_id", "element_id").agg(first, F.count_if(F.col("verdict") == "wrong").alias("_own"))
+    wrong = mine.groupBy("sample_id").agg(F.sum("_own").alias("_wrong"))
+    mine = mine.select("sample_id", "element_id", "r.*", "_own")
     m = mutations.select(F.col("negative_sample_id").alias("sample_id"), target_id(F.col("negative_sample_id"), F.col("mutated_element_index")).alias("element_id"), "expected_issue_type")
-    d = m.join(first, ["sample_id", "element_id"], "left").join(wrong, "sample_id", "left").join(mine, ["sample_id", "element_id"], "left")
+    d = m.join(mine, ["sample_id", "element_id"], "left").join(wrong, "sample_id", "left")
     found = F.col("position").isNotNull()
     caught = found & F.coalesce(F.col("verdict") == "wrong", F.lit(False))
     named = caught & F.coalesce(F.col("issue_type") == F.col("expected_issue_type"), F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparloom.functions.similarity import differing_bits
+from sparloom.operators.basics import global_place
 
 BITS, MAX_DISTANCE = 64, 5
 
@@ -18,8 +19,8 @@ def exact_groups(df: DataFrame, hash_col: str, order: str) -> DataFrame:
 
 
 def group_numbers(groups: DataFrame) -> DataFrame:
-    """Dense numbers of groups by first appearance; one row a group."""
-    return groups.select("group_first").distinct().withColumn("group_id", F.row_number().over(Window.orderBy("group_first")))
+    """Dense numbers of groups by first appearance, one row a group, placed by ranges."""
+    return global_place(groups.select("group_first").distinct(), [F.col("group_first")]).select("group_first", (F.col("_place") + 1).alias("group_id"))
 
 
 def near_pairs(df: DataFrame, id_col: str, hash_col: str, distance: int = MAX_DISTANCE) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparloom import vocabulary as V
 from sparloom.functions.parsing import bounded
+from sparloom.functions.text import stripped
 
 RECORD = "sample_id string, element_assessments array<struct<name:string,weight:double,status:string,evidence:string>>, spec_checks map<string,boolean>, identity_match double, visual_quality double, hallucinations array<struct<description:string,severity:string>>"
 
@@ -18,7 +19,7 @@ def _sum(items: Column) -> Column:
 def problem(d: DataFrame) -> Column:
     """What makes a record invalid, or null."""
     a, h = F.col("element_assessments"), F.coalesce("hallucinations", F.array().cast("array<struct<description:string,severity:string>>"))
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    blank = lambda c: stripped(F.coalesce(c, F.lit(""))) == ""
     bad = lambda e: blank(e["name"]) | blank(e["evidence"]) | ~F.coalesce(e["status"].isin(*V.ELEMENT_FACTORS), F.lit(False)) | (F.coalesce(e["weight"], F.lit(1.0)) <= 0)
     specs = F.array(*[F.try_element_at("spec_checks", F.lit(k)) for k in V.SPEC_POINTS])
     return (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparloom import vocabulary as V
 from sparloom.functions.parsing import recomputed_result, repaired_status, review_confidence
+from sparloom.functions.text import stripped
 
 RULE = "struct<rule_id:string,value:string,front_visible:string,front_status:string,side_visible:string,side_status:string,back_visible:string,back_status:string,result:string,issue_type:string,confidence:string,reason:string,evidence:array<struct<view:string,note:string>>>"
 
@@ -33,7 +34,7 @@ def locked(rules: Column, asked: Column) -> Column:
 def evidence(rule: Column, view: Column) -> Column:
     """Evidence for the view or overall; if there is none, the reason."""
     fit = F.filter(F.coalesce(rule["evidence"], F.array().cast("array<struct<view:string,note:string>>")), lambda e: (e["view"] == view) | (e["view"] == "overall"))
-    return F.when(F.size(fit) > 0, fit).otherwise(F.array(F.struct(view.alias("view"), F.trim(F.coalesce(rule["reason"], F.lit(""))).alias("note"))))
+    return F.when(F.size(fit) > 0, fit).otherwise(F.array(F.struct(view.alias("view"), stripped(F.coalesce(rule["reason"], F.lit(""))).alias("note"))))
 
 
 def lanes(rules: Column) -> Column:
@@ -42,14 +43,14 @@ def lanes(rules: Column) -> Column:
 
     def item(r: Column, lane: Column, view: Column, issue: Column) -> Column:
         billable = lane == "billable"
-        return F.struct(lane.alias("lane"), r["rule_id"].alias("rule_id"), r["value"].alias("value"), view.alias("view"), issue.alias("issue_type"), F.when(billable, F.when(issue == "paired box completion", "unspecified").otherwise("description_correction")).alias("action_type"), F.when(~billable, F.lit("medium")).alias("severity"), review_confidence(r["confidence"]).alias("confidence"), F.trim(F.coalesce(r["reason"], F.lit(""))).alias("reason"), evidence(r, view).alias("evidence"))
+        return F.struct(lane.alias("lane"), r["rule_id"].alias("rule_id"), r["value"].alias("value"), view.alias("view"), issue.alias("issue_type"), F.when(billable, F.when(issue == "paired box completion", "unspecified").otherwise("description_correction")).alias("action_type"), F.when(~billable, F.lit("medium")).alias("severity"), review_confidence(r["confidence"]).alias("confidence"), stripped(F.coalesce(r["reason"], F.lit(""))).alias("reason"), evidence(r, view).alias("evidence"))
 
     def of_rule(r: Column) -> Column:
-        status = {v: F.trim(F.coalesce(r[f"{v}_status"], F.lit(""))) for v in V.VIEWS}
+        status = {v: stripped(F.coalesce(r[f"{v}_status"], F.lit(""))) for v in V.VIEWS}
         lane = lambda s: F.when(s.isin(*V.ACCEPTANCE_ISSUES), "billable").when(s.isin(*V.DESIGN_ISSUES), "design")
         shown = [F.when(lane(s).isNotNull(), item(r, lane(s), F.lit(v), s)) for v, s in status.items()]
         some = lambda allowed: status["front"].isin(*allowed) | status["side"].isin(*allowed) | status["back"].isin(*allowed)
-        issue, wrong = F.trim(F.coalesce(r["issue_type"], F.lit("none"))), F.trim(F.coalesce(r["result"], F.lit(""))) == "wrong"
+        issue, wrong = stripped(F.coalesce(r["issue_type"], F.lit("none"))), stripped(F.coalesce(r["result"], F.lit(""))) == "wrong"
         billable = ~some(V.ACCEPTANCE_ISSUES) & ((issue == "paired box completion") | (issue.isin(*V.ACCEPTANCE_ISSUES) & wrong))
         design = ~some(V.DESIGN_ISSUES) & issue.isin(*V.DESIGN_ISSUES) & wrong
         rest = F.when(billable, item(r, F.lit("billable"), F.lit("overall"), issue)).when(design, item(r, F.lit("design"), F.lit("overall"), issue))

@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, as in tests, a local folder."""
+    """``spark.checkpoint.dir``. Where it is unset, a local master (as in tests) gets a folder of its own; on a
+    cluster that is an error, as no local folder is shared."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file:///tmp/checkpoints/sparloom"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

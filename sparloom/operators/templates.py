@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparloom import vocabulary as V
+from sparloom.operators.basics import keep_first
 
 
 def _blank(df: DataFrame, columns) -> DataFrame:
@@ -14,8 +15,10 @@ def _blank(df: DataFrame, columns) -> DataFrame:
 
 def templates(samples: DataFrame, rules: DataFrame) -> dict[str, DataFrame]:
     """findings: a row a sample; gold and audit: a row a rule of a sample; manifest: a row a sample with the
-    number of its rules. Samples: the first of each category and id."""
-    s = samples.dropDuplicates(["category", "sample_id"])
+    number of its rules. Samples: one row of each category and id, the first by ``position`` or ``_row`` if they
+    have one."""
+    order = next((c for c in ("position", "_row") if c in samples.columns), None)
+    s = keep_first(samples, ["category", "sample_id"], [order]) if order else samples.dropDuplicates(["category", "sample_id"])
     r = s.select("sample_id", "category").join(rules.select("sample_id", "rule_id", "value", F.col("value").alias("atomic_value"), F.col("rule_id").alias("rule_key"), "position"), "sample_id")
     n = r.groupBy("sample_id", "category").agg(F.count("*").alias("rule_count"))
     return {

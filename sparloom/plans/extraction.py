@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparloom.functions.parsing import confidence_label, element_category, lenient_json, variant_items, variant_text
-from sparloom.functions.text import first_filled
+from sparloom.functions.text import first_filled, stripped
 
 
 def features_text(v: Column) -> Column:
@@ -14,7 +14,7 @@ def features_text(v: Column) -> Column:
     filled items, two levels deep; deeper ones as JSON."""
     entries = lambda x: F.try_variant_get(x, "$", "map<string,variant>")
     filled = lambda t: F.coalesce(t, F.lit("")) != ""
-    scalar = lambda x: F.trim(F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")))
+    scalar = lambda x: stripped(F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")))
 
     def level(x: Column, inner) -> Column:
         as_map = F.array_join(F.filter(F.transform(F.map_entries(entries(x)), lambda e: F.when(filled(inner(e["value"])), F.concat(e["key"], F.lit(": "), inner(e["value"])))), lambda t: t.isNotNull()), "；")
@@ -33,7 +33,7 @@ def elements(answers: DataFrame, text: str = "answer", sample: str = "sample_id"
     features = F.transform(F.map_entries(F.try_variant_get("v", "$.identity_features", "map<string,variant>")), lambda e: F.struct(e["key"].alias("name"), features_text(e["value"]).alias("value")))
     get = lambda p: variant_text(F.col("e"), p)
     items = d.filter(listed.isNotNull()).select(sample, F.posexplode(listed).alias("k", "e"))
-    one = items.select(sample, "k", F.trim(F.coalesce(get("$.name"), F.lit(""))).alias("n"), F.trim(F.coalesce(get("$.value"), get("$.description"), F.lit(""))).alias("x"), element_category(get("$.category")).alias("category"), *[F.trim(F.coalesce(get(f"$.attributes.{a}"), F.lit(""))).alias(a) for a in ("color", "material", "shape", "location")], confidence_label(get("$.confidence")).alias("confidence"))
+    one = items.select(sample, "k", stripped(F.coalesce(get("$.name"), F.lit(""))).alias("n"), stripped(F.coalesce(get("$.value"), get("$.description"), F.lit(""))).alias("x"), element_category(get("$.category")).alias("category"), *[stripped(F.coalesce(get(f"$.attributes.{a}"), F.lit(""))).alias(a) for a in ("color", "material", "shape", "location")], confidence_label(get("$.confidence")).alias("confidence"))
     loose = d.filter(listed.isNull()).select(sample, F.posexplode(features).alias("k", "e")).select(sample, "k", F.col("e.name").alias("n"), F.col("e.value").alias("x"), F.lit("other").alias("category"), *[F.lit("").alias(a) for a in ("color", "material", "shape", "location")], F.lit("medium").alias("confidence"))
     both = one.unionByName(loose).filter("n <> '' or x <> ''")
     return both.select(sample, F.format_string("%s_e%03d", F.col(sample), F.col("k") + 1).alias("element_id"), first_filled(F.col("n"), F.substring("x", 1, 20)).alias("name"), first_filled(F.col("x"), F.col("n")).alias("value"), "category", "color", "material", "shape", "location", "confidence")
@@ -41,7 +41,7 @@ def elements(answers: DataFrame, text: str = "answer", sample: str = "sample_id"
 
 def as_rules(found: DataFrame, sample: str = "sample_id") -> DataFrame:
     """Elements as rules; those without an id or a value are left out."""
-    return found.select(sample, F.trim("element_id").alias("rule_id"), F.trim("value").alias("value")).filter("rule_id <> '' and value <> ''")
+    return found.select(sample, stripped("element_id").alias("rule_id"), stripped("value").alias("value")).filter("rule_id <> '' and value <> ''")
 
 
 def answer_items(text: Column, *paths: str) -> Column:

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparloom.operators.basics import global_place
+from sparloom.operators.shared import materialize
+
 BOM = "\ufeff"
 
 
@@ -32,6 +35,30 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def write_both(df: DataFrame, path: str, columns: list[str]) -> None:
+    """The same rows as JSON lines and as CSV, below ``path``, out of one written table: what one has the other
+    has."""
+    rows = materialize(df, "rows")
+    write_json(rows, f"{path}/jsonl")
+    write_csv(rows, f"{path}/csv", columns)
+
+
+def write_review(df: DataFrame, path: str, order: list[Column]) -> bool:
+    """CSV of the columns that the first row in order fills; without rows nothing is written. Whether it was."""
+    first = df.orderBy(*order).limit(1).collect()
+    if first:
+        write_csv(df, path, [c for c in df.columns if first[0][c] is not None])
+    return bool(first)
+
+
+def markdown_table(df: DataFrame, columns: list[str], order: list[Column]) -> DataFrame:
+    """(place, line) of a Markdown table: header, rule and the rows in a total order, placed by ranges."""
+    cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+    line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(columns) + " |"), (1, "|" + " --- |" * len(columns))], "place long, line string")
+    return head.unionByName(global_place(df, order).select((F.col("_place") + 2).alias("place"), line(map(cell, columns)).alias("line")))
+
+
 def report(df: DataFrame) -> DataFrame:
     """One JSON text a row."""
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": "true"}).alias("report"))

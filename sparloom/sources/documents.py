@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparloom.functions.parsing import variant_items, variant_text
-from sparloom.functions.text import first_filled
+from sparloom.functions.text import first_filled, stripped
 from sparloom.sources.tables import exists
 
 EMPTY = "path string, v variant"
@@ -31,7 +31,7 @@ def rules(documents: DataFrame) -> DataFrame:
     items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), variant_items(F.col("v"), "$.atomic_rules"))
     one = documents.select("path", F.posexplode(items).alias("position", "r"))
     get = lambda k: variant_text(F.col("r"), f"$.{k}")
-    out = one.select("path", "position", F.trim(first_filled(get("rule_id"), get("id"), get("name"))).alias("rule_id"), F.lower(F.coalesce(get("location"), F.lit(""))).alias("location"), F.trim(F.coalesce(get("value"), F.lit(""))).alias("value"))
+    out = one.select("path", "position", stripped(first_filled(get("rule_id"), get("id"), get("name"))).alias("rule_id"), F.lower(F.coalesce(get("location"), F.lit(""))).alias("location"), stripped(F.coalesce(get("value"), F.lit(""))).alias("value"))
     return out.filter("rule_id <> ''")
 
 
@@ -59,9 +59,14 @@ def registry(configs: DataFrame, wrapped_only: bool = False) -> DataFrame:
 
 
 def registered_rules(samples: DataFrame, rule_rows: DataFrame) -> DataFrame:
-    """Rules of each registered sample, joined by the end of the rule file's path."""
+    """Rules of each registered sample, joined by the end of the rule file's path: its last two parts, and of files
+    that agree in these, those whose path ends with the whole registered one, where there are any."""
     name = lambda c: F.substring_index(c, "/", -2)
-    return samples.drop("path", "position").join(rule_rows.withColumn("_k", name(F.col("path"))), name(F.col("atomic_rules")) == F.col("_k")).drop("_k")
+    found = samples.drop("path", "position").join(rule_rows.withColumn("_k", name(F.col("path"))), name(F.col("atomic_rules")) == F.col("_k")).drop("_k")
+    end = F.regexp_replace("atomic_rules", r"^(?:\.?/)+", "")
+    whole = (F.col("path") == end) | F.endswith("path", F.concat(F.lit("/"), end))
+    best = F.max("_whole").over(Window.partitionBy("category", "sample_id", "atomic_rules"))
+    return found.withColumn("_whole", whole).withColumn("_best", best).filter("_whole = _best").drop("_whole", "_best")
 
 
 def prediction_runs(documents: DataFrame) -> DataFrame:
@@ -70,3 +75,12 @@ def prediction_runs(documents: DataFrame) -> DataFrame:
     part = lambda k: F.element_at(F.split("path", "/"), k)
     number = lambda p: F.coalesce(F.try_variant_get("v", p, "bigint"), F.lit(0))
     return documents.filter("v is not null").select(first_filled(variant_text(F.col("v"), "$.category"), part(-3)).alias("category"), first_filled(variant_text(F.col("v"), "$.sample_id"), part(-2)).alias("sample_id"), number("$.rule_count").alias("rules"), *[number(f"$.qc_counts.{s}").alias(f"qc_{s.lower()}") for s in ("PASS", "WARN", "FAIL")], "path")
+
+
+def settings(documents: DataFrame) -> DataFrame:
+    """(path, section, key, value) of configuration documents that nothing interprets, such as severity policies:
+    entries of the root, and of the objects in it; values as text, lists and deeper objects as JSON."""
+    entries = lambda v: F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    top = documents.select("path", F.explode(entries(F.col("v"))).alias("e")).select("path", F.col("e.key").alias("section"), F.col("e.value").alias("v"))
+    inner = F.coalesce(entries(F.col("v")), F.array(F.struct(F.lit("").alias("key"), F.col("v").alias("value"))))
+    return top.select("path", "section", F.explode(inner).alias("e")).select("path", "section", F.col("e.key").alias("key"), F.coalesce(F.try_variant_get("e.value", "$", "string"), F.to_json("e.value")).alias("value"))

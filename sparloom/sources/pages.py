@@ -1,4 +1,5 @@
-"""Paged listings as a data source: one partition a page; retries; dictionaries and lists of posts alike."""
+"""Paged listings as a data source; retries; dictionaries and lists of posts alike. With ``pages`` each page is a
+partition; without it one partition reads pages in order until an empty one ends the listing."""
 
 from __future__ import annotations
 
@@ -53,18 +54,28 @@ class PagedReader(DataSourceReader):
         self.options = dict(options)
 
     def partitions(self):
-        return [InputPartition(k) for k in range(int(self.options.get("pages", 1)))]
+        pages = int(self.options.get("pages", 0))
+        return [InputPartition(k) for k in range(pages)] or [InputPartition(None)]
 
     def read(self, partition):
+        page = partition.value or 0
+        while True:
+            posts = self.page(page)
+            for k, post in enumerate(posts):
+                yield page, k, str(post.get("id", "")), json.dumps(post, sort_keys=True, ensure_ascii=False)
+            page += 1
+            if partition.value is not None or not posts:
+                return
+
+    def page(self, number: int) -> list[dict]:
+        """The posts of a page, after some tries."""
         module, _, function = self.options.get("fetcher", "sparloom.sources.pages:fetch_url").partition(":")
         fetch, limit = getattr(importlib.import_module(module), function), int(self.options.get("limit", 100))
         for attempt in range(RETRIES):
             try:
-                posts = posts_of(fetch(self.options["location"], partition.value, limit))
-                break
+                return posts_of(fetch(self.options["location"], number, limit))
             except (OSError, ValueError):
                 if attempt == RETRIES - 1:
                     raise
                 time.sleep(FIRST_WAIT + MORE_WAIT * attempt)
-        for k, post in enumerate(posts):
-            yield partition.value, k, str(post.get("id", "")), json.dumps(post, sort_keys=True, ensure_ascii=False)
+        return []

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from sparloom.functions.text import clean
+from sparloom import vocabulary as V
+from sparloom.functions.text import characters, clean, stripped
 
 
 def text_schema(columns) -> StructType:
@@ -26,12 +27,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def read_csv(spark: SparkSession, path: str | None, columns=None, trimmed: bool = True, missing_ok: bool = False) -> DataFrame:
-    """CSV with a header, a byte order mark allowed, quoted cells over several lines allowed. Missing file (or
-    no path) with ``missing_ok``: no rows with the given ``columns``."""
+def read_csv(spark: SparkSession, path: str | None, columns=None, trimmed: bool = True, missing_ok: bool = False, multi_line: bool = True) -> DataFrame:
+    """CSV with a header, a byte order mark allowed, quoted cells over several lines allowed; without ``multi_line``
+    cells end with the line, and large files are split into tasks. Missing file (or no path) with
+    ``missing_ok``: no rows with the given ``columns``."""
     if missing_ok and (path is None or not exists(spark, path)):
         return spark.createDataFrame([], text_schema([*(columns or []), "_file"])).withColumn("_row", F.lit(0).cast("long"))
-    raw = ordered(spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", False).csv(path))
+    raw = ordered(spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("inferSchema", False).csv(path))
     cell = clean if trimmed else lambda c: F.coalesce(c.cast("string"), F.lit(""))
     return raw.select(*[cell(F.col(f"`{c}`")).alias(c) for c in raw.columns if c not in ("_file", "_row")], "_file", "_row")
 
@@ -54,10 +56,10 @@ def read_json(spark: SparkSession, path: str | None, schema: str, lines: bool =
     return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
-def read_lines(spark: SparkSession, path: str, separators: str = r"[,\s]+") -> DataFrame:
+def read_lines(spark: SparkSession, path: str, separators: str = characters("," + V.WHITE) + "+") -> DataFrame:
     """Items of a list file: # starts a comment; items stand on lines or between separators."""
     raw = ordered(spark.read.text(path))
-    items = F.posexplode(F.split(F.trim(F.split("value", "#")[0]), separators)).alias("_place", "item")
+    items = F.posexplode(F.split(stripped(F.split("value", "#")[0]), separators)).alias("_place", "item")
     return raw.select("_file", "_row", items).filter("item <> ''").select("item", "_file", "_row", "_place")
 
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparloom.functions.text import stripped
+
 # XML name spaces and content types of the format.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -98,8 +100,8 @@ def read_cells(spark: SparkSession, root: str) -> DataFrame:
 def records(cells: DataFrame) -> DataFrame:
     """(path, source_row, header, record: map of column to trimmed cell) of rows with any filled cell: short
     rows are padded, cells beyond the header dropped."""
-    head = cells.filter("source_row = 1").select("path", F.transform("cells", lambda c: F.trim(c)).alias("header"))
-    pairs = F.transform("header", lambda h, i: F.struct(h.alias("key"), F.trim(F.coalesce(F.get("cells", i), F.lit(""))).alias("value")))
+    head = cells.filter("source_row = 1").select("path", F.transform("cells", stripped).alias("header"))
+    pairs = F.transform("header", lambda h, i: F.struct(h.alias("key"), stripped(F.coalesce(F.get("cells", i), F.lit(""))).alias("value")))
     rows = cells.filter("source_row > 1").join(head, "path").withColumn("pairs", pairs).filter(F.exists("pairs", lambda p: p["value"] != ""))
     filled = F.filter("pairs", lambda p: p["key"] != "")
     first = F.filter(filled, lambda p, i: F.array_position(F.transform(filled, lambda q: q["key"]), p["key"]) == i + 1)
@@ -141,3 +143,17 @@ def to_workbooks(df: DataFrame, keys: list[str], columns: list[str], order: list
 
     schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", content binary"
     return df.groupBy(*keys).applyInArrow(sheet, schema)
+
+
+def changed_cells(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, source_row, place, was, now) of the cells that differ between two readings (keys, source_row, cells) of
+    the same workbooks; a cell that one lacks is blank."""
+    cells = lambda d, name: d.select(*keys, "source_row", F.posexplode("cells").alias("place", name))
+    both = cells(before, "was").join(cells(after, "now"), [*keys, "source_row", "place"], "full_outer").fillna("", ["was", "now"])
+    return both.filter("was <> now")
+
+
+def assert_unchanged(before: DataFrame, after: DataFrame, keys: list[str]) -> None:
+    """An error that names a cell if a rewrite of workbooks (their lists of choices, say) changed any."""
+    if found := changed_cells(before, after, keys).limit(1).collect():
+        raise ValueError(f"a cell was changed: {found[0].asDict()}")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sparloom.operators.basics import keep_first
 from sparloom.operators.queue import partition
 
 
@@ -19,14 +20,14 @@ def follow(spark: SparkSession, path: str, schema: str, checkpoint: str, consume
     return (out.trigger(availableNow=True) if until_done else out.trigger(processingTime="5 seconds")).start()
 
 
-def append_new(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A consumer that keeps the first row of each key: those already written, also by an earlier try of the
-    same batch, are left out."""
+def append_new(path: str, key: str, order: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A consumer that keeps one row of each key, of a batch the first by ``order`` if given: those already written,
+    also by an earlier try of the same batch, are left out."""
 
     def consume(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fresh = batch.dropDuplicates([key])
+        fresh = keep_first(batch, [key], [order]) if order else batch.dropDuplicates([key])
         if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
             done = spark.read.schema(batch.schema).parquet(path).select(key)
             fresh = fresh.join(done, key, "left_anti")
