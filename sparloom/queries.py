@@ -220,8 +220,10 @@ def _aligned_parts(spark, sf_dir, sequences: bool) -> DataFrame:
 WITH f AS (SELECT p_partkey, p_brand, lower(p_type) AS h_value, {_tokens_sql("p_name || ' ' || p_type")} AS h FROM part),
 r AS (SELECT DISTINCT p_brand, p_type FROM part),
 r2 AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_type) AS position, {_tokens_sql("p_type || ' ' || p_type")} AS rt FROM r),
-s AS (SELECT p_partkey, p_type, position, h, rt, round(0.65 * (len(list_intersect(h, rt)) / len(list_distinct(list_concat(h, rt))))
-  + CASE WHEN contains(lower(p_type), h_value) THEN 0.15 ELSE 0 END, 4) AS mapping_score FROM f JOIN r2 USING (p_brand)),
+x AS (SELECT p_partkey, p_type, position, h, rt, CAST(((len(list_intersect(h, rt)) / len(list_distinct(list_concat(h, rt)))) * 65e-2 + 0e0 * 25e-2
+  + CASE WHEN contains(lower(p_type), h_value) THEN 15e-2 ELSE 0e0 END) * 1152921504606846976e0 AS HUGEINT) * 10000 AS e FROM f JOIN r2 USING (p_brand)),
+d AS (SELECT *, e // 1152921504606846976 AS down, 2 * (e % 1152921504606846976) AS rest FROM x),
+s AS (SELECT *, CAST(down + CASE WHEN rest > 1152921504606846976 OR (rest = 1152921504606846976 AND down % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 10000 AS mapping_score FROM d),
 k AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY mapping_score DESC, position) AS rank FROM s WHERE mapping_score >= 0.18 QUALIFY rank <= 3)
 SELECT p_partkey AS finding, p_type AS rule, CAST(rank AS INTEGER) AS rank, mapping_score,
   CASE WHEN mapping_score >= 0.86 THEN 'exact_match_candidate' WHEN mapping_score >= 0.55 THEN 'semantic_equivalent_candidate'
