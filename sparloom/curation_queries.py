@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparloom import vocabulary as V
 from sparloom.functions import imagery, parsing, tags, text
 from sparloom.operators import alignment, basics, curation, duplicates, queue, scoring, templates
-from sparloom.operators.shared import shared_dir
+from sparloom.operators.shared import own_dir
 from sparloom.plans import merchandise
 from sparloom.queries import _tagged_parts, query, table
 from sparloom.sinks import writers
@@ -20,7 +20,7 @@ from sparloom.streaming import follow, posts, sheets
 
 
 def _folder(spark, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def _in_order(df: DataFrame, key: str) -> DataFrame:

@@ -13,7 +13,7 @@ from sparloom.functions.similarity import sign_bits
 from sparloom.functions.tags import source_key
 from sparloom.functions.text import char_similarity, set_jaccard, tokens
 from sparloom.operators import alignment, assignment, basics, curation, detection, duplicates, events, fidelity, gold, lanes, quality, queue, scoring
-from sparloom.operators.shared import shared_dir
+from sparloom.operators.shared import own_dir
 from sparloom.streaming import follow
 
 QUERIES: dict = {}
@@ -518,7 +518,7 @@ def rule_locations(spark, sf_dir):
 def follow_mode(spark, sf_dir):
     """Event files consumed as a stream until none are left, each event once."""
     schema = table(spark, sf_dir, "events").schema
-    base = f"{shared_dir(spark)}/follow-{uuid.uuid4().hex}"
+    base = f"{own_dir(spark)}/follow-{uuid.uuid4().hex}"
     run = follow.follow(spark, f"{sf_dir}/events*.parquet", schema, f"{base}/checkpoint", follow.append_new(f"{base}/rows", "event_id"), "parquet")
     run.awaitTermination()
     return spark.read.schema(schema).parquet(f"{base}/rows").select("event_id", "user_id", "event_type", "value")
