@@ -39,6 +39,14 @@ def test_a_lost_file_of_digests_is_an_error(spark, documents, monkeypatch):
             substring_dedup.passages(documents).collect()
 
 
+def test_clean_up_leaves_nothing(spark, documents):
+    path = common.own_dir(spark).removeprefix("file://")
+    kept = common.materialize(documents.limit(5), "some")
+    assert kept.count() == 5 and glob.glob(f"{path}/some-*")
+    common.clean_up(spark)
+    assert not os.path.exists(path)
+
+
 def test_a_cluster_without_a_shared_folder_is_an_error():
     class Context:
         master = "spark://host:7077"
