@@ -42,7 +42,7 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 20_000
 #: Made texts of each label and kind.
 EXAMPLES = 400
-TREES = 16
+TREES, DEPTH = 40, 2
 RATE = 0.4
 PRECISION = 0.98
 JOIN, DOT = "\ue000", "\ue001"
@@ -192,7 +192,7 @@ def fit(rows: list[tuple[tuple[int, ...], int, int]]) -> list:
         p = [1 / (1 + math.exp(-s)) for s in scores]
         grads = [pos * (1 - q) - neg * q for (_, pos, neg), q in zip(rows, p, strict=True)]
         hess = [(pos + neg) * q * (1 - q) for (_, pos, neg), q in zip(rows, p, strict=True)]
-        trees.append(_split(rows, grads, hess, list(range(len(rows))), 2))
+        trees.append(_split(rows, grads, hess, list(range(len(rows))), DEPTH))
         scores = [s + _value(trees[-1], x) for s, (x, _, _) in zip(scores, rows, strict=True)]
     return trees
 
