@@ -8,6 +8,7 @@ from sparloom.llm.license_scan import OP6_SQL, op6_license_scan
 from sparloom.llm.lm_scoring import op1_lm_scoring
 from sparloom.llm.mixing import OP10_SQL, op10_mixing
 from sparloom.llm.pii import op2_pii
+from sparloom.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from sparloom.llm.quality_rules import OP5_SQL, op5_quality_rules
 from sparloom.llm.simhash import op8_simhash
 from sparloom.llm.substring_dedup import op3_substring_dedup
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_html_extraction": op9_html_extraction,
     "op10_mixing": op10_mixing,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 SQL = {
     "op5_quality_rules": OP5_SQL,
     "op6_license_scan": OP6_SQL,
     "op7_url_filters": OP7_SQL,
     "op10_mixing": OP10_SQL,
+    "op11_prefix_trie": OP11_SQL,
 }
