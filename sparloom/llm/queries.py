@@ -11,6 +11,7 @@ from sparloom.llm.pii import op2_pii
 from sparloom.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from sparloom.llm.quality_rules import OP5_SQL, op5_quality_rules
 from sparloom.llm.simhash import op8_simhash
+from sparloom.llm.spelling import OP12_SQL, op12_spelling_variants
 from sparloom.llm.substring_dedup import op3_substring_dedup
 from sparloom.llm.url_filters import OP7_SQL, op7_url_filters
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_mixing": op10_mixing,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 SQL = {
     "op5_quality_rules": OP5_SQL,
@@ -33,4 +35,5 @@ SQL = {
     "op7_url_filters": OP7_SQL,
     "op10_mixing": OP10_SQL,
     "op11_prefix_trie": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL,
 }
