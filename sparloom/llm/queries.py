@@ -7,6 +7,7 @@ from sparloom.llm.html_text import op9_html_extraction
 from sparloom.llm.license_scan import OP6_SQL, op6_license_scan
 from sparloom.llm.lm_scoring import op1_lm_scoring
 from sparloom.llm.mixing import OP10_SQL, op10_mixing
+from sparloom.llm.ngram_join import OP13_SQL, op13_ngram_join
 from sparloom.llm.pii import op2_pii
 from sparloom.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from sparloom.llm.quality_rules import OP5_SQL, op5_quality_rules
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_ngram_join": op13_ngram_join,
 }
 SQL = {
     "op5_quality_rules": OP5_SQL,
@@ -36,4 +38,5 @@ SQL = {
     "op10_mixing": OP10_SQL,
     "op11_prefix_trie": OP11_SQL,
     "op12_spelling_variants": OP12_SQL,
+    "op13_ngram_join": OP13_SQL,
 }

@@ -21,7 +21,7 @@ group; a text of fewer words than a shingle is one shingle.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -146,8 +146,22 @@ def _possible_in_wide(similarity: float) -> Column:
     return apart <= _room(similarity)
 
 
-def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, doc_id, root) of every row of (key, doc_id, text): one root a group of near-duplicates."""
+def texts_of(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """(th, text), once each, of the texts of pairs (x_th, y_th); of the rows (th, text) only these are shuffled."""
+    wanted = materialize(pairs.select(F.col("x_th").alias("wanted")).union(pairs.select("y_th")).distinct(), "sets-wanted")
+    return materialize(with_keys(own.select("th", "text"), "th", wanted, "wanted").groupBy("th").agg(F.first("text").alias("text")), "sets-texts")
+
+
+def links_by_texts(pairs: DataFrame, own: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(x, y) of the pairs (x, y, x_th, y_th, x_n, y_n) that are similar enough, from both texts side by side."""
+    texts = texts_of(pairs, own)
+    both = pairs.join(texts.select(F.col("th").alias("x_th"), F.col("text").alias("x_text")), "x_th").join(texts.select(F.col("th").alias("y_th"), F.col("text").alias("y_text")), "y_th")
+    return both.select("x", "y", "x_text", "y_text").mapInArrow(lambda it: _verified(it, size, similarity), "x bigint, y bigint")
+
+
+def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, links: Callable[[DataFrame, DataFrame, int, float], DataFrame] = links_by_texts) -> DataFrame:
+    """(key, doc_id, n, root) of every row of (key, doc_id, text): the size of its set, and one root a group of
+    near-duplicates. ``links`` verifies candidates."""
     if not 0 < similarity <= 1:
         raise ValueError("the similarity lies above 0 and is 1 at most")
     own = docs.select("key", "doc_id", F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
@@ -175,11 +189,8 @@ def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY)
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) of sets that are similar enough."""
         pairs = pairs.select("x", "y").distinct().join(side("x", "n", "wide", "half", "th"), "x").join(side("y", "n", "wide", "half", "th"), "y")
-        pairs = materialize(pairs.filter(_possible_in_wide(similarity)).select("x", "y", "x_th", "y_th"), "sets-pairs")
-        wanted = materialize(pairs.select(F.col("x_th").alias("wanted")).union(pairs.select("y_th")).distinct(), "sets-wanted")
-        texts = materialize(with_keys(own.select("th", "text"), "th", wanted, "wanted").groupBy("th").agg(F.first("text").alias("text")), "sets-texts")
-        both = pairs.join(texts.select(F.col("th").alias("x_th"), F.col("text").alias("x_text")), "x_th").join(texts.select(F.col("th").alias("y_th"), F.col("text").alias("y_text")), "y_th")
-        return materialize(both.select("x", "y", "x_text", "y_text").mapInArrow(lambda it: _verified(it, size, similarity), "x bigint, y bigint"), "sets-links")
+        pairs = materialize(pairs.filter(_possible_in_wide(similarity)).select("x", "y", "x_th", "y_th", "x_n", "y_n"), "sets-pairs")
+        return materialize(links(pairs, own, size, similarity).select("x", "y"), "sets-links")
 
     ties = met.filter("set <> rep").select(F.col("set").alias("x"), F.col("rep").alias("y")).distinct()
     first = components(verified(ties.join(side("x", "n", "slots"), "x").join(side("y", "n", "slots"), "y").filter(_possible(similarity))).select(F.col("x").alias("a"), F.col("y").alias("b")))
@@ -189,8 +200,8 @@ def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY)
     half = lambda name: rest.select("at", *[F.col(c).alias(a) for c, a in (("set", name), ("c", f"{name}_c"), ("n", f"{name}_n"), ("slots", f"{name}_slots"))])
     more = half("x").join(half("y"), "at").filter("x < y and x_c <> y_c").filter(_possible(similarity))
     root = lambda name: labelled.select(F.col("set").alias(name), F.col("c").alias(f"{name}_c")).distinct()
-    links = verified(more).join(root("x"), "x").join(root("y"), "y")
-    second = components(links.select(F.col("x_c").alias("a"), F.col("y_c").alias("b")))
+    met_later = verified(more).join(root("x"), "x").join(root("y"), "y")
+    second = components(met_later.select(F.col("x_c").alias("a"), F.col("y_c").alias("b")))
     moved = first.join(second.select(F.col("a").alias("b"), F.col("b").alias("root")), "b", "left").select("a", F.coalesce("root", "b").alias("b"))
     linked = moved.union(second.select("a", "b")).distinct()
-    return rows.select("key", "doc_id", "set").join(linked, F.col("set") == F.col("a"), "left").select("key", "doc_id", F.coalesce("b", "set").alias("root"))
+    return rows.select("key", "doc_id", "set", "n").join(linked, F.col("set") == F.col("a"), "left").select("key", "doc_id", "n", F.coalesce("b", "set").alias("root"))

@@ -9,8 +9,7 @@ the same place; of a word longer by one, the first chunk at its place and the se
 What is left of both words beside the shared chunk holds the edit. A bucket of a chunk that is too crowded to
 compare its words is cut again: what is left is cut into two chunks, one of which both words share, and so on,
 down to a single code point, where a bucket has no more words than there are letters. So no bucket gives all its
-pairs unless they are few, no pair is missed, and all that meet are verified. Long words are cut in the same way
-until little is open, so that verification does not depend on their length.
+pairs unless they are few, no pair is missed, and all that meet are verified.
 
 Words are counted in Spark, a block of text at a time, summed up before the shuffle; chunks, joins and forms are
 DataFrame operations.
@@ -28,7 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparloom.llm.common import materialize
@@ -39,8 +38,10 @@ MIN_CHARS, MIN_COUNT = 7, 2
 TIMES = 10
 #: Of a run of which hash a code point goes: every such multiple.
 DAMAGED = 31
-#: Pairs that a bucket may compare, and code points that it may leave open.
-CROWDED, OPEN = 2_000, 64
+#: Pairs that a bucket may compare.
+CROWDED = 2_000
+#: Code points up to which a table of distances is filled; beyond, the common beginning tells.
+TABLE = 256
 #: Characters of a text that are read at a time, and words that a task counts before it hands them on.
 BLOCK, HELD = 1 << 20, 500_000
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -112,6 +113,15 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.concat_ws(",", "size", "a", "b", shared))
 
 
+def _one_edit(x: Column, y: Column) -> Column:
+    """Whether a replaced or an inserted code point makes y of x, which is no longer than y."""
+    step = lambda p, k: F.when(F.substring(x, p + 1, k) == F.substring(y, p + 1, k), p + k).otherwise(p)
+    powers = F.transform(F.sequence(F.floor(F.log2(F.length(x))).cast("int"), F.lit(0)), lambda i: F.pow(F.lit(2), i).cast("int"))
+    common = F.aggregate(powers, F.lit(0), lambda p, k: F.when(p + k <= F.length(x), step(p, k)).otherwise(p))
+    same = lambda p: F.substring(y, p + 2, F.length(y)) == F.substring(x, p + 2 - (F.length(y) - F.length(x)), F.length(x))
+    return F.when(F.length(x) <= TABLE, F.levenshtein(x, y, 1) == 1).otherwise(same(common) & (x != y))
+
+
 def near_words(words: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """(x, x_n, y, y_n): every pair of near words of (word, n), once; x is the shorter, or the smaller of two of
     equal length."""
@@ -124,12 +134,11 @@ def near_words(words: DataFrame, crowded: int = CROWDED) -> DataFrame:
         # as many pairs as a bucket gives; without a shorter word, none
         met = met.withColumn("pairs", F.col("short") * (F.col("short") - 1) / 2 + F.col("short") * F.col("long")).filter("pairs > 0")
         told = materialize(keyed.join(met.select("key", "pairs"), "key"), "spelling-buckets")
-        open_part = F.col("b") - F.col("a")
-        small = (F.col("pairs") <= crowded) & (open_part <= OPEN) | (open_part <= 1)
-        now = told.filter(small).withColumn("part", F.substring("word", F.col("a") + 1, open_part + F.col("longer")))
-        x = now.filter("longer = 0").select("key", F.col("word").alias("x"), F.col("n").alias("x_n"), F.col("part").alias("x_part"))
-        y = now.select("key", "longer", F.col("word").alias("y"), F.col("n").alias("y_n"), F.col("part").alias("y_part"))
-        met = x.join(y, "key").filter((F.col("longer") == 1) | (F.col("x") < F.col("y"))).filter(F.levenshtein("x_part", "y_part", 1) == 1)
+        small = (F.col("pairs") <= crowded) | (F.col("b") - F.col("a") <= 1)
+        now = told.filter(small)
+        x = now.filter("longer = 0").select("key", F.col("word").alias("x"), F.col("n").alias("x_n"))
+        y = now.select("key", "longer", F.col("word").alias("y"), F.col("n").alias("y_n"))
+        met = x.join(y, "key").filter((F.col("longer") == 1) | (F.col("x") < F.col("y"))).filter(_one_edit(F.col("x"), F.col("y")))
         found.append(materialize(met.select("x", "x_n", "y", "y_n"), "spelling-pairs"))
         rows, level = told.filter(~small).select("word", "n", "size", "longer", "a", "b"), level + 1
         if not rows.limit(1).count():

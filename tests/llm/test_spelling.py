@@ -75,13 +75,24 @@ def test_ties_go_to_the_smallest(spark):
     assert got["worders"] == "vorders"
 
 
-def test_blocks_and_odd_rows(spark, odd, none, monkeypatch):
+def test_blocks(monkeypatch):
+    text = "Alpha beta, GAMMAdelta\n" * 50 + "x" * 40
+    whole = spelling._runs(text, 4)
     monkeypatch.setattr(spelling, "BLOCK", 10)
-    monkeypatch.setattr(spelling, "HELD", 2)
+    assert spelling._runs(text, 4) == whole == {"alpha": 50, "beta": 50, "gammadelta": 50, "x" * 40: 1}
+
+
+def test_odd_rows(spark, odd, none):
     got = {r.word: r.n for r in spelling.word_counts(odd, min_chars=4, every=3).collect()}
     assert got == plain_counts([(r.doc_id, r.text) for r in odd.collect()], 4, 2, 3)
     whole = spelling.spelling_variants(odd, min_chars=4)
     assert {r.word: r.n for r in whole.collect()}["alpha"] == 3 and whole.columns == ["word", "n", "n_near", "form", "form_n", "root"]
     assert spelling.spelling_variants(none).count() == 0
-    one = spark.createDataFrame([(1, "a" * 200_000 + " " + "a" * 200_000 + " " + "a" * 199_999 + " " + "a" * 199_999)], "doc_id long, text string")
-    assert [r.n_near for r in spelling.spelling_variants(one).collect()] == [1, 1]
+
+
+def test_long_words(spark):
+    long = "ab" * 100_000
+    made = [long, long + "a", "é" + long[1:], long[:777] + "é" + long[777:], long[:-1] + "é", long[:500] + long[502:], "c" * 300, "c" * 301, "c" * 302, "c" * 299 + "d"]
+    text = " ".join(made * 2)
+    got = {r.word: r.n_near for r in spelling.spelling_variants(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
+    assert [got[w] for w in made] == [4, 1, 1, 1, 1, 0, 2, 2, 1, 1]
