@@ -514,20 +514,30 @@ def snapshots(spark, sf_dir):
     path, schema = _folder(spark, "snapshots"), "event_id long, user_id long, event_type string"
     table(spark, sf_dir, "events").select("event_id", "user_id", "event_type").repartition(3, "event_id").write.parquet(f"{path}/in")
     follow.follow(spark, f"{path}/in", schema, f"{path}/checkpoint", follow.snapshot(f"{path}/out", "user_id", "event_id"), "parquet", per_batch=1).awaitTermination()
-    last = max(int(r["n"]) for r in layout.list_files(spark, f"{path}/out", "*.parquet").select(F.col("parent").alias("n")).distinct().collect())
-    return spark.read.schema(schema).parquet(f"{path}/out/{last}").select("user_id", "event_id", "event_type")
+    return follow.read_snapshot(spark, f"{path}/out", "user_id", "event_id", spark.read.parquet(f"{path}/in").schema).select("user_id", "event_id", "event_type")
 
 
 @query("""
-SELECT id, CASE WHEN id % 2 = 0 THEN 'character_tags:t' || id // 2 ELSE 'character_tags:t' || id // 2 END AS signature FROM (SELECT p_partkey AS id FROM part WHERE p_partkey % 2 = 0)
+WITH RECURSIVE open AS (
+    SELECT p_partkey AS o, (p_partkey + 1) // 3 AS i, (p_partkey + 2) // 3 AS s, false AS kept FROM part
+    UNION ALL
+    SELECT o, i, s, first AS kept FROM (
+        SELECT *, bool_or(first) OVER (PARTITION BY i) OR bool_or(first) OVER (PARTITION BY s) AS hit FROM (
+            SELECT o, i, s, o = min(o) OVER (PARTITION BY i) AND o = min(o) OVER (PARTITION BY s) AS first FROM open WHERE NOT kept))
+    WHERE first OR NOT hit)
+SELECT o AS "order", i AS id, 'character_tags:t' || s AS signature FROM open WHERE kept
 """)
 def accepted_posts(spark, sf_dir):
-    """Posts from a stream: of two with one signature the first stays, also across batches."""
+    """Posts from a stream, three of each id and three of each signature, which overlap: whether one is kept hangs on
+    those before it, also across batches."""
     path, p = _folder(spark, "posts"), table(spark, sf_dir, "part")
-    rows = p.select(F.col("p_partkey").alias("id"), F.concat(F.lit("1girl solo multiple_views turnaround t"), F.floor(F.col("p_partkey") / 2).cast("string")).alias("tags"), F.lit("safe").alias("rating"), *[F.lit("900").alias(c) for c in ("sample_width", "sample_height", "width", "height")], F.lit("").alias("source"), F.lit("sheets").alias("crawl_label"), F.lit("").alias("raw_tags"), F.col("p_partkey").alias("order"))
-    _in_order(rows, "order").write.parquet(f"{path}/in")
-    follow.follow(spark, f"{path}/in", rows.schema, f"{path}/checkpoint", posts.accept_posts(f"{path}/out"), "parquet", per_batch=100).awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("id", "signature")
+    k = F.col("p_partkey")
+    rows = p.select(F.floor((k + 1) / 3).alias("id"), F.concat(F.lit("1girl solo multiple_views turnaround t"), F.floor((k + 2) / 3).cast("string")).alias("tags"), F.lit("safe").alias("rating"), *[F.lit("900").alias(c) for c in ("sample_width", "sample_height", "width", "height")], F.lit("").alias("source"), F.lit("sheets").alias("crawl_label"), F.lit("").alias("raw_tags"), k.alias("order"))
+    third = F.floor(3 * F.col("order") / (rows.count() + 1))
+    for k in range(3):  # files one after the other: a stream takes them in order of time
+        rows.filter(third == k if k < 2 else third >= k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    follow.follow(spark, f"{path}/in", rows.schema, f"{path}/checkpoint", posts.accept_posts(f"{path}/out"), "parquet", per_batch=1).awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("order", "id", "signature")
 
 
 @query("SELECT n_name AS sample_id, count(*) AS rules FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_nationkey % 2 = 0 GROUP BY ALL")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparloom import vocabulary as V
 from sparloom.functions.tags import character_signature, has_any, hits, literals, single_subject, tag_set
 from sparloom.functions.text import first_filled
+from sparloom.operators.graph import components
 from sparloom.operators.shared import materialize
 
 
@@ -49,37 +54,99 @@ def cascade(posts: DataFrame) -> DataFrame:
     return d.withColumns({"reason": F.coalesce("_early", "_late", "_passed"), "accepted": F.col("_early").isNull() & F.col("_late").isNull(), "_before_signature": F.col("_early").isNull()}).drop("_early", "_late", "_passed")
 
 
-def accept_first(df: DataFrame, order: str, keys: list[str], seen: DataFrame | None = None) -> DataFrame:
+def _settled(left: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(kept, left) after a round: rows that come first under all their keys are kept, those that share a key with
+    one are not, and the others are left."""
+    d = left
+    for n in names:
+        d = d.join(left.groupBy(n).agg(F.min("_o").alias(f"_m{n}")), n, "left")
+    first = F.lit(True)
+    for n in names:
+        first = first & (F.col(n).isNull() | (F.col(f"_m{n}") == F.col("_o")))
+    new = materialize(d.filter(first).select("_o", *names), "kept")
+    return new, _unhit(left.join(new.select("_o"), "_o", "left_anti"), new, names)
+
+
+def _unhit(left: DataFrame, kept: DataFrame, names: list[str]) -> DataFrame:
+    """Rows that share no key with a kept one."""
+    for n in names:
+        left = left.join(kept.select(n).filter(F.col(n).isNotNull()).distinct(), n, "left_anti")
+    return materialize(left.select("_o", *names), "open")
+
+
+def _folded(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The kept rows of groups ``_c`` that come one after the other, each in order: what the rule says, row by row,
+    with the keys of one group in memory."""
+    group, seen = None, [set() for _ in names]
+    for batch in batches:
+        keep = []
+        for i, (c, *row) in enumerate(zip(*[batch.column(n).to_pylist() for n in ("_c", *names)], strict=True)):
+            if c != group:
+                group, seen = c, [set() for _ in names]
+            if not any(k is not None and k in s for k, s in zip(row, seen, strict=True)):
+                keep.append(i)
+                for k, s in zip(row, seen, strict=True):
+                    s.add(k)
+        yield batch.select(["_o", *names]).take(pa.array(keep, pa.int64()))
+
+
+def _in_place(grouped: DataFrame, names: list[str]) -> DataFrame:
+    """The kept rows of groups ``_c``, each group by one task."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in grouped.select("_o", *names).schema)
+    placed = grouped.repartition("_c").sortWithinPartitions("_c", "_o")
+    return materialize(placed.select("_c", "_o", *names).mapInArrow(lambda it: _folded(it, names), schema), "kept")
+
+
+def _grouped(left: DataFrame, names: list[str]) -> DataFrame:
+    """With ``_c``, the first row of the connected component: rows hang together that share a key."""
+    edges = None
+    for n in names:
+        firsts = left.filter(F.col(n).isNotNull()).groupBy(n).agg(F.min("_o").alias("b"))
+        tied = left.join(firsts, n).filter("_o <> b").select(F.col("_o").alias("a"), "b")
+        edges = tied if edges is None else edges.union(tied)
+    return materialize(left.join(components(edges).withColumnRenamed("a", "_o"), "_o", "left").select("_o", *names, F.coalesce("b", "_o").alias("_c")), "grouped")
+
+
+#: Rows that one task folds in place.
+IN_PLACE = 1_000_000
+
+
+def accept_first(df: DataFrame, order: str, keys: list[str], seen: DataFrame | None = None, in_place: int = IN_PLACE, rounds: int = 3) -> DataFrame:
     """``df`` with ``kept``: in order (a unique number), a row is kept unless a kept row before it, or a row of
     ``seen``, has one of its keys; blank keys match nothing.
 
-    Each round settles, by one aggregate a key, the rows that come first among the unsettled ones under all
-    their keys (kept) and those that share a key with a kept one (not kept). The rows are never one group;
-    rounds are as many as the longest chain of rows that hang on each other."""
+    A few rounds of aggregates settle what does not hang on much. What is left is cut into connected components,
+    found in a number of rounds that grows with the logarithm of a chain's length, and each is folded in place, in
+    order, by one task. Components of more rows than one task should fold are taken in blocks of that many rows in
+    order: within a block they are small, and what a block keeps takes its rows out of later blocks."""
     names = [f"_k{i}" for i in range(len(keys))]
     own = df.select(F.col(order).alias("_o"), *[F.nullif(F.col(k).cast("string"), F.lit("")).alias(n) for k, n in zip(keys, names, strict=True)])
     if seen is not None:
         for k, n in zip(keys, names, strict=True):
-            old = seen.select(F.col(k).cast("string").alias(n), F.lit(True).alias("_old")).distinct()
-            own = own.join(old, n, "left").withColumn("_gone" + n, F.coalesce("_old", F.lit(False))).drop("_old")
-        own = own.select("_o", *names, F.greatest(*["_gone" + n for n in names]).alias("_gone")) if len(names) > 1 else own.select("_o", *names, F.col("_gone" + names[0]).alias("_gone"))
-        own = own.filter("not _gone").drop("_gone")
-    left, kept = materialize(own, "open"), None
-    while not left.isEmpty():
-        d = left
-        for n in names:
-            d = d.join(left.groupBy(n).agg(F.min("_o").alias(f"_m{n}")), n, "left")
-        first = F.lit(True)
-        for n in names:
-            first = first & (F.col(n).isNull() | (F.col(f"_m{n}") == F.col("_o")))
-        new = materialize(d.filter(first).select("_o", *names), "kept")
-        kept = new if kept is None else kept.unionByName(new)
-        left = left.join(new.select("_o"), "_o", "left_anti")
-        for n in names:
-            left = left.join(new.select(n).filter(F.col(n).isNotNull()), n, "left_anti")
-        left = materialize(left.select("_o", *names), "open")
-    flags = kept.select(F.col("_o").alias(order), F.lit(True).alias("kept")) if kept is not None else own.limit(0).select(F.col("_o").alias(order), F.lit(True).alias("kept"))
-    return df.join(flags, order, "left").fillna(False, ["kept"])
+            own = own.join(seen.select(F.col(k).cast("string").alias(n)).distinct(), n, "left_anti")
+    left = materialize(own.select("_o", *names), "open")
+    kept: list[DataFrame] = []
+    for _ in range(rounds):
+        if left.count() <= in_place:
+            break
+        new, left = _settled(left, names)
+        kept.append(new)
+    if left.count() > in_place:
+        grouped = _grouped(left, names)
+        large = grouped.groupBy("_c").count().filter(F.col("count") > in_place).select("_c")
+        kept.append(_in_place(grouped.join(large, "_c", "left_anti"), names))
+        left = materialize(grouped.join(large, "_c", "left_semi").select("_o", *names), "open")
+    while n_left := left.count():
+        if n_left > in_place:
+            end = left.approxQuantile("_o", [in_place / n_left], 1e-4)[0]
+            block, later = left.filter(F.col("_o") <= end), left.filter(F.col("_o") > end)
+            kept.append(_in_place(_grouped(block, names), names))
+            left = _unhit(later, kept[-1], names)
+        else:
+            kept.append(_in_place(left.withColumn("_c", F.lit(0).cast("long")), names))
+            break
+    flags = reduce(DataFrame.unionByName, [k.select("_o") for k in kept]) if kept else own.limit(0).select("_o")
+    return df.join(flags.select(F.col("_o").alias(order), F.lit(True).alias("kept")), order, "left").fillna(False, ["kept"])
 
 
 def new_rows(existing: DataFrame, found: DataFrame, wanted: int, order: str) -> DataFrame:

@@ -23,22 +23,37 @@ def group_numbers(groups: DataFrame) -> DataFrame:
     return global_place(groups.select("group_first").distinct(), [F.col("group_first")]).select("group_first", (F.col("_place") + 1).alias("group_id"))
 
 
+def _segments(distance: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of the segments of a hash, of which one differs by at most one bit if the hash differs by
+    ``distance`` bits."""
+    n = distance // 2 + 1
+    edges = [round(k * BITS / n) for k in range(n + 1)]
+    return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)]
+
+
 def near_pairs(df: DataFrame, id_col: str, hash_col: str, distance: int = MAX_DISTANCE) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): each row with the first id of its hash; pairs of first ids whose hashes differ by
-    ``distance`` bits or fewer. A pair within d bits agrees in one of d + 1 bands of the hash: the bands are
-    an equality join, in which a pair comes out at the first band in which it agrees only."""
+    ``distance`` bits or fewer.
+
+    Multi-index hashing: hashes are indexed by segments of 21 or 22 bits (for five bits), and each looks up its own
+    segments and all that are one bit away; of three segments, one is within that. So a bucket holds about one
+    hash in two million, and a pair comes out once: where the smaller id looks it up, at the first segment that is
+    near enough."""
     members = df.select(F.col(id_col).alias("id"), F.col(hash_col).alias("hash"))
     first = members.groupBy("hash").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    edges = [round(k * BITS / (distance + 1)) for k in range(distance + 2)]
-    masks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.col("hash").bitwiseAND(F.lit(m).cast("long")).alias("part")) for k, m in enumerate(signed)])
-    keyed = first.select("class_id", "hash", F.inline(bands))
-    a, b = keyed.select("band", "part", F.col("class_id").alias("a"), F.col("hash").alias("x")), keyed.select("band", "part", F.col("class_id").alias("b"), F.col("hash").alias("y"))
+    cut = _segments(distance)
+    part = lambda h, lo, n: F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << n) - 1 if n < BITS else -1))
+    own = F.array(*[F.struct(F.lit(k).alias("segment"), part(F.col("hash"), lo, n).alias("part")) for k, (lo, n) in enumerate(cut)])
+    bit = lambda i: F.lit((1 << i) - (1 << BITS if i == BITS - 1 else 0)).cast("long")
+    near = F.array(*[F.struct(F.lit(k).alias("segment"), part(F.col("hash"), lo, n).bitwiseXOR(flip).alias("part")) for k, (lo, n) in enumerate(cut) for flip in (F.lit(0).cast("long"), *(bit(i) for i in range(n)))])
+    index = first.select(F.col("class_id").alias("b"), F.col("hash").alias("y"), F.inline(own))
+    asked = first.select(F.col("class_id").alias("a"), F.col("hash").alias("x"), F.inline(near))
+    differ = F.col("x").bitwiseXOR(F.col("y"))
     earlier = F.lit(False)
-    for k, m in enumerate(signed[:-1]):
-        earlier = earlier | ((F.col("band") > k) & (F.col("x").bitwiseXOR(F.col("y")).bitwiseAND(F.lit(m).cast("long")) == 0))
-    pairs = a.join(b, ["band", "part"]).filter((F.col("a") < F.col("b")) & (differing_bits(F.col("x"), F.col("y")) <= distance) & ~earlier)
+    for k, (lo, n) in enumerate(cut[:-1]):
+        earlier = earlier | ((F.col("segment") > k) & (F.bit_count(part(differ, lo, n)) <= 1))
+    met = asked.join(index, ["segment", "part"]).filter(F.col("a") < F.col("b"))
+    pairs = met.filter((differing_bits(F.col("x"), F.col("y")) <= distance) & ~earlier)
     return members.join(first, "hash").select("id", "hash", "class_id", "class_size"), pairs.select("a", "b", differing_bits(F.col("x"), F.col("y")).cast("int").alias("hamming_distance"))
 
 

@@ -303,7 +303,16 @@ def reject_cascade(spark, sf_dir):
     return curation.cascade(posts).select("id", "reason")
 
 
-@query()
+@query("""
+WITH RECURSIVE open AS (
+    SELECT o_orderkey AS o, o_custkey AS c, CAST(o_orderdate AS DATE) AS d, false AS kept FROM orders
+    UNION ALL
+    SELECT o, c, d, first AS kept FROM (
+        SELECT *, bool_or(first) OVER (PARTITION BY c) OR bool_or(first) OVER (PARTITION BY d) AS hit FROM (
+            SELECT o, c, d, o = min(o) OVER (PARTITION BY c) AND o = min(o) OVER (PARTITION BY d) AS first FROM open WHERE NOT kept))
+    WHERE first OR NOT hit)
+SELECT o_orderkey, o_orderkey IN (SELECT o FROM open WHERE kept) AS kept FROM orders
+""")
 def accept_first(spark, sf_dir):
     """Orders kept if none kept before them has their customer or their day."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"))
@@ -338,6 +347,21 @@ def hamming_links(spark, sf_dir):
     return members.join(links, "class_id", "left").fillna(0, ["links"]).select(F.col("id").alias("vec_id"), "class_id", "class_size", "links")
 
 
+@query("""
+WITH v AS (SELECT vec_id AS id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS HUGEINT) << CAST(i - 1 AS HUGEINT) ELSE 0 END)) AS bits FROM embeddings),
+m AS (SELECT *, coalesce(list_sum(list_transform(range(0, id % 8), lambda j: CAST(1 AS HUGEINT) << CAST((id + 9 * j) % 64 AS HUGEINT))), 0) AS mask FROM v),
+h AS (SELECT 2 * id AS id, bits FROM v UNION ALL SELECT 2 * id + 1, xor(bits, CAST(mask AS HUGEINT)) FROM m),
+c AS (SELECT bits, min(id) AS id FROM h GROUP BY bits)
+SELECT a.id AS a, b.id AS b, CAST(bit_count(CAST(xor(a.bits, b.bits) AS HUGEINT)) AS INTEGER) AS hamming_distance FROM c a JOIN c b ON a.id < b.id AND bit_count(CAST(xor(a.bits, b.bits) AS HUGEINT)) <= 5
+""")
+def hamming_pairs(spark, sf_dir):
+    """Pairs within five bits of the signs of vectors and of copies in which none to seven of them are turned."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), sign_bits(F.col("embedding")).alias("bits"))
+    turned = F.aggregate(F.slice(F.array(*[F.lit(j) for j in range(7)]), F.lit(1), (F.col("id") % 8).cast("int")), F.col("bits"), lambda bits, j: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), ((F.col("id") + 9 * j) % 64).cast("int"))))
+    both = v.select((2 * F.col("id")).alias("id"), "bits").union(v.select((2 * F.col("id") + 1).alias("id"), turned.alias("bits")))
+    return duplicates.near_pairs(both, "id", "bits")[1]
+
+
 def _turns(spark, sf_dir, role: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations").filter(F.col("role") == role)
     return t.select("conv_id", F.col("turn").cast("int").alias("index"), F.col("text").alias("name"), "text")

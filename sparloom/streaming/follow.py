@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from sparloom.operators.basics import keep_first
 from sparloom.operators.queue import partition
+from sparloom.streaming.keyed import FAN, KeyedTable
 
 
 def follow(spark: SparkSession, path: str, schema: str, checkpoint: str, consume: Callable[[DataFrame, int], None], fmt: str = "json", until_done: bool = True, per_batch: int = 100) -> StreamingQuery:
@@ -36,18 +38,16 @@ def append_new(path: str, key: str, order: str | None = None) -> Callable[[DataF
     return consume
 
 
-def snapshot(path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
-    """A consumer that rewrites the latest row of each key after every batch, as numbered snapshots of which the
-    highest is whole."""
+def snapshot(path: str, key: str, order: str, fan: int = FAN) -> Callable[[DataFrame, int], None]:
+    """A consumer that keeps the latest row of each key. A batch writes what it brings, and now and then merges
+    what earlier ones wrote."""
+    return KeyedTable(path, [key], order, fan).put
 
-    def consume(batch: DataFrame, number: int) -> None:
-        spark, rows = batch.sparkSession, batch
-        if number > 0:
-            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/{number - 1}"))
-        latest = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        latest.write.mode("overwrite").parquet(f"{path}/{number}")
 
-    return consume
+def read_snapshot(spark: SparkSession, path: str, key: str, order: str, schema: StructType, batches: int | None = None, fan: int = FAN) -> DataFrame:
+    """The latest row of each key after so many batches, or all."""
+    table = KeyedTable(path, [key], order, fan)
+    return table.read(spark, schema, table.batches(spark) if batches is None else batches)
 
 
 def queue_states(samples: DataFrame, outputs: DataFrame, attempted: DataFrame, rules: DataFrame, errors: DataFrame) -> DataFrame:

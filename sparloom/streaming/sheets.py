@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.sources.tables import exists
 from sparloom.sources.workbooks import to_workbooks
+from sparloom.streaming.keyed import KeyedTable
 
 
 def sync_workbooks(rules: DataFrame, path: str, columns: list[str], keys: list[str] | None = None, order: list[str] | None = None) -> Callable[[DataFrame, int], None]:
@@ -16,13 +16,15 @@ def sync_workbooks(rules: DataFrame, path: str, columns: list[str], keys: list[s
     rules of each sample that has rules and no workbook yet, as rows (keys, content) of one folder a batch. A
     batch that comes again replaces its own folder; samples without rules wait for a later batch."""
     keys = keys or ["category", "sample_id"]
+    state = KeyedTable(f"{path.rstrip('/')}_written", keys, "number")
 
     def consume(batch: DataFrame, number: int) -> None:
-        done = batch.select(*keys).distinct()
-        if number and exists(batch.sparkSession, path):
-            done = done.join(batch.sparkSession.read.parquet(path).filter(F.col("batch") < number).select(*keys), keys, "left_anti")
+        spark, done = batch.sparkSession, batch.select(*keys).distinct()
+        told = done.withColumn("number", F.lit(number))
+        done = done.join(state.read(spark, told.schema, number, done), keys, "left_anti")
         wanted = rules.join(done, keys, "left_semi")
         to_workbooks(wanted, keys, columns, order or ["position"]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        state.put(spark.read.parquet(f"{path}/batch={number}").select(*keys).distinct().withColumn("number", F.lit(number)), number)
 
     return consume
 
