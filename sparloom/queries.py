@@ -216,12 +216,30 @@ def _aligned_parts(spark, sf_dir, sequences: bool) -> DataFrame:
     return found.filter("atomic_rule_id <> ''").select(F.col("_row").alias("finding"), F.col("atomic_rule_id").alias("rule"), "rank", "mapping_score", "candidate_match_type")
 
 
-@query(f"""
-WITH f AS (SELECT p_partkey, p_brand, lower(p_type) AS h_value, {_tokens_sql("p_name || ' ' || p_type")} AS h FROM part),
+#: Code points in matching blocks of texts a and b (under 200 long): the longest run of equal ones, the first in a, then in
+#: b, and those of what is left on both sides.
+MATCHED = """RECURSIVE pairs AS (SELECT row_number() OVER () AS id, a, b FROM (SELECT DISTINCT lower(p_name || ' ' || p_type) AS a, b FROM part JOIN (SELECT DISTINCT p_brand, lower(p_type || ' ' || p_type) AS b FROM part) USING (p_brand))),
+ends AS (SELECT id, i, unnest(range(1, length(b) + 1)) AS j, a, b FROM (SELECT *, unnest(range(1, length(a) + 1)) AS i FROM pairs)),
+met AS (SELECT id, i, j, i - row_number() OVER (PARTITION BY id, j - i ORDER BY i) AS run FROM ends WHERE substr(a, i, 1) = substr(b, j, 1)),
+runs AS (SELECT id, i, j, max(i) OVER (PARTITION BY id, j - i, run) - i + 1 AS n FROM met),
+spans AS (
+    SELECT id, 1::BIGINT AS alo, length(a) + 1 AS ahi, 1::BIGINT AS blo, length(b) + 1 AS bhi, 0::BIGINT AS size FROM pairs
+    UNION ALL
+    SELECT id, CASE side WHEN 0 THEN alo ELSE m.i + m.n END, CASE side WHEN 0 THEN m.i ELSE ahi END, CASE side WHEN 0 THEN blo ELSE m.j + m.n END, CASE side WHEN 0 THEN m.j ELSE bhi END, CASE side WHEN 0 THEN m.n ELSE 0 END
+    FROM (SELECT *, unnest([0, 1]) AS side FROM (
+        SELECT s.id, s.alo, s.ahi, s.blo, s.bhi, arg_min({'i': r.i, 'j': r.j, 'n': least(r.n, s.ahi - r.i, s.bhi - r.j)}, {'n': -least(r.n, s.ahi - r.i, s.bhi - r.j), 'i': r.i, 'j': r.j}) AS m
+        FROM spans s JOIN runs r ON r.id = s.id AND r.i >= s.alo AND r.i < s.ahi AND r.j >= s.blo AND r.j < s.bhi GROUP BY s.id, s.alo, s.ahi, s.blo, s.bhi))),
+ratios AS (SELECT a, b, 2e0 * sum(size) / (length(a) + length(b)) AS ratio FROM pairs JOIN spans USING (id) GROUP BY id, a, b),
+"""
+
+
+def _aligned_sql(ratio: str = "0e0", more: str = "", before: str = "") -> str:
+    return f"""
+WITH {before}f AS (SELECT p_partkey, p_brand, lower(p_type) AS h_value, lower(p_name || ' ' || p_type) AS a, {_tokens_sql("p_name || ' ' || p_type")} AS h FROM part),
 r AS (SELECT DISTINCT p_brand, p_type FROM part),
-r2 AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_type) AS position, {_tokens_sql("p_type || ' ' || p_type")} AS rt FROM r),
-x AS (SELECT p_partkey, p_type, position, h, rt, CAST(((len(list_intersect(h, rt)) / len(list_distinct(list_concat(h, rt)))) * 65e-2 + 0e0 * 25e-2
-  + CASE WHEN contains(lower(p_type), h_value) THEN 15e-2 ELSE 0e0 END) * 1152921504606846976e0 AS HUGEINT) * 10000 AS e FROM f JOIN r2 USING (p_brand)),
+r2 AS (SELECT *, lower(p_type || ' ' || p_type) AS b, row_number() OVER (PARTITION BY p_brand ORDER BY p_type) AS position, {_tokens_sql("p_type || ' ' || p_type")} AS rt FROM r),
+x AS (SELECT p_partkey, p_type, position, h, rt, CAST(((len(list_intersect(h, rt)) / len(list_distinct(list_concat(h, rt)))) * 65e-2 + {ratio} * 25e-2
+  + CASE WHEN contains(lower(p_type), h_value) THEN 15e-2 ELSE 0e0 END) * 1152921504606846976e0 AS HUGEINT) * 10000 AS e FROM f JOIN r2 USING (p_brand){more}),
 d AS (SELECT *, e // 1152921504606846976 AS down, 2 * (e % 1152921504606846976) AS rest FROM x),
 s AS (SELECT *, CAST(down + CASE WHEN rest > 1152921504606846976 OR (rest = 1152921504606846976 AND down % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 10000 AS mapping_score FROM d),
 k AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY mapping_score DESC, position) AS rank FROM s WHERE mapping_score >= 0.18 QUALIFY rank <= 3)
@@ -230,15 +248,18 @@ SELECT p_partkey AS finding, p_type AS rule, CAST(rank AS INTEGER) AS rank, mapp
     WHEN len(list_intersect(h, rt)) IN (len(h), len(rt)) THEN 'broader_or_narrower_candidate'
     WHEN mapping_score >= 0.25 THEN 'related_candidate' ELSE 'low_confidence_candidate' END AS candidate_match_type
 FROM k
-""")
+"""
+
+
+@query(_aligned_sql())
 def align_candidates(spark, sf_dir):
     """The three best of a brand's types for each part, by token overlap and containment."""
     return _aligned_parts(spark, sf_dir, False)
 
 
-@query()
+@query(_aligned_sql("ratio", " JOIN ratios USING (a, b)", MATCHED))
 def align_candidates_sequences(spark, sf_dir):
-    """The same with the ratio of matching character sequences, which SQL cannot express: the whole score."""
+    """The same with the ratio of matching character sequences: the whole score."""
     return _aligned_parts(spark, sf_dir, True)
 
 
