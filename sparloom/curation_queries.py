@@ -15,7 +15,7 @@ from sparloom.operators.shared import own_dir
 from sparloom.plans import merchandise
 from sparloom.queries import _tagged_parts, query, table
 from sparloom.sinks import writers
-from sparloom.sources import documents, layout, tables, workbooks
+from sparloom.sources import documents, layout, pages, tables, workbooks
 from sparloom.streaming import follow, posts, sheets
 
 
@@ -62,7 +62,36 @@ def json_lines_round_trip(spark, sf_dir):
     """Events as JSON lines and CSV of the same rows, read from the first."""
     path = _folder(spark, "rows")
     writers.write_both(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), path, ["event_id", "event_type"])
-    return tables.read_json(spark, f"{path}/jsonl", "event_id long, event_type string, value double")
+    return tables.read_json(spark, f"{writers.current(spark, path)}/jsonl", "event_id long, event_type string, value double")
+
+
+@query("""
+SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, kind FROM events, (VALUES ('csv'), ('jsonl')) AS k(kind)
+""")
+def paired_outputs(spark, sf_dir):
+    """Events as JSON lines and CSV, written twice: both views are of the second writing."""
+    path, e = _folder(spark, "pair"), table(spark, sf_dir, "events").select("event_id", "event_type")
+    writers.write_both(e.filter("event_id % 2 = 0"), path, ["event_id", "event_type"])
+    writers.write_both(e, path, ["event_id", "event_type"])
+    pair = writers.current(spark, path)
+    csv = tables.read_csv(spark, f"{pair}/csv").select("event_id", "event_type", F.lit("csv").alias("kind"))
+    rows = tables.read_json(spark, f"{pair}/jsonl", "event_id long, event_type string")
+    return csv.unionByName(rows.select(F.col("event_id").cast("string"), "event_type", F.lit("jsonl").alias("kind")))
+
+
+@query("SELECT CAST((row_number() OVER (ORDER BY doc_id) - 1) // 50 AS INTEGER) AS page, CAST((row_number() OVER (ORDER BY doc_id) - 1) % 50 AS INTEGER) AS position, CAST(doc_id AS VARCHAR) AS post_id, source FROM documents")
+def paged_posts(spark, sf_dir):
+    """Documents as pages of posts, lists and dictionaries in turn, read as a stream in two goes of which the second
+    goes on where the first ended."""
+    path = _folder(spark, "listing")
+    placed = basics.global_place(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), [F.col("id")])
+    paged = placed.groupBy(F.floor(F.col("_place") / 50).alias("page")).agg(F.sort_array(F.collect_list(F.struct("_place", "id", "source"))).alias("posts"))
+    listed = F.to_json(F.transform("posts", lambda p: F.struct(p["id"].alias("id"), p["source"].alias("source"))))
+    paged.select("page", F.when(F.col("page") % 2 == 0, listed).otherwise(F.concat(F.lit('{"post": '), listed, F.lit("}"))).alias("value")).write.partitionBy("page").text(f"{path}/pages")
+    options = {"location": f"{path}/pages", "fetcher": "sparloom.sources.pages:read_folder", "pages_per_batch": "7"}
+    pages.append_pages(spark, options | {"max_pages": "3"}, f"{path}/out", f"{path}/checkpoint")
+    rows = pages.append_pages(spark, options, f"{path}/out", f"{path}/checkpoint")
+    return rows.select("page", "position", "post_id", F.get_json_object("post", "$.source").alias("source"))
 
 
 @query("SELECT replace(s_name, '#', '_') AS item FROM supplier UNION ALL SELECT 'n' || s_nationkey FROM supplier WHERE s_suppkey % 3 <> 0")

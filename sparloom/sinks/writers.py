@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparloom.operators.basics import global_place
-from sparloom.operators.shared import materialize
 
 BOM = "\ufeff"
 
@@ -35,12 +36,56 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def write_both(df: DataFrame, path: str, columns: list[str]) -> None:
-    """The same rows as JSON lines and as CSV, below ``path``, out of one written table: what one has the other
-    has."""
-    rows = materialize(df, "rows")
-    write_json(rows, f"{path}/jsonl")
-    write_csv(rows, f"{path}/csv", columns)
+POINTER = "CURRENT"
+
+
+def _filesystem(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    return hadoop, hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _overwrite(spark: SparkSession):
+    """The option by which a rename replaces its target in one step, as an array of one."""
+    kind = spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    options = spark.sparkContext._gateway.new_array(getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = spark._jvm.java.lang.Enum.valueOf(kind, "OVERWRITE")
+    return options
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder of the pair that ``write_both`` has put in force last."""
+    return f"{path}/{spark.read.text(f'{path}/{POINTER}').first()[0]}"
+
+
+def write_both(df: DataFrame, path: str, columns: list[str]) -> str:
+    """The same rows as JSON lines and as CSV, below the folder that ``current`` names; returns it.
+
+    Both are written to a folder of their own, and a pointer is renamed over the last one when both are whole: what
+    stops in between leaves the old pair in force, and no reader sees one of each. The pair before the last stays for
+    those who still read it; older ones, and what a stopped write has left, go."""
+    spark, version = df.sparkSession, f"version-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+    hadoop, fs = _filesystem(spark, path)
+    try:
+        df.write.parquet(f"{path}/{version}/rows")
+        rows = spark.read.schema(df.schema).parquet(f"{path}/{version}/rows")
+        write_json(rows, f"{path}/{version}/jsonl")
+        write_csv(rows, f"{path}/{version}/csv", columns)
+        staged = hadoop.Path(f"{path}/{version}/{POINTER}")
+        out = fs.create(staged, True)
+        out.write(bytearray(version.encode()))
+        out.close()
+    except BaseException:
+        fs.delete(hadoop.Path(f"{path}/{version}"), True)
+        raise
+    last = current(spark, path) if fs.exists(hadoop.Path(f"{path}/{POINTER}")) else None
+    target = fs.makeQualified(hadoop.Path(f"{path}/{POINTER}"))
+    hadoop.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(staged), target, _overwrite(spark))
+    fs.delete(hadoop.Path(f"{path}/{version}/rows"), True)
+    for entry in fs.listStatus(hadoop.Path(path)):
+        name = entry.getPath().getName()
+        if name.startswith("version-") and name < (last or version).rsplit("/", 1)[-1]:
+            fs.delete(entry.getPath(), True)
+    return f"{path}/{version}"
 
 
 def write_review(df: DataFrame, path: str, order: list[Column]) -> bool:

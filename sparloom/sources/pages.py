@@ -1,14 +1,21 @@
 """Paged listings as a data source; retries; dictionaries and lists of posts alike. With ``pages`` each page is a
-partition; without it one partition reads pages in order until an empty one ends the listing."""
+partition; without it one partition reads pages in order until an empty one, or the cap ``max_pages``, ends the
+listing. As a stream, a batch reads the next pages; an empty one is asked for again by the next batch, so that pages
+which come later are read, each once."""
 
 from __future__ import annotations
 
 import importlib
 import json
+import sys
 import time
 import urllib.request
+from pathlib import Path
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 RETRIES, FIRST_WAIT, MORE_WAIT = 4, 1.0, 1.5
@@ -26,6 +33,13 @@ def read_file(location: str, page: int, limit: int) -> str:
         return f.read()
 
 
+def read_folder(location: str, page: int, limit: int) -> str:
+    """The text of a page that Spark has written below ``location`` (partitioned by page), on a mounted folder; empty
+    if there is none."""
+    folder = Path(location.removeprefix("file://").removeprefix("file:")) / f"page={page}"
+    return "".join(f.read_text(encoding="utf-8") for f in sorted(folder.glob("part-*")))
+
+
 def posts_of(text: str) -> list[dict]:
     """Posts of an answer: a list, {"post": [...]}, {"posts": [...]} or one post; anything else is none."""
     data = json.loads(text) if text.strip() else []
@@ -36,7 +50,8 @@ def posts_of(text: str) -> list[dict]:
 
 
 class PagedSource(DataSource):
-    """Options: location, pages, limit, tags, fetcher (module:function, by default urllib)."""
+    """Options: location, pages, max_pages, limit, tags, fetcher (module:function, by default urllib); for a stream
+    pages_per_batch."""
 
     @classmethod
     def name(cls) -> str:
@@ -48,24 +63,35 @@ class PagedSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return PagedReader(self.options)
 
+    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
+        return PagedStreamReader(self.options)
+
 
 class PagedReader(DataSourceReader):
     def __init__(self, options):
         self.options = dict(options)
 
     def partitions(self):
-        pages = int(self.options.get("pages", 0))
+        pages = min(int(self.options.get("pages", 0)), self.cap())
         return [InputPartition(k) for k in range(pages)] or [InputPartition(None)]
 
+    def cap(self) -> int:
+        """Pages that are read at most."""
+        return int(self.options.get("max_pages", sys.maxsize))
+
     def read(self, partition):
-        page = partition.value or 0
-        while True:
-            posts = self.page(page)
-            for k, post in enumerate(posts):
-                yield page, k, str(post.get("id", "")), json.dumps(post, sort_keys=True, ensure_ascii=False)
-            page += 1
-            if partition.value is not None or not posts:
+        if partition.value is not None:
+            yield from self.rows(partition.value)
+            return
+        for page in range(self.cap()):
+            rows = list(self.rows(page))
+            if not rows:
                 return
+            yield from rows
+
+    def rows(self, page: int) -> Iterator[tuple[int, int, str, str]]:
+        for k, post in enumerate(self.page(page)):
+            yield page, k, str(post.get("id", "")), json.dumps(post, sort_keys=True, ensure_ascii=False)
 
     def page(self, number: int) -> list[dict]:
         """The posts of a page, after some tries."""
@@ -79,3 +105,43 @@ class PagedReader(DataSourceReader):
                     raise
                 time.sleep(FIRST_WAIT + MORE_WAIT * attempt)
         return []
+
+
+class PagedStreamReader(SimpleDataSourceStreamReader):
+    """The offset is the next page to read; a batch is at most ``pages_per_batch`` pages."""
+
+    def __init__(self, options):
+        self.pages = PagedReader(options)
+        self.per_batch = int(self.pages.options.get("pages_per_batch", 10))
+
+    def initialOffset(self) -> dict:
+        return {"page": 0}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, page = [], start["page"]
+        while page < min(self.pages.cap(), start["page"] + self.per_batch):
+            found = list(self.pages.rows(page))
+            if not found:
+                break
+            rows += found
+            page += 1
+        return iter(rows), {"page": page}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        for page in range(start["page"], end["page"]):
+            yield from self.pages.rows(page)
+
+    def commit(self, end: dict) -> None:
+        """Nothing is held for pages that have been read."""
+
+
+def append_pages(spark: SparkSession, options: dict[str, str], path: str, checkpoint: str) -> DataFrame:
+    """Appends the pages that have come since ``checkpoint`` to the rows in ``path``, and reads these."""
+    spark.dataSource.register(PagedSource)
+    source = spark.readStream.format("paged").options(**options).load()
+    query = source.writeStream.format("parquet").option("checkpointLocation", checkpoint).start(path)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.schema(source.schema).parquet(path)
