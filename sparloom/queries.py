@@ -11,7 +11,7 @@ from sparloom import vocabulary as V
 from sparloom.functions.parsing import lenient_json, rule_location
 from sparloom.functions.similarity import sign_bits
 from sparloom.functions.tags import source_key
-from sparloom.functions.text import char_similarity, set_jaccard, tokens
+from sparloom.functions.text import char_set, char_similarity, set_jaccard, set_overlap, tokens
 from sparloom.operators import alignment, assignment, basics, curation, detection, duplicates, events, fidelity, gold, lanes, quality, queue, scoring
 from sparloom.operators.shared import own_dir
 from sparloom.streaming import follow
@@ -301,7 +301,17 @@ def additive_scorer(spark, sf_dir):
     return d.select("sample_id", *[f"score_{c}" for c in V.CATEGORIES], "primary_category", "primary_score", "candidate_categories", "margin", "review_required")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE s AS ({_scores_sql()}),
+o AS (SELECT *, list_sort([{", ".join(f"{{'s': -s{k}, 'k': {k}}}" for k in range(6))}]) AS o FROM s),
+r AS (SELECT sample_id, list_transform(o, lambda x: x.k + 1) AS c, row_number() OVER (ORDER BY o[2].s - o[1].s DESC, sample_id) AS n FROM o),
+walk AS (
+    SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS sample_id, CAST(NULL AS BIGINT) AS c, list_transform(range(6), lambda k: CAST(count(*) // 6 + CASE WHEN k < count(*) % 6 THEN 1 ELSE 0 END AS BIGINT)) AS room FROM r
+    UNION ALL
+    SELECT n, sample_id, c, list_transform(room, lambda v, k: CASE WHEN k = c THEN v - 1 ELSE v END) FROM (
+        SELECT r.n, r.sample_id, list_filter(r.c, lambda k: w.room[k] > 0)[1] AS c, w.room FROM walk w JOIN r ON r.n = w.n + 1))
+SELECT sample_id, {NAMES}[c] AS assigned FROM walk WHERE n > 0
+""")
 def quota_assignment(spark, sf_dir):
     """Parts to categories under even quotas, by margin."""
     return scoring.balanced(scoring.score(_tagged_parts(spark, sf_dir)), given=None)
@@ -394,7 +404,44 @@ def optimal_assignment(spark, sf_dir):
     return assignment.optimal(_turns(spark, sf_dir, "assistant"), _turns(spark, sf_dir, "user"), "conv_id")
 
 
-@query()
+#: Similarity s of assistant turn i and user turn j of a conversation, by their distinct characters.
+TURN_PAIRS = """c AS (SELECT conv_id, role, CAST(turn AS INTEGER) AS turn, list_distinct(list_filter(string_split(text, ''), lambda c: NOT regexp_matches(c, '^[\\s，。、'':：;；,.!！?？/|（）()\\[\\]{}<>《》-]*$'))) AS x FROM conversations),
+s AS (SELECT p.conv_id, p.turn AS i, g.turn AS j, CASE WHEN len(p.x) > 0 AND len(g.x) > 0 THEN greatest(len(list_intersect(p.x, g.x)) / len(list_distinct(list_concat(p.x, g.x))), len(list_intersect(p.x, g.x)) / least(len(p.x), len(g.x))) ELSE 0 END AS s
+  FROM c p JOIN c g ON g.conv_id = p.conv_id AND g.role = 'user' WHERE p.role = 'assistant'),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY i) AS step FROM s)"""
+
+
+@query(f"""
+WITH RECURSIVE {TURN_PAIRS},
+walk AS (
+    SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS step, CAST([] AS INTEGER[]) AS taken, CAST(0 AS DOUBLE) AS total FROM r
+    UNION
+    SELECT w.conv_id, w.step + 1, CASE WHEN take THEN list_append(w.taken, r.j) ELSE w.taken END, CASE WHEN take THEN w.total + r.s ELSE w.total END
+    FROM walk w JOIN r ON r.conv_id = w.conv_id AND r.step = w.step + 1, (VALUES (true), (false)) AS t(take) WHERE NOT (take AND list_contains(w.taken, r.j))),
+n AS (SELECT conv_id, least(count(DISTINCT i), count(DISTINCT j)) AS n, count(DISTINCT i) AS steps FROM s GROUP BY conv_id)
+SELECT n.conv_id, n.n AS pairs, round(max(w.total), 9) AS total FROM n JOIN walk w ON w.conv_id = n.conv_id AND w.step = n.steps GROUP BY n.conv_id, n.n
+""")
+def optimal_totals(spark, sf_dir):
+    """The largest total similarity of a conversation's turns in pairs, which the SQL finds among all assignments; the
+    pairs are turns of the conversation, each once, and their similarity is what these turns have."""
+    a, u = _turns(spark, sf_dir, "assistant"), _turns(spark, sf_dir, "user")
+    m = assignment.optimal(a, u, "conv_id", accept=-1.0)
+    alike = set_overlap(char_set(F.col("a"), strip_ascii=False), char_set(F.col("u"), strip_ascii=False))
+    real = m.join(a.select("conv_id", F.col("index").alias("pred_index"), F.col("text").alias("a")), ["conv_id", "pred_index"]).join(u.select("conv_id", F.col("index").alias("gold_index"), F.col("text").alias("u")), ["conv_id", "gold_index"])
+    return real.groupBy("conv_id").agg(F.least(F.countDistinct("pred_index"), F.countDistinct("gold_index"), F.count_if(F.abs(alike - F.col("similarity")) < 1e-12)).alias("pairs"), F.round(F.sum("similarity"), 9).alias("total"))
+
+
+@query(f"""
+WITH RECURSIVE {TURN_PAIRS},
+g AS (SELECT conv_id, step, i, j, 3e-1 * s + 7e-1 * s AS gain FROM r),
+walk AS (
+    SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS step, CAST([] AS INTEGER[]) AS taken, {{'i': CAST(NULL AS INTEGER), 'j': CAST(NULL AS INTEGER), 'gain': CAST(NULL AS DOUBLE)}} AS best FROM g
+    UNION ALL
+    SELECT conv_id, step, CASE WHEN best.gain >= 6e-1 THEN list_append(taken, best.j) ELSE taken END, best FROM (
+        SELECT w.conv_id, w.step + 1 AS step, w.taken, arg_min({{'i': g.i, 'j': g.j, 'gain': g.gain}}, {{'gain': -g.gain, 'j': g.j}}) FILTER (NOT list_contains(w.taken, g.j)) AS best
+        FROM walk w JOIN g ON g.conv_id = w.conv_id AND g.step = w.step + 1 GROUP BY w.conv_id, w.step, w.taken))
+SELECT conv_id, best.i AS pred_index, best.j AS gold_index, CAST(-1 AS INTEGER) AS part, best.gain AS similarity FROM walk WHERE best.gain >= 6e-1
+""")
 def greedy_assignment(spark, sf_dir):
     """The same, taking the best free turn in order."""
     return assignment.greedy(_turns(spark, sf_dir, "assistant"), _turns(spark, sf_dir, "user"), "conv_id")
