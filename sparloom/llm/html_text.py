@@ -6,6 +6,11 @@ cost of calling it content or boilerplate: the capacities to the two terminals.
 in the page, and between blocks of the same parent, are the price of a change of label. The minimum cut,
 by maximum flow, separates content from boilerplate.
 
+What the classifier says of a block is bounded by LOOK, below what an ancestor says (MEANING), so the looks of a
+long comment or a short item do not outweigh the element that it stands in; a block without such an ancestor is
+decided by the cut, from its look and its neighbours. Items of lists and cells of tables are short by nature:
+unless they are mostly links they have no cost of their own, and go with what stands around their list or table.
+
 The classifier is trained here, on at most SAMPLE distinct pages (by a hash of the page), from blocks whose
 ancestors tell what they are. The rest is a map over pages: no shuffle, one page in memory at a time.
 
@@ -32,13 +37,13 @@ from sparloom.llm.common import hashed_share
 
 #: Pages that the classifier is trained on, at most.
 SAMPLE = 2_000
-#: Cost of a label that the ancestors speak against, and of a change of label between neighbours in the
-#: page and, in addition, between blocks of one parent.
-MEANING, NEXT, SIBLING = 3.0, 0.8, 2.0
+#: Cost of a label that the ancestors speak against, the most that the look of a block may cost, and the cost of a
+#: change of label between neighbours in the page and, in addition, between blocks of one parent.
+MEANING, LOOK, NEXT, SIBLING = 4.0, 2.0, 0.8, 2.0
 SCALE = 1000
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
     |<svg\b(?>[^>"']|"[^"<]*"|'[^'<]*')*+(?<=/)>
     |<(?P<raw>script|style|noscript|template|textarea|svg|annotation|annotation-xml|iframe|object|select|button|title)\b(?>[^>"']|"[^"<]*"|'[^'<]*')*+>.*?(?:</(?P=raw)\s*>|\Z)
     |<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?>[^>"']|"[^"<]*"|'[^'<]*')*+|[^>]*)(?:>|\Z)""",
@@ -49,11 +54,16 @@ MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 LEAVES = frozenset("p li dd dt td th pre blockquote h1 h2 h3 h4 h5 h6 figcaption caption summary".split())
+#: Where items and cells stand: they are neighbours of what stands around these.
+GROUPS = frozenset("dl ol table tbody tfoot thead tr ul".split())
+ITEMS = frozenset("dd dt li td th".split())
 OUTSIDE = frozenset("aside dialog dir fieldset footer form head header legend menu nav".split())
 INSIDE = frozenset("article main".split())
 #: An open element of these is closed by a new one of the same set.
 CLOSES = ({"p"}, {"li"}, {"dt", "dd"}, {"td", "th"}, {"tr"}, {"option"})
-OUT_WORDS = frozenset("ad ads advert advertisement advertorial adverts alert author-box banner bottombar breadcrumb breadcrumbs bylinks comment comments consent cookie cookies copyright dialog disclaimer disqus footer form gdpr header masthead menu menubar meta-nav modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup privacy promo promoted promotion reader-comments recommend recommended related reply replies respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe tags taglist teaser toc toolbar topbar widget".split())
+OUT_WORDS = frozenset("ad ads advert advertisement advertorial adverts alert author-box banner bottombar breadcrumb breadcrumbs bylinks comment comments complementary consent contentinfo cookie cookies copyright dialog disclaimer disqus footer form gdpr header masthead menu menubar meta-nav modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup privacy promo promoted promotion reader-comments recommend recommended related reply replies respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe tags taglist teaser toc toolbar topbar widget".split())
+#: Elements and names whose articles are comments or teasers, not the page's own.
+ASIDE = frozenset("aside comment comments complementary contentinfo dialog disqus footer menu nav reader-comments recommend recommended related replies reply respond sidebar teaser".split())
 #: Parts of a compound class name that make the others tell of something beside or absent.
 BESIDE = frozenset("has have no not non with without".split())
 IN_WORDS = frozenset("article article-body articlebody content-body entry-content main-content mainbody post-body post-content story story-body".split())
@@ -67,23 +77,27 @@ class Block:
     meaning: int
     linked: int
     form: int = 0
+    item: bool = False
     features: tuple[str, ...] = field(default=())
 
 
 def _meaning(name: str, attrs: str, before: int) -> int:
-    """1: holds content, -1: holds none, 0: says nothing. ``before``: what the element around it says; the header
-    of an article is part of it. Elements that hold content speak by their tag and by whole names only."""
+    """1: holds content, -1: holds none, -2: holds none, nor do articles in it, 0: says nothing. ``before``: what the
+    element around it says; the header of an article is part of it. Elements that hold content speak by their tag
+    and by whole names only."""
+    if before == -2 and name != "main":
+        return 0
     headline = name == "header" and before > 0
     if name in OUTSIDE and not headline:
-        return -1
+        return -2 if name in ASIDE else -1
     said = 1 if name in INSIDE else 0
     if "=" in attrs and name not in ("html", "body"):
         for m in MARK.finditer(attrs):
             names = (m[1] or m[2] or m[3] or "").lower().split()
             split = {n: re.split(r"[-_]+", n) for n in names}
             parts = {x for n, xs in split.items() for x in ((n,) if name in INSIDE or BESIDE.intersection(xs) else (n, *xs))}
-            if (parts - {"header", "masthead"} if headline else parts) & OUT_WORDS:
-                return -1
+            if out := (parts - {"header", "masthead"} if headline else parts) & OUT_WORDS:
+                return -2 if out & ASIDE else -1
             if parts & IN_WORDS:
                 said = 1
     return said
@@ -103,8 +117,12 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                holder = stack[-2] if stack[-1][0] in LEAVES else stack[-1]
-                found.append(Block(text, holder[1], stack[-1][0], stack[-1][2], linked, stack[-1][3]))
+                # a leaf that says something else than its parent is no sibling of the parent's blocks
+                own, up = stack[-1], len(stack) - 1
+                while up and stack[up - 1][2] == own[2] and (stack[up][0] in GROUPS or stack[up][0] in LEAVES and (up == len(stack) - 1 or stack[up][0] in ITEMS)):
+                    up -= 1
+                item = any(x[0] in ITEMS for x in stack[up + 1 :])
+                found.append(Block(text, stack[up][1], own[0], max(own[2], -1), linked, own[3], item))
             pieces, linked = [], 0
 
     def add(text: str) -> None:
@@ -259,10 +277,17 @@ def max_flow_cut(source: list[int], sink: list[int], edges: dict[tuple[int, int]
                         tried[path[-1]] += 1
 
 
+def looks(b: Block, odds: dict[str, float]) -> float:
+    """What the classifier says of a block: above 0 for content."""
+    if b.item and 2 * b.linked < len(b.text):
+        return 0.0
+    return max(-LOOK, min(LOOK, sum(odds.get(f, 0.0) for f in b.features)))
+
+
 def extract(page: str, odds: dict[str, float]) -> str:
     """The content blocks of a page, joined by an empty line."""
     found = blocks(page)
-    cost = [MEANING * b.meaning + sum(odds.get(f, 0.0) for f in b.features) for b in found]
+    cost = [MEANING * b.meaning + looks(b, odds) for b in found]
     edges: dict[tuple[int, int], int] = {}
     latest: dict[int, int] = {}
     for k, b in enumerate(found):
