@@ -197,6 +197,22 @@ def identity_features(spark, sf_dir):
     return found.select("sample_id", F.format_string("%s_e%03d", "sample_id", keys).alias("element_id"), "name", "value")
 
 
+@query("""
+SELECT CAST(c_custkey AS VARCHAR) AS sample_id, name, value FROM (
+  SELECT c_custkey, unnest(['hair', 'outfit']) AS name,
+    unnest([c_name, 'coat: lining: ' || CASE WHEN c_nationkey % 2 = 0 THEN 'panels: left；seams: row: first: thread: ' || c_mktsegment || '；none: ' ELSE c_mktsegment END || '；hem: 1；2']) AS value FROM customer)
+""")
+def nested_features(spark, sf_dir):
+    """Identity features that nest seven deep in some answers and two in others, empty items left out."""
+    c = table(spark, sf_dir, "customer")
+    quoted = F.concat(F.lit('"'), F.col("c_mktsegment"), F.lit('"'))
+    deep = F.concat(F.lit('{"panels": ["left", "", null, [], {}], "seams": [{"row": {"first": {"thread": '), quoted, F.lit(', "zz": {}}}}, {"none": [""]}]}'))
+    lining = F.when(F.col("c_nationkey") % 2 == 0, deep).otherwise(quoted)
+    answer = F.concat(F.lit('{"identity_features": {"hair": "'), F.col("c_name"), F.lit('", "outfit": {"coat": {"lining": '), lining, F.lit('}, "empty": [], "hem": [1, "", 2]}}}'))
+    found = extraction.elements(c.select(F.col("c_custkey").cast("string").alias("sample_id"), answer.alias("answer")))
+    return found.select("sample_id", "name", "value")
+
+
 # Matches of an assignment: lines of an order that stand on both sides under one number.
 MATCHES = """
 pred AS (SELECT l_orderkey AS k, l_linenumber AS i, min(l_returnflag) AS category FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY l_orderkey, l_linenumber),

@@ -2,31 +2,27 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from sparloom import vocabulary as V
 
 _BY_LENGTH = sorted(((w.lower(), f) for f, ws in V.COLOR_ALIASES.items() for w in ws), key=lambda x: -len(x[0]))
 
 
-def _families(text: str) -> list[str]:
-    """Longest words claim their characters first; a word claims its first free place only. What is
-    claimed is blanked out, so that nothing shorter is found there."""
-    low, found = list((text or "").lower()), set()
-    for word, family in _BY_LENGTH:
-        at = "".join(low).find(word)
-        if at >= 0:
-            low[at : at + len(word)] = "\0" * len(word)
-            found.add(family)
-    return sorted(found)
+def color_families(text: Column | str) -> Column:
+    """Sorted families of a text. Longest words claim their characters first; a word claims its first free place
+    only. What is claimed is blanked out, so that nothing shorter is found there. One fold over the words, in the JVM."""
+    words = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(f).alias("family"), F.lit("\0" * len(w)).alias("blank")) for w, f in _BY_LENGTH])
+    text = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    start = F.struct(text.alias("low"), F.array().cast("array<string>").alias("found"))
 
+    def claim(s: Column, x: Column) -> Column:
+        at = F.call_function("instr", s["low"], x["word"])
+        claimed = F.struct(F.overlay(s["low"], x["blank"], at).alias("low"), F.concat(s["found"], F.array(x["family"])).alias("found"))
+        return F.when(F.contains(s["low"], x["word"]), claimed).otherwise(s)
 
-@F.pandas_udf(ArrayType(StringType()))
-def color_families(text: pd.Series) -> pd.Series:
-    return text.map(_families)
+    return F.array_sort(F.array_distinct(F.aggregate(words, start, claim, lambda s: s["found"])))
 
 
 def within_one_group(families: Column) -> Column:

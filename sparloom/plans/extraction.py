@@ -9,34 +9,46 @@ from sparloom.functions.parsing import confidence_label, element_category, lenie
 from sparloom.functions.text import first_filled, stripped
 
 
-def features_text(v: Column) -> Column:
-    """Text of a VARIANT: scalars as they are; lists and objects (key: value) with full-width semicolons between
-    filled items, two levels deep; deeper ones as JSON."""
-    entries = lambda x: F.try_variant_get(x, "$", "map<string,variant>")
-    filled = lambda t: F.coalesce(t, F.lit("")) != ""
-    scalar = lambda x: stripped(F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")))
-
-    def level(x: Column, inner) -> Column:
-        as_map = F.array_join(F.filter(F.transform(F.map_entries(entries(x)), lambda e: F.when(filled(inner(e["value"])), F.concat(e["key"], F.lit(": "), inner(e["value"])))), lambda t: t.isNotNull()), "；")
-        as_list = F.array_join(F.filter(F.transform(F.try_variant_get(x, "$", "array<variant>"), inner), filled), "；")
-        return F.when(entries(x).isNotNull(), as_map).when(F.try_variant_get(x, "$", "array<variant>").isNotNull(), as_list).otherwise(scalar(x))
-
-    return level(v, lambda x: level(x, scalar))
+def features_text(v: Column, depth: int) -> Column:
+    """Text of a VARIANT that nests at most ``depth`` lists and objects: scalars as they are; lists and objects
+    (key: value) with full-width semicolons between items; null and empty items are left out. The expression names
+    each level once, so it grows with the depth, not with a power of it."""
+    scalar = stripped(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")))
+    if depth == 0:
+        return scalar
+    fields = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: F.struct(F.concat(e["key"], F.lit(": ")).alias("lead"), e["value"].alias("value")))
+    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e: F.struct(F.lit("").alias("lead"), e.alias("value")))
+    says = lambda e: ~F.coalesce(F.to_json(e["value"]), F.lit("null")).isin("null", '""', "[]", "{}")
+    parts = F.transform(F.filter(F.coalesce(fields, items), says), lambda e: F.concat(e["lead"], features_text(e["value"], depth - 1)))
+    return F.coalesce(F.array_join(parts, "；"), scalar)
+
+
+def nesting(v: Column) -> Column:
+    """How many lists and objects of a VARIANT stand in one another at most."""
+    brackets = F.regexp_replace(F.to_json(v), r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\[\]{}]', "")
+    step = lambda s, c: F.struct((s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(s["most"], s["now"]).alias("most"))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.when(brackets == "", 0).otherwise(F.aggregate(F.filter(F.split(brackets, ""), lambda c: c != ""), start, step)["most"])
 
 
 def elements(answers: DataFrame, text: str = "answer", sample: str = "sample_id") -> DataFrame:
     """(sample, element_id, name, value, category, color, material, shape, location, confidence) out of answers:
-    the first list among elements, extracted_elements and atomic_rules, else the identity features. Ids count
-    every item of the list, also those that are left out for want of a name and a value."""
-    d = answers.select(sample, lenient_json(F.col(text)).alias("v"))
+    the first list among elements, extracted_elements and atomic_rules, else the identity features, nested to any
+    depth (the deepest is measured by a job over the answers that may have such features). Ids count every item of
+    the list, also those that are left out for want of a name and a value."""
+    features = F.try_variant_get("v", "$.identity_features", "map<string,variant>")
+    some = answers.filter(F.contains(F.col(text), F.lit("identity")) | F.contains(F.col(text), F.lit("\\u"))).select(lenient_json(F.col(text)).alias("v"))
+    depth = max(0, (some.agg(F.max(nesting(F.try_variant_get("v", "$.identity_features", "variant"))).alias("n")).first()["n"] or 0) - 1)
     listed = F.coalesce(*[F.try_variant_get("v", p, "array<variant>") for p in ("$.elements", "$.extracted_elements", "$.atomic_rules")])
-    features = F.transform(F.map_entries(F.try_variant_get("v", "$.identity_features", "map<string,variant>")), lambda e: F.struct(e["key"].alias("name"), features_text(e["value"]).alias("value")))
+    entries = F.coalesce(F.transform(listed, lambda e: F.struct(F.lit(None).cast("string").alias("key"), e.alias("value"))), F.transform(F.map_entries(features), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+    items = answers.select(sample, lenient_json(F.col(text)).alias("v")).select(sample, F.posexplode(entries).alias("k", "e")).select(sample, "k", F.col("e.key").alias("key"), F.col("e.value").alias("e"))
+    is_item = F.col("key").isNull()
     get = lambda p: variant_text(F.col("e"), p)
-    items = d.filter(listed.isNotNull()).select(sample, F.posexplode(listed).alias("k", "e"))
-    one = items.select(sample, "k", stripped(F.coalesce(get("$.name"), F.lit(""))).alias("n"), stripped(F.coalesce(get("$.value"), get("$.description"), F.lit(""))).alias("x"), element_category(get("$.category")).alias("category"), *[stripped(F.coalesce(get(f"$.attributes.{a}"), F.lit(""))).alias(a) for a in ("color", "material", "shape", "location")], confidence_label(get("$.confidence")).alias("confidence"))
-    loose = d.filter(listed.isNull()).select(sample, F.posexplode(features).alias("k", "e")).select(sample, "k", F.col("e.name").alias("n"), F.col("e.value").alias("x"), F.lit("other").alias("category"), *[F.lit("").alias(a) for a in ("color", "material", "shape", "location")], F.lit("medium").alias("confidence"))
-    both = one.unionByName(loose).filter("n <> '' or x <> ''")
-    return both.select(sample, F.format_string("%s_e%03d", F.col(sample), F.col("k") + 1).alias("element_id"), first_filled(F.col("n"), F.substring("x", 1, 20)).alias("name"), first_filled(F.col("x"), F.col("n")).alias("value"), "category", "color", "material", "shape", "location", "confidence")
+    plain = lambda c: stripped(F.coalesce(c, F.lit("")))
+    of_item = lambda c, other="": F.when(is_item, c).otherwise(F.lit(other))
+    value = F.when(is_item, plain(F.coalesce(get("$.value"), get("$.description")))).otherwise(features_text(F.col("e"), depth))
+    rows = items.select(sample, "k", F.when(is_item, plain(get("$.name"))).otherwise(F.col("key")).alias("n"), value.alias("x"), of_item(element_category(get("$.category")), "other").alias("category"), *[of_item(plain(get(f"$.attributes.{a}"))).alias(a) for a in ("color", "material", "shape", "location")], of_item(confidence_label(get("$.confidence")), "medium").alias("confidence"))
+    return rows.filter("n <> '' or x <> ''").select(sample, F.format_string("%s_e%03d", F.col(sample), F.col("k") + 1).alias("element_id"), first_filled(F.col("n"), F.substring("x", 1, 20)).alias("name"), first_filled(F.col("x"), F.col("n")).alias("value"), "category", "color", "material", "shape", "location", "confidence")
 
 
 def as_rules(found: DataFrame, sample: str = "sample_id") -> DataFrame:
