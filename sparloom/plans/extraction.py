@@ -9,18 +9,24 @@ from sparloom.functions.parsing import confidence_label, element_category, lenie
 from sparloom.functions.text import first_filled, stripped
 
 
-def features_text(v: Column, depth: int) -> Column:
-    """Text of a VARIANT that nests at most ``depth`` lists and objects: scalars as they are; lists and objects
-    (key: value) with full-width semicolons between items; null and empty items are left out. The expression names
-    each level once, so it grows with the depth, not with a power of it."""
-    scalar = stripped(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")))
-    if depth == 0:
-        return scalar
-    fields = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: F.struct(F.concat(e["key"], F.lit(": ")).alias("lead"), e["value"].alias("value")))
-    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e: F.struct(F.lit("").alias("lead"), e.alias("value")))
+def features_text(v: Column) -> Column:
+    """Text of a VARIANT of any depth: scalars as they are; lists and objects (key: value) with full-width semicolons
+    between items; null and empty items are left out. One fold over the levels: each replaces every list and object
+    among the pieces by its separators and items, so a row takes as many steps as its own value is deep."""
+    piece = lambda text, value: F.struct(text.alias("text"), value.alias("value"))
+    done = F.lit(None).cast("variant")
     says = lambda e: ~F.coalesce(F.to_json(e["value"]), F.lit("null")).isin("null", '""', "[]", "{}")
-    parts = F.transform(F.filter(F.coalesce(fields, items), says), lambda e: F.concat(e["lead"], features_text(e["value"], depth - 1)))
-    return F.coalesce(F.array_join(parts, "；"), scalar)
+
+    def opened(p: Column) -> Column:
+        x = p["value"]
+        fields = F.transform(F.map_entries(F.try_variant_get(x, "$", "map<string,variant>")), lambda e: piece(F.concat(e["key"], F.lit(": ")), e["value"]))
+        items = F.transform(F.try_variant_get(x, "$", "array<variant>"), lambda e: piece(F.lit(""), e))
+        inner = lambda e, i: F.array(piece(F.concat(F.when(i > 0, "；").otherwise(""), e["text"]), done), piece(F.lit(""), e["value"]))
+        scalar = F.array(piece(stripped(F.coalesce(F.try_variant_get(x, "$", "string"), F.lit(""))), done))
+        return F.when(x.isNull(), F.array(p)).otherwise(F.coalesce(F.flatten(F.transform(F.filter(F.coalesce(fields, items), says), inner)), scalar))
+
+    levels = F.sequence(F.lit(0), F.coalesce(nesting(v), F.lit(0)))
+    return F.aggregate(levels, F.array(piece(F.lit(""), v)), lambda pieces, _: F.flatten(F.transform(pieces, opened)), lambda pieces: F.array_join(F.transform(pieces, lambda p: p["text"]), ""))
 
 
 def nesting(v: Column) -> Column:
@@ -34,11 +40,8 @@ def nesting(v: Column) -> Column:
 def elements(answers: DataFrame, text: str = "answer", sample: str = "sample_id") -> DataFrame:
     """(sample, element_id, name, value, category, color, material, shape, location, confidence) out of answers:
     the first list among elements, extracted_elements and atomic_rules, else the identity features, nested to any
-    depth (the deepest is measured by a job over the answers that may have such features). Ids count every item of
-    the list, also those that are left out for want of a name and a value."""
+    depth. Ids count every item of the list, also those that are left out for want of a name and a value."""
     features = F.try_variant_get("v", "$.identity_features", "map<string,variant>")
-    some = answers.filter(F.contains(F.col(text), F.lit("identity")) | F.contains(F.col(text), F.lit("\\u"))).select(lenient_json(F.col(text)).alias("v"))
-    depth = max(0, (some.agg(F.max(nesting(F.try_variant_get("v", "$.identity_features", "variant"))).alias("n")).first()["n"] or 0) - 1)
     listed = F.coalesce(*[F.try_variant_get("v", p, "array<variant>") for p in ("$.elements", "$.extracted_elements", "$.atomic_rules")])
     entries = F.coalesce(F.transform(listed, lambda e: F.struct(F.lit(None).cast("string").alias("key"), e.alias("value"))), F.transform(F.map_entries(features), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
     items = answers.select(sample, lenient_json(F.col(text)).alias("v")).select(sample, F.posexplode(entries).alias("k", "e")).select(sample, "k", F.col("e.key").alias("key"), F.col("e.value").alias("e"))
@@ -46,7 +49,7 @@ def elements(answers: DataFrame, text: str = "answer", sample: str = "sample_id"
     get = lambda p: variant_text(F.col("e"), p)
     plain = lambda c: stripped(F.coalesce(c, F.lit("")))
     of_item = lambda c, other="": F.when(is_item, c).otherwise(F.lit(other))
-    value = F.when(is_item, plain(F.coalesce(get("$.value"), get("$.description")))).otherwise(features_text(F.col("e"), depth))
+    value = F.when(is_item, plain(F.coalesce(get("$.value"), get("$.description")))).otherwise(features_text(F.col("e")))
     rows = items.select(sample, "k", F.when(is_item, plain(get("$.name"))).otherwise(F.col("key")).alias("n"), value.alias("x"), of_item(element_category(get("$.category")), "other").alias("category"), *[of_item(plain(get(f"$.attributes.{a}"))).alias(a) for a in ("color", "material", "shape", "location")], of_item(confidence_label(get("$.confidence")), "medium").alias("confidence"))
     return rows.filter("n <> '' or x <> ''").select(sample, F.format_string("%s_e%03d", F.col(sample), F.col("k") + 1).alias("element_id"), first_filled(F.col("n"), F.substring("x", 1, 20)).alias("name"), first_filled(F.col("x"), F.col("n")).alias("value"), "category", "color", "material", "shape", "location", "confidence")
 

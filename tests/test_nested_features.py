@@ -40,9 +40,9 @@ def test_random_values(spark):
     assert values(spark, [json.dumps({"identity_features": f}) for f in features]) == want
 
 
-def test_twenty_five_levels(spark):
+def test_two_hundred_levels(spark):
     value, want = "end", "end"
-    for k in range(25):
+    for k in range(200):
         value, want = ({"k": value}, f"k: {want}") if k % 2 else ([value, ""], want)
     began = time.time()
     assert values(spark, [json.dumps({"identity_features": {"f": value}})]) == {(0, "f"): want}
