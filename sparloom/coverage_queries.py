@@ -91,16 +91,13 @@ extra AS (SELECT sample_id, pi AS pred_index, name AS pred_name, CASE WHEN s >=
 @query(f"WITH {_EXTRAS} SELECT * FROM extra")
 def coverage_extras(spark, sf_dir):
     """Predictions that cover nothing: supported, unsupported or for review."""
-    gold, pred = _elements(spark, sf_dir)
-    return coverage.extras(gold, pred, coverage.audit_gold(gold, pred))
+    return coverage.audit_all(*_elements(spark, sf_dir))[1]
 
 
 @query(f"WITH {_EXTRAS}, a AS (SELECT count(*) AS gold_count, CAST(count_if(covered) AS BIGINT) AS covered_gold_count FROM audits), e AS (SELECT CAST(count_if(classification = 'supported_extra') AS BIGINT) AS supported_extra_count, CAST(count_if(classification = 'unsupported_extra') AS BIGINT) AS unsupported_extra_count, CAST(count_if(classification = 'needs_review') AS BIGINT) AS needs_review_count FROM extra) SELECT *, covered_gold_count / gold_count AS gold_coverage_rate, covered_gold_count / 100000 AS all_gold_coverage_rate FROM a, e")
 def coverage_totals(spark, sf_dir):
     """Counts of gold covered and of extras, with the rates over the gold evaluated and over all gold."""
-    gold, pred = _elements(spark, sf_dir)
-    audits = coverage.audit_gold(gold, pred)
-    return coverage.totals(audits, coverage.extras(gold, pred, audits), 100_000).drop("conflict_count", "color_family_tolerated_count")
+    return coverage.totals(*coverage.audit_all(*_elements(spark, sf_dir)), 100_000).drop("conflict_count", "color_family_tolerated_count")
 
 
 @query(f"""

@@ -6,23 +6,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparloom import vocabulary as V
+from sparloom.functions.text import let
 
 _BY_LENGTH = sorted(((w.lower(), f) for f, ws in V.COLOR_ALIASES.items() for w in ws), key=lambda x: -len(x[0]))
 
 
 def color_families(text: Column | str) -> Column:
     """Sorted families of a text. Longest words claim their characters first; a word claims its first free place
-    only. What is claimed is blanked out, so that nothing shorter is found there. One fold over the words, in the JVM."""
-    words = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(f).alias("family"), F.lit("\0" * len(w)).alias("blank")) for w, f in _BY_LENGTH])
-    text = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
-    start = F.struct(text.alias("low"), F.array().cast("array<string>").alias("found"))
+    only. What is claimed is blanked out, so that nothing shorter is found there. One fold over the words that the
+    text holds, in the JVM."""
 
     def claim(s: Column, x: Column) -> Column:
         at = F.call_function("instr", s["low"], x["word"])
         claimed = F.struct(F.overlay(s["low"], x["blank"], at).alias("low"), F.concat(s["found"], F.array(x["family"])).alias("found"))
         return F.when(F.contains(s["low"], x["word"]), claimed).otherwise(s)
 
-    return F.array_sort(F.array_distinct(F.aggregate(words, start, claim, lambda s: s["found"])))
+    def fold(low: Column) -> Column:
+        held = F.array(*[F.when(F.contains(low, F.lit(w)), F.struct(F.lit(w).alias("word"), F.lit(f).alias("family"), F.lit("\0" * len(w)).alias("blank"))) for w, f in _BY_LENGTH])
+        return F.aggregate(F.array_compact(held), F.struct(low.alias("low"), F.array().cast("array<string>").alias("found")), claim, lambda s: s["found"])
+
+    whole = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    return F.array_sort(F.array_distinct(let(whole, fold)))
 
 
 def within_one_group(families: Column) -> Column:

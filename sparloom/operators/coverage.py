@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 from sparloom import vocabulary as V
 from sparloom.functions.colors import color_families, within_one_group
 from sparloom.functions.text import char_set, composite_parts, families, set_overlap
+from sparloom.operators.shared import materialize
 
 THRESHOLD, SUPPORTED = 0.32, 0.75
 
 
 def prepared(df: DataFrame, side: str) -> DataFrame:
     """(sample_id, <side>_*) of elements (sample_id, index, name, value, category, color, material, shape,
-    location): texts, character sets and families, made once a row."""
+    location): texts, character sets and families, made once a row. What is prepared already stays as it is."""
+    if f"{side}_index" in df.columns:
+        return df
     full = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("name", "value", "category", "color", "material", "shape", "location")])
     d = df.select("sample_id", F.col("index"), F.coalesce("name", F.lit("")).alias("name"), full.alias("text"))
     plain = F.regexp_replace("text", V.ACCESSORY_MATERIAL, "")
@@ -114,7 +117,7 @@ def audit_composite(gold: DataFrame, pred: DataFrame, threshold: float = THRESHO
 
 
 def audit_gold(gold: DataFrame, pred: DataFrame, threshold: float = THRESHOLD, scorer: Scorer | None = None) -> DataFrame:
-    """Both kinds of gold elements."""
+    """Both kinds of gold elements; predictions may be ``prepared`` ones, which both then share."""
     several = F.size(composite_parts(F.col("name"))) > 1
     return audit_simple(gold.filter(~several), pred, threshold, scorer).unionByName(audit_composite(gold.filter(several), pred, threshold, scorer))
 
@@ -123,8 +126,8 @@ def extras(gold: DataFrame, pred: DataFrame, audits: DataFrame, threshold: float
     """(sample_id, pred_index, pred_name, classification, best_gold_index, best_score) of predictions that cover
     nothing: supported if the nearest gold element shares an object with the name, unsupported if it is near
     but shares none, else for review."""
-    used = audits.select("sample_id", F.explode("covering").alias("index")).distinct()
-    g, p = prepared(gold, "gold"), prepared(pred.join(used, ["sample_id", "index"], "left_anti"), "pred")
+    used = audits.select("sample_id", F.explode("covering").alias("pred_index")).distinct()
+    g, p = prepared(gold, "gold"), prepared(pred, "pred").join(used, ["sample_id", "pred_index"], "left_anti")
     pairs = p.join(g, "sample_id", "left").withColumns({"score": F.coalesce(relation(scorer), F.lit(0.0)), "shared": F.coalesce(F.arrays_overlap("gold_all", "pred_primary"), F.lit(False))})
     best = pairs.groupBy("sample_id", "pred_index", "pred_name").agg(F.max_by(F.struct("gold_index", "score", "shared"), F.struct("score", -F.col("gold_index"))).alias("b"))
     near = (F.col("b.score") >= threshold) & (F.col("b.score") > 0)
@@ -132,6 +135,14 @@ def extras(gold: DataFrame, pred: DataFrame, audits: DataFrame, threshold: float
     return best.select("sample_id", "pred_index", "pred_name", kind.alias("classification"), F.when(F.col("b.score") > 0, F.col("b.gold_index")).alias("best_gold_index"), F.round("b.score", 3).alias("best_score"))
 
 
+def audit_all(gold: DataFrame, pred: DataFrame, threshold: float = THRESHOLD, scorer: Scorer | None = None) -> tuple[DataFrame, DataFrame]:
+    """(audits, extras) of ``audit_gold`` and ``extras``. Predictions are prepared once for both, and the audits are a
+    table that both the extras and the caller read."""
+    ready = materialize(prepared(pred, "pred"), "coverage-predictions")
+    audits = materialize(audit_gold(gold, ready, threshold, scorer), "coverage-audits")
+    return audits, extras(gold, ready, audits, threshold, scorer)
+
+
 def totals(audits: DataFrame, extra: DataFrame, all_gold: int | None = None) -> DataFrame:
     """Counts of gold covered, conflicts, tolerated colours and extras, with the coverage rate of the gold
     evaluated and, if given, of all gold."""
