@@ -37,6 +37,16 @@ def csv_round_trip(spark, sf_dir):
     return tables.read_csv(spark, path).drop("_file", "_row")
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(source, '') AS source, md5(coalesce(text, '')) AS text_md5, length(coalesce(text, '')) AS n_chars FROM documents")
+def csv_split_rows(spark, sf_dir):
+    """Documents as CSV, their texts quoted with all line breaks, read in splits; each text by its digest."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    path = _folder(spark, "csv")
+    writers.write_csv(d, path, ["doc_id", "text", "source"])
+    found = tables.read_csv_split(spark, path, trimmed=False)
+    return found.select("doc_id", "source", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
 @query("SELECT CAST(user_id AS VARCHAR) AS post_id, arg_max(event_type, event_id) AS event_type, CAST(max(event_id) AS VARCHAR) AS event_id FROM events WHERE user_id % 5 <> 0 GROUP BY user_id")
 def csv_last_row_of_key(spark, sf_dir):
     """Events as a keyed table: rows without a key are left out, the last row of each key counts."""

@@ -38,6 +38,44 @@ def read_csv(spark: SparkSession, path: str | None, columns=None, trimmed: bool
     return raw.select(*[cell(F.col(f"`{c}`")).alias(c) for c in raw.columns if c not in ("_file", "_row")], "_file", "_row")
 
 
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(_file, _row, record) of CSV files, in splits: lines are read by byte ranges; quotes before a range, summed over
+    the ranges before it, tell whether it begins inside a cell; lines up to the next one that begins outside belong
+    together, across ranges too. Only records of several lines are shuffled by record. _row is the number of the
+    record's first line in its range, plus the range's first byte, so it grows within a file."""
+    block = ["_file", "_block"]
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
+    lines = lines.withColumn("_quotes", F.length("value") - F.length(F.replace("value", F.lit('"'))))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    open_at = lines.groupBy(*block).agg(F.sum("_quotes").alias("n")).select(*block, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*block).orderBy("_id")
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.join(open_at, block).select(*block, "value", (F.col("_block") + F.row_number().over(inside) - 1).alias("_row"), ((F.col("_before") + F.coalesce(F.sum("_quotes").over(earlier), F.lit(0))) % 2 == 0).alias("_first"), "_quotes")
+    by_row = Window.partitionBy(*block).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("_of", F.max(F.when(F.col("_first"), F.col("_row"))).over(by_row))
+    carried = placed.groupBy(*block).agg(F.max("_of").alias("n")).select(*block, F.max("n").over(before).alias("_carried"))
+    placed = placed.join(carried, block).withColumn("_of", F.coalesce("_of", "_carried"))
+    single = F.col("_first") & (F.col("_quotes") % 2 == 0)
+    of_one = placed.filter(single).select("_file", "_row", F.col("value").alias("record"))
+    parts = F.array_sort(F.collect_list(F.struct("_row", "value")))
+    of_many = placed.filter(~single).groupBy("_file", F.col("_of").alias("_row")).agg(F.array_join(F.transform(parts, lambda x: x["value"]), "\n").alias("record"))
+    return of_one.unionByName(of_many).withColumn("record", F.regexp_replace("record", "\\r$", ""))
+
+
+def read_csv_split(spark: SparkSession, path: str, trimmed: bool = True) -> DataFrame:
+    """The rows of ``read_csv``, quoted line breaks included, with large files split into tasks. Quotes must be those
+    of quoted cells (doubled inside them): a lone quote within a bare cell needs the whole-file reader. Files share one
+    header; a cell that the row lacks is blank, cells beyond the header are left out."""
+    options = {"header": "true", "multiLine": "true", "escape": '"', "inferSchema": "false"}
+    columns = spark.read.options(**options).csv(path).columns
+    names = [f"c{k}" for k in range(len(columns))]
+    rows = csv_records(spark, path).filter("_row > 0 and record <> ''")
+    cells = F.from_csv("record", ", ".join(f"{n} string" for n in names), {"escape": '"', "multiLine": "true"})
+    cell = clean if trimmed else lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    parsed = rows.select("_file", "_row", cells.alias("_cells"))
+    return parsed.select(*[cell(F.col(f"_cells.{n}")).alias(c) for n, c in zip(names, columns, strict=True)], "_file", "_row")
+
+
 def last_by_key(df: DataFrame, key: str) -> DataFrame:
     """Rows with a filled key, the last one of each."""
     latest = Window.partitionBy(key).orderBy(F.desc("_file"), F.desc("_row"))
