@@ -12,7 +12,7 @@ from sparloom import vocabulary as V
 from sparloom.functions import imagery, parsing, tags, text
 from sparloom.operators import alignment, basics, curation, duplicates, queue, scoring, templates
 from sparloom.operators.shared import own_dir
-from sparloom.plans import merchandise
+from sparloom.plans import merchandise, products
 from sparloom.queries import _tagged_parts, query, table
 from sparloom.sinks import writers
 from sparloom.sources import documents, layout, pages, tables, workbooks
@@ -199,6 +199,24 @@ def workbook_round_trip(spark, sf_dir):
     return found.groupBy(F.split("path", "/")[0].alias("sample_id"), F.split("path", "/")[1].alias("category")).agg(F.count_if(F.startswith(F.try_element_at("record", F.lit("rule_id")), F.lit("Customer#"))).alias("cells"))
 
 
+@query("""
+SELECT c_mktsegment AS category, n_name AS sample_id, count(*) AS rule_rows, count_if(c_custkey % 4 <> 0) AS correct_rows, count_if(c_custkey % 4 = 0) AS wrong_rows, 'v3_visible_status' AS schema_version,
+  count_if(c_custkey % 3 <> 0) AS qc_pass_rows, 0 AS qc_warn_rows, count_if(c_custkey % 3 = 0) AS qc_fail_rows FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_nationkey % 5 <> 0 GROUP BY ALL
+""")
+def annotation_products(spark, sf_dir):
+    """Reviewers' workbooks by segment and nation merged into products; the summary by sample. A third of the rules has
+    no value, a quarter is wrong; the sheets of every fifth nation are not filled in and left out."""
+    d = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    filled = lambda c: F.when(F.col("n_nationkey") % 5 != 0, c).otherwise(F.lit(""))
+    wrong = F.col("c_custkey") % 4 == 0
+    value = {"value": F.when(F.col("c_custkey") % 3 != 0, filled(F.col("c_name"))).otherwise(""), "result": filled(F.when(wrong, "wrong").otherwise("correct"))}
+    views = {f"{v}_visible": filled(F.lit("visible")) for v in V.VIEWS} | {f"{v}_status": filled(F.when(wrong, "wrong color").otherwise("correct")) for v in V.VIEWS}
+    rows = d.select("c_mktsegment", F.col("n_name").alias("sample_id"), F.col("c_name").alias("rule_id"), *[c.alias(n) for n, c in (value | views).items()], "c_custkey")
+    made = workbooks.to_workbooks(rows.withColumn("_sample", F.col("sample_id")), ["c_mktsegment", "_sample"], list(V.GOLD_COLUMNS), ["c_custkey"])
+    cells = made.select(F.concat_ws("/", "c_mktsegment", "_sample", F.lit("sheet.xlsx")).alias("path"), "content").mapInArrow(workbooks._rows, "path string, source_row int, cells array<string>")
+    return products.merge(cells)["summary"]
+
+
 @query("""
 SELECT CASE o_orderkey % 5 WHEN 0 THEN 'human_visual_findings' WHEN 1 THEN 'atomic_rule_audit' WHEN 2 THEN 'human_to_atomic_rule_mapping' WHEN 3 THEN 'v3_rule_level' ELSE 'unknown' END AS kind, CASE o_orderkey % 5 WHEN 3 THEN 'v3_visible_status' WHEN 4 THEN 'legacy_front_side_back_bool' END AS views, count(*) AS n FROM orders GROUP BY ALL
 """)

@@ -14,10 +14,15 @@ FILLED = {"v3_visible_status": V.GOLD_COLUMNS[3:], "legacy_front_side_back_bool"
 
 
 def build(spark: SparkSession, root: str, rules: DataFrame | None = None, include_empty: bool = False) -> dict[str, DataFrame]:
-    """Sheets <category>/<sample>/*.xlsx below ``root``. Rows without sample and rule are left out; so are sheets
-    without any annotation unless ``include_empty``."""
+    """Sheets <category>/<sample>/*.xlsx below ``root``."""
+    return merge(W.read_cells(spark, root), rules, include_empty)
+
+
+def merge(cells: DataFrame, rules: DataFrame | None = None, include_empty: bool = False) -> dict[str, DataFrame]:
+    """Products of sheets that are read cell by cell (path, source_row, cells). Rows without sample and rule are left
+    out; so are sheets without any annotation unless ``include_empty``."""
     part = lambda k: F.try_element_at(F.split("path", "/"), F.lit(k))
-    table = W.as_table(W.records(W.read_cells(spark, root)), COLUMNS).withColumn("schema_version", W.view_schema(F.col("header"))).filter("schema_version is not null")
+    table = W.as_table(W.records(cells), COLUMNS).withColumn("schema_version", W.view_schema(F.col("header"))).filter("schema_version is not null")
     table = table.withColumn("category", part(-3)).filter("sample_id <> '' or rule_id <> ''").withColumn("_row", F.col("source_row").cast("long"))
     some = lambda s: F.greatest(*[F.col(c) != "" for c in FILLED[s]])
     filled = F.when(F.col("schema_version") == "v3_visible_status", some("v3_visible_status")).otherwise(some("legacy_front_side_back_bool"))
