@@ -608,3 +608,54 @@ def workbook_sync(spark, sf_dir):
     follow.follow(spark, f"{path}/in", done.schema, f"{path}/checkpoint", sheets.sync_workbooks(rules, f"{path}/out", ["rule_id"]), "parquet", per_batch=1).awaitTermination()
     cells = sheets.workbooks(spark, f"{path}/out").select(F.col("sample_id").alias("path"), "content").mapInArrow(workbooks._rows, "path string, source_row int, cells array<string>")
     return cells.filter("source_row > 1").groupBy(F.col("path").alias("sample_id")).agg(F.count("*").alias("rules"))
+
+
+MERGED = """
+r AS (SELECT n_name AS sample_id, c_custkey AS k, c_name AS rule_id, c_mktsegment AS value FROM customer JOIN nation ON n_nationkey = c_nationkey),
+cells AS (
+  SELECT sample_id, rule_id, k, k % 11 = 0 AS deleted, k % 7 = 0 AS dropped,
+    value AS was_value, CASE WHEN k % 5 = 0 THEN 'edited' ELSE value END AS mine_value, CASE WHEN k % 3 = 0 THEN 'fresh' ELSE value END AS new_value,
+    CASE WHEN k % 4 = 1 THEN 'correct' ELSE '' END AS mine_result FROM r),
+own AS (
+  SELECT sample_id, rule_id,
+    CASE WHEN dropped THEN mine_value WHEN deleted THEN new_value WHEN mine_value = was_value THEN new_value ELSE mine_value END AS value, CASE WHEN deleted THEN '' ELSE mine_result END AS result,
+    CASE WHEN dropped THEN 'row_removed' WHEN deleted THEN 'row_restored' WHEN k % 15 = 0 THEN 'value' ELSE '' END AS conflicts
+  FROM cells WHERE CASE WHEN deleted AND dropped THEN false WHEN deleted THEN new_value <> was_value WHEN dropped THEN mine_value <> was_value OR mine_result <> '' ELSE true END)
+"""
+
+
+@query(f"WITH {MERGED} SELECT * FROM own UNION ALL SELECT DISTINCT sample_id, 'added by hand', 'x', 'wrong', '' FROM r UNION ALL SELECT DISTINCT sample_id, 'added later', 'y', '', '' FROM r")
+def workbook_merge(spark, sf_dir):
+    """Workbooks that annotators have edited, merged with rules that were made anew: edits stay, conflicts are named."""
+    d = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    k, columns = F.col("source_row"), ["rule_id", "value", "result"]
+    written = d.select(F.col("n_name").alias("sample_id"), F.col("c_name").alias("rule_id"), F.col("c_mktsegment").alias("value"), F.lit("").alias("result"), F.col("c_custkey").alias("source_row"))
+    added = lambda rule, value, result: written.select("sample_id").distinct().select("sample_id", F.lit(rule).alias("rule_id"), F.lit(value).alias("value"), F.lit(result).alias("result"), F.lit(1 << 40).alias("source_row"))
+    by_hand = written.filter(k % 11 != 0).withColumns({"value": F.when(k % 5 == 0, "edited").otherwise(F.col("value")), "result": F.when(k % 4 == 1, "correct").otherwise("")})
+    path = _folder(spark, "edited")
+    workbooks.to_workbooks(by_hand.unionByName(added("added by hand", "x", "wrong")), ["sample_id"], columns, ["source_row"]).write.parquet(path)
+    cells = spark.read.parquet(path).select(F.col("sample_id").alias("path"), "content").mapInArrow(workbooks._rows, "path string, source_row int, cells array<string>")
+    edited = workbooks.as_table(workbooks.records(cells), columns).withColumnRenamed("path", "sample_id")
+    fresh = written.filter(k % 7 != 0).withColumn("value", F.when(k % 3 == 0, "fresh").otherwise(F.col("value"))).unionByName(added("added later", "y", ""))
+    merged = workbooks.merge_edits(written, edited, fresh, ["sample_id", "rule_id"], ["value", "result"])
+    return merged.select("sample_id", "rule_id", "value", "result", F.array_join("conflicts", ",").alias("conflicts"))
+
+
+@query("""
+SELECT n_name AS sample_id, CAST(count(*) + 1 AS INTEGER) AS n_rows, CASE WHEN n_nationkey % 4 = 0 THEN 'columns are missing: result' END AS problem, n_nationkey % 4 <> 0 AS listed, CAST(0 AS BIGINT) AS changed
+FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name, n_nationkey
+""")
+def workbook_choices(spark, sf_dir):
+    """Workbooks whose drop-down lists are put on anew: no cell changes, and sheets without the column are named."""
+    d = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rules = d.select(F.col("n_name").alias("sample_id"), "n_nationkey", F.col("c_name").alias("rule_id"), F.lit("").alias("result"), F.col("c_custkey").alias("position"))
+    path = _folder(spark, "sheets")
+    for columns, kept in ((["rule_id"], "n_nationkey % 4 = 0"), (["rule_id", "result"], "n_nationkey % 4 <> 0")):
+        workbooks.to_workbooks(rules.filter(kept), ["sample_id"], columns, ["position"]).write.mode("append").parquet(path)
+    before = spark.read.parquet(path)
+    workbooks.with_choices(before, {"result": ["correct", "wrong"]}, ("rule_id", "result")).write.parquet(f"{path}-listed")
+    after = spark.read.parquet(f"{path}-listed")
+    cells = lambda files: files.select(F.col("sample_id").alias("path"), "content").mapInArrow(workbooks._rows, "path string, source_row int, cells array<string>")
+    changed = workbooks.changed_cells(cells(before), cells(after), ["path"]).groupBy(F.col("path").alias("sample_id")).agg(F.count("*").alias("changed"))
+    listed = after.join(before.select("sample_id", F.length("content").alias("was")), "sample_id").select("sample_id", "n_rows", "problem", (F.length("content") > F.col("was")).alias("listed"))
+    return listed.join(changed, "sample_id", "left").fillna(0, ["changed"])

@@ -157,3 +157,61 @@ def assert_unchanged(before: DataFrame, after: DataFrame, keys: list[str]) -> No
     """An error that names a cell if a rewrite of workbooks (their lists of choices, say) changed any."""
     if found := changed_cells(before, after, keys).limit(1).collect():
         raise ValueError(f"a cell was changed: {found[0].asDict()}")
+
+
+def merge_edits(written: DataFrame, edited: DataFrame, fresh: DataFrame, keys: list[str], columns: list[str], order: str = "source_row") -> DataFrame:
+    """(keys, columns, place, conflicts): a three-way merge of sheets, cell by cell. ``written`` is what a workbook was
+    made from, ``edited`` what it holds now, ``fresh`` what it would be made from today; ``order`` numbers the rows of each.
+
+    A cell that one side left alone takes what the other side put there; one that both changed, and not alike, keeps the
+    edit, and its column is named in ``conflicts``. A row that one side dropped is gone if the other left it alone;
+    otherwise it stays, with the conflict ``row_removed`` (dropped from fresh, edited by hand) or ``row_restored`` (deleted
+    by hand, changed in fresh). Rows that only one side added stay. A null cell is blank; of rows with one key the first
+    counts. Rows stand in the order of fresh, then those that only the edited sheet has. One shuffle by key."""
+    cells = F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])
+    side = lambda d, name: d.select(*keys, F.lit(name).alias("_side"), F.col(order).cast("long").alias("_row"), cells.alias("_cells"))
+    every = side(written, "was").unionByName(side(edited, "mine")).unionByName(side(fresh, "new"))
+    row = lambda name: F.when(F.col("_side") == name, F.col("_row"))
+    d = every.groupBy(*keys).agg(*[F.min_by("_cells", row(n)).alias(f"_{n}") for n in ("was", "mine", "new")], F.min(row("new")).alias("_new_row"), F.min(row("mine")).alias("_mine_row"))
+    was, mine, new = F.col("_was"), F.col("_mine"), F.col("_new")
+    both = mine.isNotNull() & new.isNotNull()
+    gone = was.isNotNull() & ((mine.isNull() & (new.isNull() | (new == was))) | (new.isNull() & (mine == was)))
+    old = lambda i: F.get(was, i)  # noqa: E731  (null for a row that was not written: any two values then differ from it)
+    clash = lambda i: both & (F.get(mine, i) != F.get(new, i)) & ~F.coalesce((F.get(mine, i) == old(i)) | (F.get(new, i) == old(i)), F.lit(False))
+    value = lambda i: F.when(~both, F.coalesce(F.get(mine, i), F.get(new, i))).when(F.coalesce(F.get(mine, i) == old(i), F.lit(False)), F.get(new, i)).otherwise(F.get(mine, i))
+    named = F.array(*[F.when(clash(F.lit(i)), F.lit(c)) for i, c in enumerate(columns)])
+    of_row = F.array(F.when(was.isNotNull() & new.isNull(), F.lit("row_removed")).when(was.isNotNull() & mine.isNull(), F.lit("row_restored")))
+    place = F.struct(F.col("_new_row").isNull().alias("late"), F.coalesce("_new_row", "_mine_row").alias("row"))
+    return d.filter(~F.coalesce(gone, F.lit(False))).select(*keys, *[value(F.lit(i)).alias(c) for i, c in enumerate(columns)], place.alias("place"), F.array_compact(F.concat(named, of_row)).alias("conflicts"))
+
+
+def _with_choices(batches: Iterator[pa.RecordBatch], choices: dict[str, list[str]], required: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = []
+        for content in batch.column("content").to_pylist():
+            rows = parse(content)
+            header = [c.strip() for c in rows[0]] if rows else []
+            if not required <= set(header):
+                made.append((content, len(rows), f"columns are missing: {', '.join(sorted(required - set(header)))}"))
+                continue
+            out = build(rows, {header.index(c): v for c, v in choices.items() if c in header})
+            kept = parse(out) == rows
+            made.append((out if kept else content, len(rows), None if kept else "cells were changed"))
+        content, n, problem = zip(*made, strict=True) if made else ((), (), ())
+        extra = [batch.column(c) for c in batch.schema.names if c != "content"]
+        yield pa.RecordBatch.from_arrays([*extra, pa.array(content, pa.binary()), pa.array(n, pa.int32()), pa.array(problem, pa.string())], names=[*(c for c in batch.schema.names if c != "content"), "content", "n_rows", "problem"])
+
+
+def with_choices(files: DataFrame, choices: dict[str, list[str]], required: tuple[str, ...] = ()) -> DataFrame:
+    """Workbooks (keys, content) with drop-down lists put on their columns anew, and (n_rows, problem). A workbook
+    without the required columns, or whose cells would not read back as they were, stays as it is and has a problem."""
+    keys = [c for c in files.columns if c != "content"]
+    schema = ", ".join([*(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys), "content binary", "n_rows int", "problem string"])
+    needed = frozenset(required)
+    return files.select(*keys, "content").mapInArrow(lambda it: _with_choices(it, choices, needed), schema)
+
+
+def replace_unproblematic(files: DataFrame) -> DataFrame:
+    """(keys, content) of ``with_choices``; an error that names the problem if any workbook has one."""
+    wrong = F.when(F.col("problem").isNull(), F.lit(True)).otherwise(F.raise_error(F.col("problem")).cast("boolean"))
+    return files.filter(wrong).drop("n_rows", "problem")
