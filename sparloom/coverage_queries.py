@@ -55,7 +55,7 @@ one AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderke
 g0 AS (SELECT CAST(l_orderkey AS VARCHAR) AS sample_id, l_linenumber AS i, {_list(NAMES)}[l_partkey % {len(NAMES)} + 1] AS name FROM one WHERE l_linenumber % 2 = 1),
 g AS (SELECT *, {_chars_sql("name")} AS chars, {_families_sql("name", V.OBJECT_FAMILIES)} AS named FROM g0),
 p0 AS (SELECT CAST(l_orderkey AS VARCHAR) AS sample_id, l_linenumber AS i, {_list(NAMES)}[l_suppkey % {len(NAMES)} + 1] AS name, {_list(DETAILS)}[l_partkey % {len(DETAILS)} + 1] AS value FROM one WHERE l_linenumber % 2 = 0),
-p1 AS (SELECT *, {_chars_sql("name || value")} AS chars, {_chars_sql("name")} AS name_chars, {_families_sql("name", V.OBJECT_FAMILIES)} AS named, {_families_sql("name || ' ' || value", V.OBJECT_FAMILIES)} AS whole FROM p0),
+p1 AS (SELECT *, name || ' ' || value AS text, {_chars_sql("name || value")} AS chars, {_chars_sql("name")} AS name_chars, {_families_sql("name", V.OBJECT_FAMILIES)} AS named, {_families_sql("name || ' ' || value", V.OBJECT_FAMILIES)} AS whole FROM p0),
 p AS (SELECT *, list_distinct(list_concat(named, list_intersect(whole, {_list(V.DETAIL_OBJECTS)}))) AS prim, list_filter(whole, lambda x: NOT list_contains(named, x) AND x NOT IN ('fur_trim', 'leg_wraps')) AS sec FROM p1)
 """
 AUDIT = f"""{ELEMENTS},
@@ -72,11 +72,66 @@ audits AS (SELECT g.sample_id, g.i AS gold_index, g.name AS gold_name, CASE WHEN
 """
 
 
-@query(f"WITH {AUDIT} SELECT sample_id, gold_index, gold_name, covered, array_to_string(list_sort(covering), ',') AS covering, best_score, array_to_string(list_sort(missing), ',') AS missing FROM audits")
+_COLOR_WORDS = ", ".join(f"{{'w': '{w.lower()}', 'f': '{f}'}}" for w, f in sorted(((w, f) for f, ws in V.COLOR_ALIASES.items() for w in ws), key=lambda x: -len(x[0])))
+
+
+def _look_sql(text: str) -> str:
+    """Families and shades of a text. Shades: the longest words claim their first free place, one after another."""
+    plain = f"regexp_replace({text}, '{V.ACCESSORY_MATERIAL}', '', 'g')"
+    claim = "CASE WHEN contains(s.w, x.w) THEN {'w': left(s.w, instr(s.w, x.w) - 1) || repeat(chr(1), length(x.w)) || substr(s.w, instr(s.w, x.w) + length(x.w)), 'f': s.f || ',' || x.f} ELSE s END"
+    shades = f"list_reduce(list_concat([{{'w': lower({text}), 'f': ''}}], [{_COLOR_WORDS}]), lambda s, x: {claim}).f"
+    sets = ((V.COLOR_FAMILIES, "colors"), (V.MATERIAL_FAMILIES, "materials"), (V.SHAPE_FAMILIES, "shapes"))
+    return ", ".join([*(f"{_families_sql(plain, f)} AS {n}" for f, n in sets), f"list_sort(list_distinct(list_filter(string_split({shades}, ','), lambda x: x <> ''))) AS shades"])
+
+
+def _one_group_sql(shades: str) -> str:
+    return f"(len({shades}) >= 2 AND (" + " OR ".join(f"len(list_filter({shades}, lambda y: NOT list_contains({_list(group)}, y))) = 0" for group in V.TOLERATED_COLORS) + "))"
+
+
+def _apart_sql(c: str) -> str:
+    return f"(len(a.{c}) > 0 AND len(b.{c}) > 0 AND len(list_intersect(a.{c}, b.{c})) = 0)"
+
+
+_ALL_SHADES = "list_sort(list_distinct(list_concat(a.shades, b.shades)))"
+_SINGLES = f"list_filter(a.shades, lambda s: {_one_group_sql('list_distinct(list_concat(b.shades, [s]))')})"
+_OPPOSITE = "(" + " OR ".join(f"(list_contains(a.shapes, '{x}') AND list_contains(b.shapes, '{y}')) OR (list_contains(a.shapes, '{y}') AND list_contains(b.shapes, '{x}'))" for x, y in V.SHAPE_OPPOSITES) + ")"
+
+
+def _note_sql(kind: str, c: str) -> str:
+    quote = "chr(39)"
+    shown = lambda side: f"'[' || {quote} || array_to_string({side}.{c}, {quote} || ', ' || {quote}) || {quote} || ']'"
+    return f"'{kind} conflict: gold=' || {shown('a')} || ', pred=' || {shown('b')}"
+
+
+#: Two looks, a of the gold text and b of the predicted one: conflicts between them, and shades that are tolerated.
+_BETWEEN = f"""
+list_filter([CASE WHEN differ AND NOT ok THEN {_note_sql("color", "colors")} END, CASE WHEN {_apart_sql("materials")} THEN {_note_sql("material", "materials")} END, CASE WHEN {_OPPOSITE} THEN {_note_sql("shape", "shapes")} END], lambda n: n IS NOT NULL) AS notes,
+CASE WHEN differ AND ok THEN CASE WHEN len(singles) > 0 THEN list_sort(list_distinct(list_concat(b.shades, singles))) ELSE all_shades END END AS tolerated"""
+_SETTLED = f"{_apart_sql('colors')} AS differ, {_ALL_SHADES} AS all_shades, {_SINGLES} AS singles"
+# A pair of texts is looked at once, however many elements have it.
+NOTED = f"""{AUDIT},
+look AS (SELECT text, {_look_sql("text")} FROM (SELECT name AS text FROM g UNION SELECT text FROM p)),
+kept AS (
+  SELECT DISTINCT sample_id, gi, pi, s FROM chosen JOIN (SELECT sample_id, gi, pi, s FROM near) n USING (sample_id, gi, pi)
+  UNION ALL SELECT sample_id, gi, pi, s FROM top WHERE s >= 32e-2 AND NOT EXISTS (FROM got WHERE got.sample_id = top.sample_id AND got.gi = top.gi)),
+told AS (SELECT k.*, g.name AS gt, p.text AS pt FROM kept k JOIN g ON g.sample_id = k.sample_id AND g.i = k.gi JOIN p ON p.sample_id = k.sample_id AND p.i = k.pi),
+settled AS (SELECT gt, pt, a, b, {_SETTLED} FROM (SELECT DISTINCT gt, pt FROM told) JOIN look a ON a.text = gt JOIN look b ON b.text = pt),
+between_texts AS (SELECT gt, pt, {_BETWEEN} FROM (SELECT *, {_one_group_sql("all_shades")} OR len(singles) > 0 AS ok FROM settled)),
+noted AS (
+  SELECT sample_id, gi AS gold_index, array_to_string(flatten(list(notes ORDER BY s DESC, pi)), '; ') AS conflict_notes,
+    coalesce(array_to_string(list(array_to_string(tolerated, '+') ORDER BY s DESC, pi) FILTER (tolerated IS NOT NULL), '; '), '') AS tolerated
+  FROM told JOIN between_texts USING (gt, pt) GROUP BY ALL),
+full_audits AS (SELECT audits.*, coalesce(conflict_notes, '') AS conflict_notes, coalesce(tolerated, '') AS tolerated FROM audits LEFT JOIN noted USING (sample_id, gold_index))
+"""
+
+
+@query(f"WITH {NOTED} SELECT sample_id, gold_index, gold_name, covered, array_to_string(list_sort(covering), ',') AS covering, best_score, array_to_string(list_sort(missing), ',') AS missing, conflict_notes, tolerated FROM full_audits")
 def coverage_audit(spark, sf_dir):
-    """Gold elements by the predictions that cover them: objects of their names first, else the score."""
+    """Gold elements by the predictions that cover them: objects of their names first, else the score; with what is at
+    odds between them and the shades that are tolerated."""
     found = coverage.audit_gold(*_elements(spark, sf_dir))
-    return found.select("sample_id", "gold_index", "gold_name", "covered", F.array_join(F.array_sort(F.transform("covering", lambda i: i)), ",").alias("covering"), "best_score", F.array_join("missing", ",").alias("missing"))
+    shown = [F.array_join("missing", ",").alias("missing"), F.array_join("conflict_notes", "; ").alias("conflict_notes"), F.array_join(F.transform("tolerated", lambda x: F.array_join(x, "+")), "; ").alias("tolerated")]
+    return found.select("sample_id", "gold_index", "gold_name", "covered", F.array_join(F.array_sort(F.transform("covering", lambda i: i)), ",").alias("covering"), "best_score", *shown)
 
 
 _EXTRAS = f"""{AUDIT},
@@ -94,10 +149,11 @@ def coverage_extras(spark, sf_dir):
     return coverage.audit_all(*_elements(spark, sf_dir))[1]
 
 
-@query(f"WITH {_EXTRAS}, a AS (SELECT count(*) AS gold_count, CAST(count_if(covered) AS BIGINT) AS covered_gold_count FROM audits), e AS (SELECT CAST(count_if(classification = 'supported_extra') AS BIGINT) AS supported_extra_count, CAST(count_if(classification = 'unsupported_extra') AS BIGINT) AS unsupported_extra_count, CAST(count_if(classification = 'needs_review') AS BIGINT) AS needs_review_count FROM extra) SELECT *, covered_gold_count / gold_count AS gold_coverage_rate, covered_gold_count / 100000 AS all_gold_coverage_rate FROM a, e")
+@query(f"WITH {_EXTRAS.replace(AUDIT, NOTED)}, a AS (SELECT count(*) AS gold_count, CAST(count_if(covered) AS BIGINT) AS covered_gold_count, CAST(count_if(conflict_notes <> '') AS BIGINT) AS conflict_count, CAST(count_if(tolerated <> '') AS BIGINT) AS color_family_tolerated_count FROM full_audits), e AS (SELECT CAST(count_if(classification = 'supported_extra') AS BIGINT) AS supported_extra_count, CAST(count_if(classification = 'unsupported_extra') AS BIGINT) AS unsupported_extra_count, CAST(count_if(classification = 'needs_review') AS BIGINT) AS needs_review_count FROM extra) SELECT *, covered_gold_count / gold_count AS gold_coverage_rate, covered_gold_count / 100000 AS all_gold_coverage_rate FROM a, e")
 def coverage_totals(spark, sf_dir):
-    """Counts of gold covered and of extras, with the rates over the gold evaluated and over all gold."""
-    return coverage.totals(*coverage.audit_all(*_elements(spark, sf_dir)), 100_000).drop("conflict_count", "color_family_tolerated_count")
+    """Counts of gold covered, at odds and tolerated, and of extras, with the rates over the gold evaluated and over all
+    gold."""
+    return coverage.totals(*coverage.audit_all(*_elements(spark, sf_dir)), 100_000)
 
 
 @query(f"""
@@ -120,18 +176,12 @@ def composite_coverage(spark, sf_dir):
 # Pairs of colours, materials and shapes that may be at odds.
 LEFT = ("红色长裤", "黑色布裤", "蓝色皮革", "白色", "窄款金属", "圆形", "红色金属搭扣")
 RIGHT = ("粉色短裤", "棕色皮革", "青色", "银白色", "宽松布", "尖", "绿色")
-CONFLICTS = f"""
-t AS (SELECT l_orderkey, l_linenumber, {_list(LEFT)}[l_partkey % 7 + 1] AS a, {_list(RIGHT)}[l_suppkey % 7 + 1] AS b FROM lineitem),
-f AS (SELECT a, b, {_families_sql("replace(a, '金属搭扣', '')", V.COLOR_FAMILIES)} AS ca, {_families_sql("b", V.COLOR_FAMILIES)} AS cb, {_families_sql("replace(a, '金属搭扣', '')", V.MATERIAL_FAMILIES)} AS ma, {_families_sql("b", V.MATERIAL_FAMILIES)} AS mb,
-  {_families_sql("replace(a, '金属搭扣', '')", V.SHAPE_FAMILIES)} AS sa, {_families_sql("b", V.SHAPE_FAMILIES)} AS sb FROM t)
-"""
-
-
 @query(f"""
-WITH {CONFLICTS}
-SELECT a, b, len(ma) > 0 AND len(mb) > 0 AND len(list_intersect(ma, mb)) = 0 AS material,
-  {" OR ".join(f"(list_contains(sa, '{x}') AND list_contains(sb, '{y}')) OR (list_contains(sa, '{y}') AND list_contains(sb, '{x}'))" for x, y in V.SHAPE_OPPOSITES)} AS shape,
-  len(ca) > 0 AND len(cb) > 0 AND len(list_intersect(ca, cb)) = 0 AS colors_differ, count(*) AS n FROM f GROUP BY ALL
+WITH t AS (SELECT {_list(LEFT)}[l_partkey % 7 + 1] AS gt, {_list(RIGHT)}[l_suppkey % 7 + 1] AS pt, count(*) AS n FROM lineitem GROUP BY ALL),
+look AS (SELECT text, {_look_sql("text")} FROM (SELECT gt AS text FROM t UNION SELECT pt FROM t)),
+settled AS (SELECT gt, pt, n, a, b, {_SETTLED} FROM t JOIN look a ON a.text = gt JOIN look b ON b.text = pt),
+c AS (SELECT *, {_BETWEEN} FROM (SELECT *, {_one_group_sql("all_shades")} OR len(singles) > 0 AS ok FROM settled))
+SELECT gt AS a, pt AS b, array_to_string(notes, '; ') AS notes, coalesce(array_to_string(tolerated, '+'), '') AS tolerated, n FROM c
 """)
 def element_conflicts(spark, sf_dir):
     """Pairs of texts by the conflicts between them; colours that differ are a conflict or tolerated."""
@@ -141,8 +191,7 @@ def element_conflicts(spark, sf_dir):
     kinds = line.groupBy("a", "b").agg(F.count("*").alias("n"))
     sides = [coverage.prepared(kinds.select(F.concat_ws("/", "a", "b").alias("sample_id"), F.lit(0).alias("index"), F.col(c).alias("name"), *blank), side) for c, side in (("a", "gold"), ("b", "pred"))]
     c = kinds.withColumn("sample_id", F.concat_ws("/", "a", "b")).join(sides[0], "sample_id").join(sides[1], "sample_id").withColumn("c", coverage.conflicts())
-    has = lambda kind: F.exists("c.notes", lambda x: F.startswith(x, F.lit(f"{kind} conflict")))
-    return c.select("a", "b", has("material").alias("material"), has("shape").alias("shape"), (has("color") | F.col("c.tolerated").isNotNull()).alias("colors_differ"), "n")
+    return c.select("a", "b", F.array_join("c.notes", "; ").alias("notes"), F.coalesce(F.array_join("c.tolerated", "+"), F.lit("")).alias("tolerated"), "n")
 
 
 # Answers of a model: lines of an order as a list under one of three names, else as features.
