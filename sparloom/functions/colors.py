@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparloom import vocabulary as V
-from sparloom.functions.text import let
+from sparloom.functions.text import constant, let
 
 _BY_LENGTH = sorted(((w.lower(), f) for f, ws in V.COLOR_ALIASES.items() for w in ws), key=lambda x: -len(x[0]))
+_WORDS = [{"word": w, "family": f} for w, f in _BY_LENGTH]
 
 
 def color_families(text: Column | str) -> Column:
@@ -18,12 +19,12 @@ def color_families(text: Column | str) -> Column:
 
     def claim(s: Column, x: Column) -> Column:
         at = F.call_function("instr", s["low"], x["word"])
-        claimed = F.struct(F.overlay(s["low"], x["blank"], at).alias("low"), F.concat(s["found"], F.array(x["family"])).alias("found"))
+        claimed = F.struct(F.overlay(s["low"], F.repeat(F.lit("\0"), F.length(x["word"])), at).alias("low"), F.concat(s["found"], F.array(x["family"])).alias("found"))
         return F.when(F.contains(s["low"], x["word"]), claimed).otherwise(s)
 
     def fold(low: Column) -> Column:
-        held = F.array(*[F.when(F.contains(low, F.lit(w)), F.struct(F.lit(w).alias("word"), F.lit(f).alias("family"), F.lit("\0" * len(w)).alias("blank"))) for w, f in _BY_LENGTH])
-        return F.aggregate(F.array_compact(held), F.struct(low.alias("low"), F.array().cast("array<string>").alias("found")), claim, lambda s: s["found"])
+        held = F.filter(constant(_WORDS), lambda x: F.contains(low, x["word"]))
+        return F.aggregate(held, F.struct(low.alias("low"), F.array().cast("array<string>").alias("found")), claim, lambda s: s["found"])
 
     whole = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
     return F.array_sort(F.array_distinct(let(whole, fold)))
@@ -31,9 +32,7 @@ def color_families(text: Column | str) -> Column:
 
 def within_one_group(families: Column) -> Column:
     """Two families or more, all inside one tolerated group."""
-    inside = F.lit(False)
-    for group in V.TOLERATED_COLORS:
-        inside = inside | (F.size(F.array_except(families, F.array(*map(F.lit, group)))) == 0)
+    inside = F.exists(constant(V.TOLERATED_COLORS), lambda group: F.size(F.array_except(families, group)) == 0)
     return (F.size(families) >= 2) & inside
 
 

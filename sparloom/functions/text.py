@@ -123,14 +123,24 @@ def compound_halves(name: Column) -> Column:
     return chosen
 
 
+def constant(rows: list) -> Column:
+    """A constant array of texts, or of lists or dicts (as structs) of constants, made in one call: plans of many words
+    are slow to put together column by column."""
+
+    def sql(x) -> str:
+        if isinstance(x, dict):
+            return "named_struct(" + ", ".join(f"{sql(k)}, {sql(v)}" for k, v in x.items()) + ")"
+        if isinstance(x, (list, tuple)):
+            return "array(" + ", ".join(map(sql, x)) + ")"
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    return F.expr(sql(rows))
+
+
 def families(text: Column, words: dict[str, tuple[str, ...]]) -> Column:
     """Sorted names of the families with a keyword in the compacted text."""
-    found = lambda t: F.array_compact(F.array(*[F.when(F.lit(False) if not ks else _any(t, ks), F.lit(f)) for f, ks in sorted(words.items())]))
+    table = [{"family": f, "words": ks} for f, ks in sorted(words.items()) if ks]
+    if not table:
+        return F.array().cast("array<string>")
+    found = lambda t: F.transform(F.filter(constant(table), lambda x: F.exists(x["words"], lambda w: F.contains(t, w))), lambda x: x["family"])
     return let(compact_text(text), found)
-
-
-def _any(text: Column, keywords: tuple[str, ...]) -> Column:
-    out = F.contains(text, F.lit(keywords[0]))
-    for k in keywords[1:]:
-        out = out | F.contains(text, F.lit(k))
-    return out
