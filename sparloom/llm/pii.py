@@ -325,6 +325,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     return own.select("doc_id", selected(F.col("c"), fit_model(own, "c", "h", sample)).alias("found"))
 
 
+#: Code points of a block, of which ``redact`` cuts its pieces.
+BLOCK = 1024
+
+
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None, sample: int = SAMPLE) -> DataFrame:
     """``docs`` with every span found replaced by its kind in angle brackets; overlapping spans are one, named by
     the first. ``length_col``: gets the length of the new text. Null texts stay null."""
@@ -334,12 +338,23 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
     text = F.col(f"`{text_col}`")
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
 
+    def step(state: Column, x: Column) -> Column:
+        # where the spans up to this one end furthest, before it; what starts before that lies inside them
+        seen = F.struct(x["start"].alias("start"), x["kind"].alias("kind"), state["far"].alias("was"))
+        return F.struct(F.concat(state["done"], F.array(seen)).alias("done"), F.greatest(state["far"], x["end"]).alias("far"))
+
     def rewrite(s: Column) -> Column:
-        # spans that overlap are one: each ends where the furthest of those up to it does
-        grown = lambda done, x: F.concat(done, F.array(F.struct(x["start"].alias("start"), F.greatest(x["end"], F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0))).alias("end"), x["kind"].alias("kind"), (x["start"] < F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0))).alias("inside"))))
-        ends = F.aggregate(s, F.array().cast("array<struct<start:int,end:int,kind:int,inside:boolean>>"), grown)
-        pieces = lambda e: F.transform(e, lambda x, i: let(F.coalesce(F.get(e, i - 1)["end"], F.lit(0)), lambda was: F.when(x["inside"], F.lit("")).otherwise(F.concat(F.substring(text, was + 1, x["start"] - was), names[x["kind"]]))))
-        return let(ends, lambda e: F.concat(F.array_join(pieces(e), ""), F.substring(text, F.element_at(e, -1)["end"] + 1, F.length(text))))
+        # pieces of text are cut out of blocks, and spans are folded in runs, so that neither a long text nor one of
+        # very many spans is gone through again for each span
+        empty = lambda kind: F.array().cast(kind)
+        one = "struct<start:int,kind:int,was:int>"
+        size = F.ceil(F.sqrt(F.size(s))).cast("int")
+        runs = let(size, lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / n).cast("int")), lambda k: F.slice(s, k * n + 1, n)))
+        folded = lambda state, run: let(F.aggregate(run, F.struct(empty(f"array<{one}>").alias("done"), state["far"].alias("far")), step), lambda r: F.struct(F.concat(state["done"], F.array(r["done"])).alias("done"), r["far"].alias("far")))
+        ends = F.aggregate(runs, F.struct(empty(f"array<array<{one}>>").alias("done"), F.lit(0).alias("far")), folded)
+        cut = lambda blocks, a, b: F.substring(F.array_join(F.slice(blocks, F.floor(a / BLOCK).cast("int") + 1, F.floor(b / BLOCK).cast("int") - F.floor(a / BLOCK).cast("int") + 1), ""), a % BLOCK + 1, b - a)
+        pieces = lambda blocks, e: F.transform(F.flatten(e["done"]), lambda x: F.when(x["start"] < x["was"], F.lit("")).otherwise(F.concat(cut(blocks, x["was"], x["start"]), names[x["kind"]])))
+        return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda blocks: let(ends, lambda e: F.concat(F.array_join(pieces(blocks, e), ""), cut(blocks, e["far"], F.length(text)))))
 
     by_start = F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     clean = let(by_start, lambda s: F.when(F.size(s) > 0, rewrite(s)).otherwise(text))
