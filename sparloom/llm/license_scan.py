@@ -6,6 +6,9 @@ must hold one of the template's first n - ceil(t * n) + 1 words (prefix filter),
 filter), and, from the places of the first shared word in both, be able to reach the overlap (positional
 filter). What is left is verified on whole word sets, so the result is exact.
 
+The shared words must stand near each other: within as many words as the template has twice (``SPREAD``). So words that
+lie scattered over a long block without stops are no licence, and a block of any length can be met.
+
 Beside it, phrases whose words stand consecutively are found in the whole text; they always count.
 
 The templates are a parameter of a few hundred sentences; their index goes with the tasks. Both passes are
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from sparloom.llm import tokens
 
 THRESHOLD = 0.9
+#: The shared words of a template of n words stand within SPREAD * n words of a block.
+SPREAD = 2
 #: (phrase, label): places where the words stand consecutively.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 # The sentences of well-known licences and notices, as (label, sentence). A sentence ends where a
@@ -124,23 +129,26 @@ class Index:
     """Templates under the words of their prefixes, in the global order."""
 
     def __init__(self, templates, counts: dict[int, int], threshold: float):
-        self.labels, self.sets, self.need = [], [], []
+        self.labels, self.sets, self.need, self.width = [], [], [], []
         self.rank = {w: k for k, w in enumerate(sorted((int(w) for w in template_words(templates)), key=lambda w: (counts.get(w, 0), w)))}
         self.prefix: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, (label, text) in enumerate(templates):
-            order = sorted({self.rank[int(w)] for w in hashed(text)})
+            words = hashed(text)
+            order = sorted({self.rank[int(w)] for w in words})
             need = max(1, math.ceil(round(threshold * len(order), 9)))
             self.labels.append(label)
             self.sets.append(order)
             self.need.append(need)
+            self.width.append(SPREAD * len(words))
             for place, word in enumerate(order[: len(order) - need + 1]):
                 self.prefix[word].append((k, place))
         by_hash = {h: r for h, r in self.rank.items()}
         self.first = np.array(sorted(h for h, r in by_hash.items() if r in self.prefix), np.uint64)
 
-    def match(self, block: set[int]) -> Iterator[tuple[int, float]]:
-        """(template, containment) of the templates that a block of word hashes meets."""
-        own = sorted(self.rank[w] for w in block if w in self.rank)
+    def match(self, words: list[int]) -> Iterator[tuple[int, float]]:
+        """(template, containment) of the templates that a block of word hashes, in order, meets."""
+        placed = [(at, self.rank[w]) for at, w in enumerate(words) if w in self.rank]
+        own = sorted({r for _, r in placed})
         tried: set[int] = set()
         for place, word in enumerate(own):
             for k, at in self.prefix.get(word, ()):
@@ -148,12 +156,36 @@ class Index:
                     continue
                 tried.add(k)
                 need, order = self.need[k], self.sets[k]
-                if len(block) < need or 1 + min(len(order) - at - 1, len(own) - place - 1) < need:
+                if len(words) < need or 1 + min(len(order) - at - 1, len(own) - place - 1) < need:
                     continue
                 shared = len(set(own).intersection(order))
+                if shared >= need and len(words) > self.width[k]:
+                    shared = self.nearest(placed, k)
                 if shared >= need:
                     yield k, shared / len(order)
 
+    def nearest(self, placed: list[tuple[int, int]], k: int) -> int:
+        """The most words of a template that stand in one window of its width. Every window that counts holds a word
+        of the template's prefix, so only places around those are gone through."""
+        order, width = set(self.sets[k]), self.width[k]
+        first = set(self.sets[k][: len(order) - self.need[k] + 1])
+        held = [(at, r) for at, r in placed if r in order]
+        heads = np.array([at for at, r in held if r in first])
+        places = np.array([at for at, _ in held])
+        near = np.searchsorted(heads, places - width, "right") < np.searchsorted(heads, places + width)
+        window: dict[int, int] = defaultdict(int)
+        best = lo = 0
+        held = [x for x, n in zip(held, near.tolist(), strict=True) if n]
+        for at, r in held:
+            window[r] += 1
+            while held[lo][0] <= at - width:
+                window[held[lo][1]] -= 1
+                if not window[held[lo][1]]:
+                    del window[held[lo][1]]
+                lo += 1
+            best = max(best, len(window))
+        return best
+
 
 def block_edges(data: np.ndarray) -> np.ndarray:
     """Offsets of the bytes that end a block: line ends before a line without words, and . ! ? or ; before white
@@ -184,7 +216,7 @@ def _row(text: bytes, hashes: np.ndarray, phrases, index: Index):
             block = np.searchsorted(block_edges(data), starts)
             for b in np.unique(block[hits]):
                 lo, hi = np.searchsorted(block, [b, b + 1])
-                if met := list(index.match(set(hashes[lo:hi].tolist()))):
+                if met := list(index.match(hashes[lo:hi].tolist())):
                     found[int(lo)] = met
     return starts_of, found
 
@@ -230,13 +262,13 @@ def op6_license_scan(spark, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     words = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low = lambda t: f"translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    plain = [(label, sorted(set(re.findall("[a-z0-9]+", text.lower())))) for label, text in TEMPLATES]
-    rows = ", ".join(f"('{label}', {ws!r}, {max(1, math.ceil(round(THRESHOLD * len(ws), 9)))})" for label, ws in plain)
+    spoken = [(label, re.findall("[a-z0-9]+", text.lower())) for label, text in TEMPLATES]
+    rows = ", ".join(f"('{label}', {sorted(set(ws))!r}, {max(1, math.ceil(round(THRESHOLD * len(set(ws)), 9)))}, {SPREAD * len(ws)})" for label, ws in spoken)
     phrases = ", ".join(f"('{p}', {len(p.split())}, '{label}')" for p, label in PHRASES)
     return f"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, {low("coalesce(text, '')")} AS low FROM documents),
 w AS (SELECT r, regexp_extract_all(low, '{words}') AS ws FROM t),
-templates AS (SELECT * FROM (VALUES {rows}) AS x(label, tw, need)),
+templates AS (SELECT * FROM (VALUES {rows}) AS x(label, tw, need, width)),
 phrases AS (SELECT * FROM (VALUES {phrases}) AS x(phrase, n, label)),
 places AS (
   SELECT r, i - 1 AS i, label FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) JOIN phrases
@@ -244,11 +276,13 @@ places AS (
 base AS (
   SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(label) AS found FROM places GROUP BY r),
 blocks AS (
-  SELECT r, list_distinct(regexp_extract_all(b, '{words}')) AS ws
+  SELECT r, regexp_extract_all(b, '{words}') AS ws
   FROM (SELECT r, unnest(regexp_split_to_array(low, '\\n[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]*\\n|[.!?;](?:[\\x20\\x09-\\x0D]|$)')) AS b FROM t)),
+able AS (SELECT r, ws, label, tw, need, width FROM (SELECT r, ws, list_distinct(ws) AS own FROM blocks) JOIN templates ON len(own) >= need AND len(list_intersect(own, tw)) >= need),
 met AS (
-  SELECT r, label, len(list_intersect(ws, tw)) / len(tw) AS share FROM blocks JOIN templates
-  ON len(ws) >= need AND len(list_intersect(ws, tw)) >= need),
+  SELECT r, label, best / len(tw) AS share FROM (
+    SELECT *, list_max(list_transform(range(1, greatest(1, len(ws) - width + 1) + 1), lambda i: len(list_intersect(ws[i:i + width - 1], tw)))) AS best FROM able)
+  WHERE best >= need),
 more AS (SELECT r, list(label) AS found, max(share) AS best FROM met GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   coalesce(array_to_string(list_sort(list_distinct(base.found)), ','), '') AS base_labels,
