@@ -12,7 +12,7 @@ from sparloom.functions.parsing import confidence_label, element_category, event
 from sparloom.functions.similarity import cosine
 from sparloom.operators import alignment, assignment, audit, basics, coverage, detection, events, gold, lanes, quality, templates, updates
 from sparloom.plans import extraction, gold_pipeline
-from sparloom.queries import query, table
+from sparloom.queries import SQL, query, table
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
 
@@ -360,3 +360,10 @@ def detection_totals(spark, sf_dir):
     e = line.select(key.alias("sample_id"), detection.target_id(key, F.col("l_linenumber")).alias("element_id"), F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("position"), F.when(F.col("l_returnflag") == "R", "wrong").otherwise("correct").alias("verdict"), F.when(F.col("l_linestatus") == "O", "color").otherwise("shape").alias("issue_type"))
     m = o.select(F.col("o_orderkey").cast("string").alias("negative_sample_id"), (1 + F.col("o_orderkey") % 5).alias("mutated_element_index"), F.when(F.col("o_custkey") % 2 == 0, "color").otherwise("shape").alias("expected_issue_type"))
     return detection.detection_summary(detection.detection(e, m))
+
+
+@query(f"SELECT qc_status, count(*) AS n, CAST(count_if(warnings <> '') AS BIGINT) AS with_warnings FROM ({SQL['gold_row_checks']}) WHERE qc_status <> 'FAIL' GROUP BY ALL")
+def passed_rows(spark, sf_dir):
+    """Rows that no check failed, through the gate at which a failed row is an error."""
+    kept = gold_row_checks(spark, sf_dir).filter("qc_status <> 'FAIL'")
+    return quality.passed(kept).groupBy("qc_status").agg(F.count("*").alias("n"), F.count_if(F.col("warnings") != "").alias("with_warnings"))

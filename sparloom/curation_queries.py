@@ -659,3 +659,21 @@ def workbook_choices(spark, sf_dir):
     changed = workbooks.changed_cells(cells(before), cells(after), ["path"]).groupBy(F.col("path").alias("sample_id")).agg(F.count("*").alias("changed"))
     listed = after.join(before.select("sample_id", F.length("content").alias("was")), "sample_id").select("sample_id", "n_rows", "problem", (F.length("content") > F.col("was")).alias("listed"))
     return listed.join(changed, "sample_id", "left").fillna(0, ["changed"])
+
+
+@query("""
+SELECT CASE WHEN n_nationkey % 7 = 6 THEN 'same' WHEN n_nationkey % 11 <> 10 THEN n_name END AS sample_id, n_nationkey AS n,
+  CASE WHEN n_nationkey % 7 = 6 THEN 'duplicate sample_id' WHEN n_nationkey % 11 = 10 THEN 'missing sample_id' WHEN n_nationkey % 5 = 0 THEN 'missing source_image' WHEN n_nationkey % 3 = 0 THEN 'image is not there' END AS problem
+FROM nation
+""")
+def sample_image_files(spark, sf_dir):
+    """JSON files of samples that name their images by relative paths, with what is wrong with them."""
+    path, n = _folder(spark, "samples"), F.col("n_nationkey")
+    nation = table(spark, sf_dir, "nation")
+    nation.filter(n % 3 != 0).select(n.alias("of"), F.col("n_name").alias("value")).repartition("of").write.partitionBy("of").text(f"{path}/images")
+    images = layout.list_files(spark, f"{path}/images").select(F.substring_index("parent", "=", -1).cast("int").alias("n_nationkey"), F.concat(F.lit("../.././images/"), "parent", F.lit("/"), "name").alias("there"))
+    sample = F.when(n % 7 == 6, "same").when(n % 11 != 10, F.col("n_name"))
+    image = F.when(n % 5 != 0, F.coalesce("there", F.lit("../../images/none.png")))
+    nation.join(images, "n_nationkey", "left").select(n.alias("of"), sample.alias("sample_id"), image.alias("source_image")).repartition("of").write.partitionBy("of").json(f"{path}/samples")
+    found = layout.sample_images(spark, f"{path}/samples", f"{path}/images")
+    return found.select("sample_id", F.regexp_extract("metadata_path", "of=([0-9]+)", 1).cast("int").alias("n"), "problem")

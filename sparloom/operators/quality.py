@@ -176,6 +176,12 @@ def fail_on_errors(report: DataFrame) -> None:
         raise ValueError(f"{n} rows failed")
 
 
+def passed(report: DataFrame) -> DataFrame:
+    """The rows of a report of which none may have failed: the same gate inside a plan, where a failed row is an error."""
+    told = F.concat(F.lit("a row failed: "), F.col("issues"))
+    return report.filter(F.when(F.col("qc_status") != "FAIL", F.lit(True)).otherwise(F.raise_error(told).cast("boolean")))
+
+
 def sample_summary(annotations: DataFrame, report: DataFrame) -> DataFrame:
     """Per category and sample: rules, results, outcomes of the check, and the first schema version."""
     a = annotations.groupBy("category", "sample_id").agg(F.count("*").alias("rule_rows"), F.count_if(F.col("result") == "correct").alias("correct_rows"), F.count_if(F.col("result") == "wrong").alias("wrong_rows"), F.min_by("schema_version", "_row").alias("schema_version"))
