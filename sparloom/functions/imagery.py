@@ -57,7 +57,8 @@ def image_size(content: pd.Series) -> pd.DataFrame:
 
 
 def data_url(content: Column, path: Column) -> Column:
-    """The file as a base64 data URL, its type by the extension."""
+    """The file as a base64 data URL in one line (Spark's base64 breaks lines after 76 characters), its type by the
+    extension."""
     ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1))
     mime = F.when(ext == "png", "image/png").when(ext == "webp", "image/webp").when(ext == "gif", "image/gif").otherwise("image/jpeg")
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.translate(F.base64(content), "\r\n", ""))

@@ -30,3 +30,8 @@ def test_levels_are_single_precision(spark, tmp_path):
     vectors = [(k, [near[(i * (k + 3) + k) % 4] for i in range(64)]) for k in range(8)]
     con = tables(spark, tmp_path, embeddings=("vec_id long, embedding array<float>", vectors))
     same(spark, tmp_path, con, "color_metrics")
+
+
+def test_data_url_is_one_line(spark, tmp_path):
+    con = tables(spark, tmp_path, pages=("page_id long, url string", [(k, "https://example.org/" + "é" * k * 7) for k in range(12)]))
+    assert not any("\\n" in r or "\\r" in r for r in same(spark, tmp_path, con, "data_urls"))
