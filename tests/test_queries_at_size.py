@@ -43,3 +43,12 @@ def test_gradients_are_single_precision(spark, tmp_path):
     vectors = [(k, [near[(i * (k + 1) + k) % 7] for i in range(64)]) for k in range(6)]
     con = tables(spark, tmp_path, embeddings=("vec_id long, embedding array<float>", vectors))
     same(spark, tmp_path, con, "gradient_hashes")
+
+
+def test_copies_are_turned_at_bits_of_their_vector(spark, tmp_path):
+    """A vector that differs from a copy's sign bits, as the old number says which are turned, in one bit."""
+    turned = lambda k: {(k + 9 * j) % 64 for j in range(k % 8)}
+    base = [(k, [1.0 if (i * 7 + k * 13) % 5 < 2 else -1.0 for i in range(64)]) for k in range(3, 8)]
+    close = [(100 * k, [-x if (i in turned(k)) != (i == 50) else x for i, x in enumerate(v)]) for k, v in base]
+    con = tables(spark, tmp_path, embeddings=("vec_id long, embedding array<float>", base + close))
+    same(spark, tmp_path, con, "hamming_pairs")
