@@ -52,3 +52,8 @@ def test_copies_are_turned_at_bits_of_their_vector(spark, tmp_path):
     close = [(100 * k, [-x if (i in turned(k)) != (i == 50) else x for i, x in enumerate(v)]) for k, v in base]
     con = tables(spark, tmp_path, embeddings=("vec_id long, embedding array<float>", base + close))
     same(spark, tmp_path, con, "hamming_pairs")
+
+
+def test_widths_beyond_16_bits(spark, tmp_path):
+    con = tables(spark, tmp_path, events=("event_id long, user_id long", [(k, u) for k, u in enumerate([0, 7, 65533, 65533, 65534, 65534, 65535, 65535, 90_000, 90_001])]))
+    same(spark, tmp_path, con, "image_sizes")
