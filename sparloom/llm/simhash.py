@@ -166,12 +166,24 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     return _first_rows(keyed, key, found).drop(key)
 
 
+def proposed(docs: DataFrame, size: int, max_bits: int = MAX_BITS) -> DataFrame:
+    """(x_th, y_th): the hash of each text (th, text) whose fingerprint is linked with others, or equal to theirs, and
+    the smallest hash among these."""
+    own = materialize(fingerprints(docs, "th", "text", size), "simhash-docs")
+    rooted = _roots(own, max_bits)
+    named = rooted.groupBy("root").agg(F.min("first").alias("y_th"))
+    return own.join(rooted, "fp").join(named, "root").select(F.col("doc_id").alias("x_th"), "y_th").filter("x_th <> y_th").distinct()
+
+
 def keep_similar_once(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = similar_sets.SHINGLE, similarity: float = similar_sets.SIMILARITY) -> DataFrame:
     """``docs`` with one row, that of the smallest id, of each group that is linked by a Jaccard similarity of
-    ``size``-word shingles of ``similarity`` or more; all columns stay."""
+    ``size``-word shingles of ``similarity`` or more; all columns stay. Linked fingerprints of these shingles are
+    candidates, which an exact check follows; pairs at ``similarity`` may differ in any number of bits, so those that
+    fingerprints do not propose come from the prefix filter."""
     keyed, key = _with_key(docs, id_col, text_col)
-    found = similar_sets.groups(keyed.select(F.col(key).alias("key"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), size, similarity)
-    return _first_rows(keyed, key, found).drop(key)
+    rows = keyed.select(F.col(key).alias("key"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    near = proposed(rows.select(F.xxhash64("text").alias("th"), "text"), size)
+    return _first_rows(keyed, key, similar_sets.groups(rows, size, similarity, near=near)).drop(key)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -159,9 +159,10 @@ def links_by_texts(pairs: DataFrame, own: DataFrame, size: int, similarity: floa
     return both.select("x", "y", "x_text", "y_text").mapInArrow(lambda it: _verified(it, size, similarity), "x bigint, y bigint")
 
 
-def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, links: Callable[[DataFrame, DataFrame, int, float], DataFrame] = links_by_texts) -> DataFrame:
+def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, links: Callable[[DataFrame, DataFrame, int, float], DataFrame] = links_by_texts, near: DataFrame | None = None) -> DataFrame:
     """(key, doc_id, n, root) of every row of (key, doc_id, text): the size of its set, and one root a group of
-    near-duplicates. ``links`` verifies candidates."""
+    near-duplicates. ``links`` verifies candidates; ``near``: pairs (x_th, y_th) of XXH64 of texts that are candidates
+    beside those of the buckets. Sets that are in no bucket with others are near to none."""
     if not 0 < similarity <= 1:
         raise ValueError("the similarity lies above 0 and is 1 at most")
     own = docs.select("key", "doc_id", F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
@@ -192,7 +193,12 @@ def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY,
         pairs = materialize(pairs.filter(_possible_in_wide(similarity)).select("x", "y", "x_th", "y_th", "x_n", "y_n"), "sets-pairs")
         return materialize(links(pairs, own, size, similarity).select("x", "y"), "sets-links")
 
-    ties = met.filter("set <> rep").select(F.col("set").alias("x"), F.col("rep").alias("y")).distinct()
+    ties = met.filter("set <> rep").select(F.col("set").alias("x"), F.col("rep").alias("y"))
+    if near is not None:
+        of_text = rows.select("th", "set").distinct()
+        named = lambda c: of_text.select(F.col("th").alias(f"{c}_th"), F.col("set").alias(c))
+        ties = ties.union(near.join(named("x"), "x_th").join(named("y"), "y_th").filter("x <> y").select("x", "y"))
+    ties = ties.distinct()
     first = components(verified(ties.join(side("x", "n", "slots"), "x").join(side("y", "n", "slots"), "y").filter(_possible(similarity))).select(F.col("x").alias("a"), F.col("y").alias("b")))
     labelled = met.select("at", "set").join(first, F.col("set") == F.col("a"), "left").select("at", "set", F.coalesce("b", "set").alias("c"))
     mixed = labelled.groupBy("at").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("at")
