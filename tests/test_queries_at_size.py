@@ -57,3 +57,23 @@ def test_copies_are_turned_at_bits_of_their_vector(spark, tmp_path):
 def test_widths_beyond_16_bits(spark, tmp_path):
     con = tables(spark, tmp_path, events=("event_id long, user_id long", [(k, u) for k, u in enumerate([0, 7, 65533, 65533, 65534, 65534, 65535, 65535, 90_000, 90_001])]))
     same(spark, tmp_path, con, "image_sizes")
+
+
+def test_equal_findings_are_scored_once(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from sparloom.operators import alignment
+
+    scored = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def same_text(a: pd.Series, b: pd.Series) -> pd.Series:
+        scored.add(len(a))
+        return (a == b).astype(float)
+
+    findings = spark.createDataFrame([(k, "s", f"f{k}", "red hat") for k in range(40)], "_row long, sample_id string, finding_id string, human_rule_name string")
+    rules = spark.createDataFrame([("", "s", 1, "red", "hat"), ("", "s", 2, "blue", "hat")], "category string, sample_id string, position int, rule_id string, value string")
+    found, _ = alignment.align(findings, rules, scorer=same_text)
+    assert sorted((r._row, r["rank"], r.atomic_rule_id, r.human_finding_id) for r in found.collect()) == [(k, n, x, f"f{k}") for k in range(40) for n, x in ((1, "red"), (2, "blue"))]
+    assert 2 <= scored.value <= 8
