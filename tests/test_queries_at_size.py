@@ -77,3 +77,24 @@ def test_equal_findings_are_scored_once(spark):
     found, _ = alignment.align(findings, rules, scorer=same_text)
     assert sorted((r._row, r["rank"], r.atomic_rule_id, r.human_finding_id) for r in found.collect()) == [(k, n, x, f"f{k}") for k in range(40) for n, x in ((1, "red"), (2, "blue"))]
     assert 2 <= scored.value <= 8
+
+
+def test_equal_pairs_of_elements_are_scored_once(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from sparloom.operators import coverage
+
+    scored = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def nothing(a: pd.Series, b: pd.Series) -> pd.Series:
+        scored.add(len(a))
+        return pd.Series([0.0] * len(a))
+
+    names = "sample_id string, index int, name string"
+    blank = [F.lit("").alias(c) for c in coverage.FIELDS[1:]]
+    gold, pred = (spark.createDataFrame([(f"s{k}", n, name) for k in range(30)], names).select("*", *blank) for n, name in ((1, "红色外套"), (2, "外套")))
+    found = coverage.audit_gold(gold, pred, scorer=nothing).collect()
+    assert len(found) == 30 and all(r.covered and r.covering == [2] for r in found)
+    assert 1 <= scored.value <= 4
