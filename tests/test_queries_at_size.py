@@ -98,3 +98,11 @@ def test_equal_pairs_of_elements_are_scored_once(spark):
     found = coverage.audit_gold(gold, pred, scorer=nothing).collect()
     assert len(found) == 30 and all(r.covered and r.covering == [2] for r in found)
     assert 1 <= scored.value <= 4
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tags_are_split_once_a_row(spark, sf):
+    assert "array_contains(array_distinct" not in plan(entry.queries()["key_tags"](spark, sf))
