@@ -24,7 +24,8 @@ def cascade(posts: DataFrame) -> DataFrame:
     """Posts (id, tags, rating, sample_width, sample_height, width, height, source, crawl_label, raw_tags) with
     ``signature`` and ``reason``: the first of the gates that need no memory which they fail, else
     prefilter_pass with the features that mark a character. Repeats are for accept_first."""
-    tags, raw = tag_set(F.col("tags")), tag_set(F.col("raw_tags"))
+    posts = posts.withColumns({"_tags": tag_set(F.col("tags")), "_raw": tag_set(F.col("raw_tags"))})
+    tags, raw = F.col("_tags"), F.col("_raw")
     label = F.coalesce("crawl_label", F.lit(""))
     asks_art = F.contains(label, F.lit("official_full_body")) | F.array_contains(raw, "official_art")
     loose = F.contains(label, F.lit("official_full_body")) | F.contains(label, F.lit("full_body_")) | (F.array_contains(raw, "official_art") & F.array_contains(raw, "full_body"))
@@ -50,8 +51,9 @@ def cascade(posts: DataFrame) -> DataFrame:
     )
     features = hits(tags, V.SIGNATURE_FEATURES)
     passed = F.when(F.size(features) > 0, F.concat(F.lit("prefilter_pass;signature_features:"), F.array_join(features, ","))).otherwise("prefilter_pass")
-    d = posts.withColumns({"_early": early, "_late": late, "signature": F.when(early.isNull(), character_signature(tags, F.col("source"), F.col("id"))).otherwise(""), "_passed": passed})
-    return d.withColumns({"reason": F.coalesce("_early", "_late", "_passed"), "accepted": F.col("_early").isNull() & F.col("_late").isNull(), "_before_signature": F.col("_early").isNull()}).drop("_early", "_late", "_passed")
+    d = posts.withColumns({"_early": early, "_late": late, "_passed": passed})
+    signature = F.when(F.col("_early").isNull(), character_signature(tags, F.col("source"), F.col("id"))).otherwise("")
+    return d.withColumns({"signature": signature, "reason": F.coalesce("_early", "_late", "_passed"), "accepted": F.col("_early").isNull() & F.col("_late").isNull(), "_before_signature": F.col("_early").isNull()}).drop("_early", "_late", "_passed", "_tags", "_raw")
 
 
 def _settled(left: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -107,8 +109,8 @@ def _grouped(left: DataFrame, names: list[str]) -> DataFrame:
     return materialize(left.join(components(edges).withColumnRenamed("a", "_o"), "_o", "left").select("_o", *names, F.coalesce("b", "_o").alias("_c")), "grouped")
 
 
-#: Rows that one task folds in place.
-IN_PLACE = 1_000_000
+#: Rows that one task folds in place, and how many times as many are taken in blocks without a look at components.
+IN_PLACE, BLOCKS = 1_000_000, 8
 
 
 def accept_first(df: DataFrame, order: str, keys: list[str], seen: DataFrame | None = None, in_place: int = IN_PLACE, rounds: int = 3) -> DataFrame:
@@ -117,8 +119,8 @@ def accept_first(df: DataFrame, order: str, keys: list[str], seen: DataFrame | N
 
     A few rounds of aggregates settle what does not hang on much. What is left is cut into connected components,
     found in a number of rounds that grows with the logarithm of a chain's length, and each is folded in place, in
-    order, by one task. Components of more rows than one task should fold are taken in blocks of that many rows in
-    order: within a block they are small, and what a block keeps takes its rows out of later blocks."""
+    order, by one task. What is left of a few times more than one task folds, or a component of more, is taken in blocks
+    of that many rows in order: one task folds a block, and what it keeps takes its rows out of later blocks."""
     names = [f"_k{i}" for i in range(len(keys))]
     own = df.select(F.col(order).alias("_o"), *[F.nullif(F.col(k).cast("string"), F.lit("")).alias(n) for k, n in zip(keys, names, strict=True)])
     if seen is not None:
@@ -131,7 +133,7 @@ def accept_first(df: DataFrame, order: str, keys: list[str], seen: DataFrame | N
             break
         new, left = _settled(left, names)
         kept.append(new)
-    if left.count() > in_place:
+    if left.count() > BLOCKS * in_place:
         grouped = _grouped(left, names)
         large = grouped.groupBy("_c").count().filter(F.col("count") > in_place).select("_c")
         kept.append(_in_place(grouped.join(large, "_c", "left_anti"), names))
@@ -140,7 +142,7 @@ def accept_first(df: DataFrame, order: str, keys: list[str], seen: DataFrame | N
         if n_left > in_place:
             end = left.approxQuantile("_o", [in_place / n_left], 1e-4)[0]
             block, later = left.filter(F.col("_o") <= end), left.filter(F.col("_o") > end)
-            kept.append(_in_place(_grouped(block, names), names))
+            kept.append(_in_place(block.withColumn("_c", F.lit(0).cast("long")), names))
             left = _unhit(later, kept[-1], names)
         else:
             kept.append(_in_place(left.withColumn("_c", F.lit(0).cast("long")), names))

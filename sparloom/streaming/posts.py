@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparloom.operators.curation import accept_first, cascade
+from sparloom.operators.shared import materialize
 from sparloom.streaming.keyed import FAN, KeyedTable
 
 KEYS = ["id", "signature"]
@@ -23,13 +24,14 @@ def accept_posts(path: str, order: str = "order", on_accept: Callable[[DataFrame
     """A foreachBatch consumer: the gates, then keep-first within the batch and against all that was kept before:
     ``existing`` rows, and those of earlier batches (one folder a batch, so a repeated batch replaces itself).
 
-    The keys of kept posts are state by key, beside ``path``: a batch asks for its own keys only, so its time does
+    The gates are applied once, by all tasks however few files a batch has, and what they say is written: the many steps
+    after them read it. The keys of kept posts are state by key, beside ``path``: a batch asks for its own keys only, so its time does
     not grow with what has been kept. ``keys``: what must not repeat, by default id and signature."""
     keys, state = keys or KEYS, KeyedTable(f"{path.rstrip('/')}_seen", ["kind", "value"], "first", fan)
 
     def consume(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        gated = cascade(batch).filter("accepted")
+        gated = materialize(cascade(batch.repartition(spark.sparkContext.defaultParallelism, order)), "gated").filter("accepted")
         asked = _keys_of(gated, keys, order)
         if number == 0:
             state.put(_keys_of(existing, keys, order) if existing is not None else asked.limit(0), 0)

@@ -106,3 +106,24 @@ def plan(df):
 
 def test_tags_are_split_once_a_row(spark, sf):
     assert "array_contains(array_distinct" not in plan(entry.queries()["key_tags"](spark, sf))
+
+
+def test_gates_are_applied_once(spark, tmp_path, monkeypatch):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from sparloom.streaming import posts
+
+    passed, gates = spark.sparkContext.accumulator(0), posts.cascade
+
+    @F.pandas_udf("string")
+    def counted(x: pd.Series) -> pd.Series:
+        passed.add(len(x))
+        return x
+
+    monkeypatch.setattr(posts, "cascade", lambda batch: gates(batch.withColumn("rating", counted("rating"))))
+    sized = [F.lit("900").alias(c) for c in ("sample_width", "sample_height", "width", "height")]
+    rows = spark.range(60).coalesce(1).select(F.floor(F.col("id") / 2).alias("id"), F.concat(F.lit("1girl solo multiple_views turnaround t"), F.col("id").cast("string")).alias("tags"), F.lit("safe").alias("rating"), *sized, *[F.lit("").alias(c) for c in ("source", "crawl_label", "raw_tags")], F.col("id").alias("order"))
+    posts.accept_posts(f"{tmp_path}/out")(rows, 0)
+    assert sorted(r.order for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(0, 60, 2))
+    assert passed.value == 60
