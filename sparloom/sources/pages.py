@@ -107,8 +107,14 @@ class PagedReader(DataSourceReader):
         return []
 
 
+#: Posts of a batch beyond which batches grow no more.
+BATCH_POSTS = 50_000
+
+
 class PagedStreamReader(SimpleDataSourceStreamReader):
-    """The offset is the next page to read; a batch is at most ``pages_per_batch`` pages."""
+    """The offset is the next page to read. The first batch is at most ``pages_per_batch`` pages; each batch that was
+    full may be followed by one of twice as many pages, until a batch brings ``BATCH_POSTS`` posts, so a listing of any
+    length takes about as many batches as it has times as many posts."""
 
     def __init__(self, options):
         self.pages = PagedReader(options)
@@ -118,13 +124,15 @@ class PagedStreamReader(SimpleDataSourceStreamReader):
         return {"page": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, page = [], start["page"]
-        while page < min(self.pages.cap(), start["page"] + self.per_batch):
+        rows, page, end = [], start["page"], start["page"] + self.per_batch
+        while page < min(self.pages.cap(), end) and len(rows) < BATCH_POSTS:
             found = list(self.pages.rows(page))
             if not found:
                 break
             rows += found
             page += 1
+        if page == end and 2 * len(rows) <= BATCH_POSTS:
+            self.per_batch *= 2
         return iter(rows), {"page": page}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:

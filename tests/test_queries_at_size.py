@@ -127,3 +127,18 @@ def test_gates_are_applied_once(spark, tmp_path, monkeypatch):
     posts.accept_posts(f"{tmp_path}/out")(rows, 0)
     assert sorted(r.order for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(0, 60, 2))
     assert passed.value == 60
+
+
+def test_batches_of_pages_grow(tmp_path, monkeypatch):
+    from sparloom.sources import pages
+
+    for page in range(101):
+        (tmp_path / f"{page}.json").write_text('[{"id": 1}, {"id": 2}]' if page < 100 else "[]")
+    monkeypatch.setattr(pages, "BATCH_POSTS", 40)
+    reader = pages.PagedStreamReader({"location": str(tmp_path), "fetcher": "sparloom.sources.pages:read_file", "pages_per_batch": "2"})
+    at, sizes = reader.initialOffset(), []
+    while (end := reader.read(at)[1]) != at:
+        assert len(list(reader.readBetweenOffsets(at, end))) == 2 * (end["page"] - at["page"])
+        sizes.append(end["page"] - at["page"])
+        at = end
+    assert sizes == [2, 4, 8, *[16] * 5, 6]
