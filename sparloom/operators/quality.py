@@ -18,6 +18,20 @@ def listed(codes: Codes) -> Column:
     return F.array_compact(F.array(*[F.when(c, t) for c, t in codes])) if codes else F.array().cast("array<string>")
 
 
+def joined(codes: Codes) -> Column:
+    """Semicolon list of the codes whose condition holds."""
+    return F.array_join(listed(codes), ";")
+
+
+def told(df: DataFrame, issues: list[Column], warnings: list[Column]) -> DataFrame:
+    """``df`` with qc_status, issues and warnings out of semicolon lists, in their order; a blank one says nothing.
+
+    What a row tells by itself is put together before it is joined and sorted, so that only its lists travel."""
+    line = lambda parts: F.concat_ws(";", *[F.nullif(p, F.lit("")) for p in parts])
+    out = df.withColumns({"issues": line(issues), "warnings": line(warnings)})
+    return out.withColumn("qc_status", F.when(F.col("issues") != "", "FAIL").when(F.col("warnings") != "", "WARN").otherwise("PASS"))
+
+
 def judged(df: DataFrame, issues: Codes, warnings: Codes) -> DataFrame:
     """``df`` with qc_status, issues and warnings (semicolon lists)."""
     out = df.withColumns({"_i": listed(issues), "_w": listed(warnings)})
@@ -81,22 +95,21 @@ def check_findings(df: DataFrame, samples: DataFrame | None = None) -> DataFrame
     """Report of visual findings."""
     if missing := missing_columns(df, V.FINDING_COLUMNS):
         return _file_level(df, missing)
-    d = _with_samples(df, samples)
-    unnamed = (_text(d, "feature_key") == "") & (_text(d, "human_rule_name") == "") & (_text(d, "element_name") == "")
-    category = _text(d, "category")
-    issues = [
-        *_missing(d, V.FINDING_COLUMNS),
-        code(unnamed, "missing_feature_key_or_human_rule_name_or_element_name"),
-        code(~F.col("_sample"), "unknown_sample_id"),
-        _outside(d, "view", V.VIEW_VALUES, True),
-        _outside(d, "issue_type", V.ISSUE_TYPES, True),
-        _outside(d, "severity", V.SEVERITIES, False),
-        _outside(d, "visible", V.OPTIONAL_VISIBLE, False),
-        _outside(d, "match_status", V.MATCH_STATUSES, False),
-        _repeat(d, ["sample_id", "finding_id"], "duplicate_finding_id_for_sample"),
+    unnamed = (_text(df, "feature_key") == "") & (_text(df, "human_rule_name") == "") & (_text(df, "element_name") == "")
+    filled = [*_missing(df, V.FINDING_COLUMNS), code(unnamed, "missing_feature_key_or_human_rule_name_or_element_name")]
+    values = [
+        _outside(df, "view", V.VIEW_VALUES, True),
+        _outside(df, "issue_type", V.ISSUE_TYPES, True),
+        _outside(df, "severity", V.SEVERITIES, False),
+        _outside(df, "visible", V.OPTIONAL_VISIBLE, False),
+        _outside(df, "match_status", V.MATCH_STATUSES, False),
     ]
-    warnings = [code((category != "") & (F.col("_category") != "") & (category != F.col("_category")), "category_mismatch_expected_", F.col("_category"))]
-    return _report(judged(d, issues, warnings), ["_file", "sample_id", "category", "finding_id"])
+    d = _with_samples(df.withColumns({"_filled": joined(filled), "_values": joined(values)}), samples)
+    category = _text(d, "category")
+    repeat = _repeat(d, ["sample_id", "finding_id"], "duplicate_finding_id_for_sample")
+    differs = code((category != "") & (F.col("_category") != "") & (category != F.col("_category")), "category_mismatch_expected_", F.col("_category"))
+    issues = [F.col("_filled"), joined([code(~F.col("_sample"), "unknown_sample_id")]), F.col("_values"), joined([repeat])]
+    return _report(told(d, issues, [joined([differs])]), ["_file", "sample_id", "category", "finding_id"])
 
 
 def view_codes(df: DataFrame, visible_statuses=V.STATUS_IF_VISIBLE, errors=V.ERROR_STATUSES, results=V.RESULTS, unsure_ok: bool = False) -> Codes:
@@ -124,32 +137,35 @@ def check_gold(df: DataFrame, samples: DataFrame | None = None, rules: DataFrame
     """Report of annotated rules with visibility and status by view."""
     if missing := missing_columns(df, V.GOLD_COLUMNS):
         return _file_level(df, missing)
-    d = _with_rules(df, samples, rules)
+    d = _with_rules(df.withColumns({"_filled": joined(_missing(df, V.GOLD_COLUMNS)), "_values": joined(view_codes(df))}), samples, rules)
     known, differs = _rule_codes(d)
-    issues = [*_missing(d, V.GOLD_COLUMNS), *known, *view_codes(d), _repeat(d, ["sample_id", "rule_id"], "duplicate_rule_id_for_sample")]
-    return _report(judged(d, issues, differs), ["_file", "sample_id", "category", "rule_id"])
+    repeat = _repeat(d, ["sample_id", "rule_id"], "duplicate_rule_id_for_sample")
+    return _report(told(d, [F.col("_filled"), joined(known), F.col("_values"), joined([repeat])], [joined(differs)]), ["_file", "sample_id", "category", "rule_id"])
 
 
 def check_audit(df: DataFrame, samples: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """Report of the audit of rules."""
     if missing := missing_columns(df, V.AUDIT_COLUMNS):
         return _file_level(df, missing)
-    d = _with_rules(df, samples, rules)
+    validity = _text(df, "rule_validity")
+    filled = _missing(df, ("sample_id", "category", "rule_id", "atomic_value", "rule_validity"))
+    values = [_outside(df, "rule_validity", V.RULE_VALIDITIES, True), code((validity == "wrong_value") & (_text(df, "corrected_value") == ""), "missing_corrected_value_for_wrong_value")]
+    reason = code((validity != "") & (validity != "correct") & (_text(df, "reason") == ""), "non_correct_without_reason")
+    d = _with_rules(df.withColumns({"_filled": joined(filled), "_values": joined(values), "_reason": joined([reason])}), samples, rules)
     known, differs = _rule_codes(d)
-    validity = _text(d, "rule_validity")
-    issues = [*_missing(d, ("sample_id", "category", "rule_id", "atomic_value", "rule_validity")), *known, _outside(d, "rule_validity", V.RULE_VALIDITIES, True), code((validity == "wrong_value") & (_text(d, "corrected_value") == ""), "missing_corrected_value_for_wrong_value"), _repeat(d, ["sample_id", "rule_id"], "duplicate_rule_id_for_sample")]
-    warnings = [*differs, code((validity != "") & (validity != "correct") & (_text(d, "reason") == ""), "non_correct_without_reason")]
-    return _report(judged(d, issues, warnings), ["_file", "sample_id", "category", "rule_id"])
+    repeat = _repeat(d, ["sample_id", "rule_id"], "duplicate_rule_id_for_sample")
+    return _report(told(d, [F.col("_filled"), joined(known), F.col("_values"), joined([repeat])], [joined(differs), F.col("_reason")]), ["_file", "sample_id", "category", "rule_id"])
 
 
 def check_legacy(df: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Report of the older sheets with TRUE or FALSE by view; ``rules``: known (sample_id, rule_id)."""
-    d = _with_rules(df, None, rules)
-    outside = [code((_text(d, c) != "") & ~_text(d, c).isin("TRUE", "FALSE"), f"invalid_{c}:", _text(d, c)) for c in V.VIEWS]
-    result = _text(d, "result")
-    issues = [*_missing(d, ("sample_id", "rule_id", "value", *V.VIEWS, "result")), *outside, code((result != "") & ~result.isin(*V.RESULTS), "invalid_result:", result)]
-    warnings = [code((result == "wrong") & (_text(d, "reason") == ""), "wrong_without_reason"), code(F.col("_has_rules") & ~F.col("_known"), "rule_id_not_in_atomic_rules")]
-    return judged(d, issues, warnings).drop("_sample", "_category", "_has_rules", "_known", "_value")
+    outside = [code((_text(df, c) != "") & ~_text(df, c).isin("TRUE", "FALSE"), f"invalid_{c}:", _text(df, c)) for c in V.VIEWS]
+    result = _text(df, "result")
+    values = [*_missing(df, ("sample_id", "rule_id", "value", *V.VIEWS, "result")), *outside, code((result != "") & ~result.isin(*V.RESULTS), "invalid_result:", result)]
+    reason = code((result == "wrong") & (_text(df, "reason") == ""), "wrong_without_reason")
+    d = _with_rules(df.withColumns({"_values": joined(values), "_reason": joined([reason])}), None, rules)
+    unknown = code(F.col("_has_rules") & ~F.col("_known"), "rule_id_not_in_atomic_rules")
+    return told(d, [F.col("_values")], [F.col("_reason"), joined([unknown])]).drop("_values", "_reason", "_sample", "_category", "_has_rules", "_known", "_value")
 
 
 def check_views(df: DataFrame, rules: DataFrame | None = None) -> DataFrame:

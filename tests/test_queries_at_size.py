@@ -142,3 +142,15 @@ def test_batches_of_pages_grow(tmp_path, monkeypatch):
         sizes.append(end["page"] - at["page"])
         at = end
     assert sizes == [2, 4, 8, *[16] * 5, 6]
+
+
+def test_checked_rows_are_shuffled_narrow(spark, sf):
+    """Above the joins stand lists of codes, not the columns they were made of; places take no second shuffle."""
+    from pyspark.sql import functions as F
+
+    from sparloom.operators import basics
+
+    for name, own in (("gold_row_checks", "front_visible"), ("audit_row_checks", "corrected_value"), ("finding_row_checks", "match_status"), ("legacy_checks_by_sample", "reason")):
+        above = plan(entry.queries()[name](spark, sf)).split("Join LeftOuter")[0]
+        assert f"{own}#" not in above, name
+    assert "windowspecdefinition(_part" not in plan(basics.global_place(spark.range(9), [F.col("id")]))
