@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 
 from sparloom import vocabulary as V
 from sparloom.functions.colors import color_families, tolerated
-from sparloom.functions.text import stripped
+from sparloom.functions.text import let, stripped
 
 
 def downgraded(elements: DataFrame) -> DataFrame:
     """Elements (sample_id, element_id, position, name, expected_value, verdict, issue_type, reason, evidence) with
     verdict and issue_type after the colour rule, and a struct of what was there before where it applied.
-    Colours come from reason and evidence; if these name fewer than two, from all texts."""
+    Colours come from reason and evidence; if these name fewer than two, from all texts. Only verdicts that the rule
+    may change are searched for colours."""
     t = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     said = F.concat_ws(" ", t("reason"), t("evidence"))
-    d = elements.withColumns({"_f": color_families(said), "_all": color_families(F.concat_ws(" ", t("name"), t("expected_value"), said))})
-    shades = F.when(F.size("_f") < 2, F.col("_all")).otherwise(F.col("_f"))
     asked = (F.lower(stripped(t("verdict"))) == "wrong") & (F.lower(stripped(t("issue_type"))) == "color")
-    d = d.withColumns({"_s": shades, "_down": asked & tolerated(shades)})
+    shades = let(color_families(said), lambda f: F.when(F.size(f) < 2, color_families(F.concat_ws(" ", t("name"), t("expected_value"), said))).otherwise(f))
+    d = elements.withColumn("_s", F.when(asked, shades))
+    d = d.withColumn("_down", F.coalesce(let(F.col("_s"), tolerated), F.lit(False)))
     note = F.struct(F.lit(True).alias("color_family_downgraded"), F.lit(V.COLOR_RULE).alias("rule"), F.col("_s").alias("matched_color_families"), F.col("verdict").alias("original_verdict"), F.col("issue_type").alias("original_issue_type"))
-    return d.withColumn("postprocess", F.when(F.col("_down"), note)).withColumns({"verdict": F.when(F.col("_down"), "correct").otherwise(F.col("verdict")), "issue_type": F.when(~F.col("_down"), F.col("issue_type"))}).drop("_f", "_all", "_s", "_down")
+    return d.withColumn("postprocess", F.when(F.col("_down"), note)).withColumns({"verdict": F.when(F.col("_down"), "correct").otherwise(F.col("verdict")), "issue_type": F.when(~F.col("_down"), F.col("issue_type"))}).drop("_s", "_down")
 
 
 def verdict_counts(elements: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -32,7 +33,8 @@ def verdict_counts(elements: DataFrame, by: list[str] | None = None) -> DataFram
 def issue_counts(elements: DataFrame) -> DataFrame:
     """Wrong elements by issue; without one, null as text."""
     issue = F.coalesce(F.nullif(F.col("issue_type"), F.lit("")), F.lit("null"))
-    return elements.filter("verdict = 'wrong'").groupBy(issue.alias("issue_type")).agg(F.count("*").alias("n")).orderBy("issue_type")
+    wrong = F.count_if(F.col("verdict") == "wrong")  # counted, not filtered: a filter would be worked out apart from the columns
+    return elements.groupBy(issue.alias("issue_type")).agg(wrong.alias("n")).filter("n > 0").orderBy("issue_type")
 
 
 def target_id(sample: Column, index: Column) -> Column:

@@ -154,3 +154,8 @@ def test_checked_rows_are_shuffled_narrow(spark, sf):
         above = plan(entry.queries()[name](spark, sf)).split("Join LeftOuter")[0]
         assert f"{own}#" not in above, name
     assert "windowspecdefinition(_part" not in plan(basics.global_place(spark.range(9), [F.col("id")]))
+
+
+def test_colours_are_sought_once_and_where_asked(spark, sf):
+    text = plan(entry.queries()["wrong_by_issue"](spark, sf))
+    assert "overlay(" in text and not any("overlay(" in line for line in text.split("\n") if "Filter" in line)
