@@ -4,9 +4,10 @@ any store that Spark reads will do; a workbook is one row and must fit in memory
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -21,6 +22,10 @@ MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
+#: Rows of a sheet that are Python objects at once.
+AT_ONCE = 5_000
+
+
 def column_index(reference: str) -> int:
     """Zero-based column of a cell reference."""
     n = 0
@@ -39,6 +44,11 @@ def column_letters(index: int) -> str:
 
 def parse(content: bytes) -> list[list[str]]:
     """Cells of the first sheet as text; rows are padded to their last cell."""
+    return list(parsed_rows(content))
+
+
+def parsed_rows(content: bytes) -> Iterator[list[str]]:
+    """The rows of ``parse`` one after the other: the sheet is read as a stream, and a row's nodes are dropped with it."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         text = lambda node: "".join(t.text or "" for t in node.iter(f"{MAIN}t"))
@@ -50,23 +60,29 @@ def parse(content: bytes) -> list[list[str]]:
             target = targets.get(first.get(f"{REL}id")) if first is not None else None
             if target:
                 sheet = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-        rows = []
-        for row in ElementTree.fromstring(z.read(sheet)).iter(f"{MAIN}row"):
+        opened: list = []
+        for event, row in ElementTree.iterparse(z.open(sheet), ("start", "end")):
+            if event == "start":
+                opened.append(row)
+                continue
+            opened.pop()
+            if row.tag != f"{MAIN}row":
+                continue
             cells: dict[int, str] = {}
             for k, c in enumerate(row.iter(f"{MAIN}c")):
                 at = column_index(c.get("r")) if c.get("r") else k
                 value = c.find(f"{MAIN}v")
                 raw = value.text or "" if value is not None else ""
                 cells[at] = text(c) if c.get("t") == "inlineStr" else shared[int(raw)] if c.get("t") == "s" and raw else raw
-            rows.append([cells.get(k, "") for k in range(max(cells, default=-1) + 1)])
-        return rows
+            yield [cells.get(k, "") for k in range(max(cells, default=-1) + 1)]
+            if opened:
+                opened[-1].remove(row)
 
 
-def build(rows: list[list[str]], choices: dict[int, list[str]] | None = None) -> bytes:
-    """A workbook of one sheet with a bold first row; ``choices``: allowed values by column, as drop-down lists."""
+def build(rows: Iterable[list[str]], choices: dict[int, list[str]] | None = None) -> bytes:
+    """A workbook of one sheet, written row by row, with a bold first row; ``choices``: allowed values by column, as drop-down lists."""
     cell = lambda r, c, v: f'<c r="{column_letters(c)}{r}" t="inlineStr"{" s=\"1\"" if r == 1 else ""}><is><t xml:space="preserve">{escape(v)}</t></is></c>'
-    body = "".join(f'<row r="{r}">' + "".join(cell(r, c, v) for c, v in enumerate(row)) + "</row>" for r, row in enumerate(rows, 1))
-    lists = "".join(f'<dataValidation type="list" allowBlank="1" sqref="{column_letters(c)}2:{column_letters(c)}{max(2, len(rows))}"><formula1>"{escape(",".join(v))}"</formula1></dataValidation>' for c, v in sorted((choices or {}).items()))
+    body = (f'<row r="{r}">' + "".join(cell(r, c, v) for c, v in enumerate(row)) + "</row>" for r, row in enumerate(rows, 1))
     ns = MAIN[1:-1]
     files = {
         "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/></Types>',
@@ -74,20 +90,30 @@ def build(rows: list[list[str]], choices: dict[int, list[str]] | None = None) ->
         "xl/workbook.xml": f'<workbook xmlns="{ns}" xmlns:r="{REL[1:-1]}"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" Target="styles.xml"/></Relationships>',
         "xl/styles.xml": f'<styleSheet xmlns="{ns}"><fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellXfs count="2"><xf/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>',
-        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{ns}"><sheetData>{body}</sheetData>' + (f'<dataValidations count="{len(choices)}">{lists}</dataValidations>' if choices else "") + "</worksheet>",
     }
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, data in files.items():
-            z.writestr(zipfile.ZipInfo(name, (2000, 1, 1, 0, 0, 0)), '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + data)
+            z.writestr(zipfile.ZipInfo(name, (2000, 1, 1, 0, 0, 0)), head + data)
+        n, info = 0, zipfile.ZipInfo("xl/worksheets/sheet1.xml", (2000, 1, 1, 0, 0, 0))
+        info.compress_type = zipfile.ZIP_DEFLATED
+        with z.open(info, "w") as f:
+            f.write(f'{head}<worksheet xmlns="{ns}"><sheetData>'.encode())
+            for n, line in enumerate(body, 1):  # noqa: B007
+                f.write(line.encode())
+            lists = "".join(f'<dataValidation type="list" allowBlank="1" sqref="{column_letters(c)}2:{column_letters(c)}{max(2, n)}"><formula1>"{escape(",".join(v))}"</formula1></dataValidation>' for c, v in sorted((choices or {}).items()))
+            f.write(("</sheetData>" + (f'<dataValidations count="{len(choices)}">{lists}</dataValidations>' if choices else "") + "</worksheet>").encode())
     return out.getvalue()
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            rows = parse(content)
-            yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array(range(1, len(rows) + 1), pa.int32()), pa.array(rows, pa.list_(pa.string()))], names=["path", "source_row", "cells"])
+        for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+            first = 1
+            for rows in itertools.batched(parsed_rows(content.as_py()), AT_ONCE):
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * len(rows), pa.string()), pa.array(range(first, first + len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))], names=["path", "source_row", "cells"])
+                first += len(rows)
 
 
 def read_cells(spark: SparkSession, root: str) -> DataFrame:
@@ -137,8 +163,9 @@ def to_workbooks(df: DataFrame, keys: list[str], columns: list[str], order: list
     listed = {columns.index(c): v for c, v in (choices or {}).items()}
 
     def sheet(key: tuple, table: pa.Table) -> pa.Table:
-        rows = table.sort_by([(c, "ascending") for c in order]).select(columns).to_pylist()
-        content = build([columns, *[[str(r[c] if r[c] is not None else "") for c in columns] for r in rows]], listed)
+        parts = table.sort_by([(c, "ascending") for c in order]).select(columns).to_batches(max_chunksize=AT_ONCE)
+        rows = ([str(v if v is not None else "") for v in row] for part in parts for row in zip(*[c.to_pylist() for c in part.columns], strict=True))
+        content = build(itertools.chain([columns], rows), listed)
         return pa.table({**{k: pa.array([v.as_py() if hasattr(v, "as_py") else v]) for k, v in zip(keys, key, strict=True)}, "content": pa.array([content], pa.binary())})
 
     schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", content binary"

@@ -159,3 +159,13 @@ def test_checked_rows_are_shuffled_narrow(spark, sf):
 def test_colours_are_sought_once_and_where_asked(spark, sf):
     text = plan(entry.queries()["wrong_by_issue"](spark, sf))
     assert "overlay(" in text and not any("overlay(" in line for line in text.split("\n") if "Filter" in line)
+
+
+def test_workbooks_are_read_and_written_row_by_row():
+    from sparloom.sources import workbooks
+
+    rows = [["a", "b"], *[[f"<{k}>", "" if k % 3 else "é"] for k in range(3000)]]
+    left = iter(rows)
+    content = workbooks.build(left, {1: ["x"]})
+    assert workbooks.parse(content) == rows and len(content) < 100_000
+    assert next(workbooks.parsed_rows(content)) == ["a", "b"]
