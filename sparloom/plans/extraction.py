@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.functions.parsing import confidence_label, element_category, lenient_json, variant_items, variant_text
-from sparloom.functions.text import first_filled, stripped
+from sparloom.functions.parsing import confidence_label, element_category, lenient_json, variant_items
+from sparloom.functions.text import first_filled, stripped, trimmed
 
 
 def features_text(v: Column) -> Column:
@@ -37,21 +37,26 @@ def nesting(v: Column) -> Column:
     return F.when(brackets == "", 0).otherwise(F.aggregate(F.filter(F.split(brackets, ""), lambda c: c != ""), start, step)["most"])
 
 
+# What is read of an item of a list, by one cast of the list.
+LOOKS = ("color", "material", "shape", "location")
+ITEM = f"struct<name:string,value:string,description:string,category:string,attributes:struct<{','.join(f'{a}:string' for a in LOOKS)}>,confidence:string>"
+
+
 def elements(answers: DataFrame, text: str = "answer", sample: str = "sample_id") -> DataFrame:
     """(sample, element_id, name, value, category, color, material, shape, location, confidence) out of answers:
     the first list among elements, extracted_elements and atomic_rules, else the identity features, nested to any
     depth. Ids count every item of the list, also those that are left out for want of a name and a value."""
-    features = F.try_variant_get("v", "$.identity_features", "map<string,variant>")
-    listed = F.coalesce(*[F.try_variant_get("v", p, "array<variant>") for p in ("$.elements", "$.extracted_elements", "$.atomic_rules")])
-    entries = F.coalesce(F.transform(listed, lambda e: F.struct(F.lit(None).cast("string").alias("key"), e.alias("value"))), F.transform(F.map_entries(features), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
-    items = answers.select(sample, lenient_json(F.col(text)).alias("v")).select(sample, F.posexplode(entries).alias("k", "e")).select(sample, "k", F.col("e.key").alias("key"), F.col("e.value").alias("e"))
-    is_item = F.col("key").isNull()
-    get = lambda p: variant_text(F.col("e"), p)
-    plain = lambda c: stripped(F.coalesce(c, F.lit("")))
-    of_item = lambda c, other="": F.when(is_item, c).otherwise(F.lit(other))
-    value = F.when(is_item, plain(F.coalesce(get("$.value"), get("$.description")))).otherwise(features_text(F.col("e")))
-    rows = items.select(sample, "k", F.when(is_item, plain(get("$.name"))).otherwise(F.col("key")).alias("n"), value.alias("x"), of_item(element_category(get("$.category")), "other").alias("category"), *[of_item(plain(get(f"$.attributes.{a}"))).alias(a) for a in ("color", "material", "shape", "location")], of_item(confidence_label(get("$.confidence")), "medium").alias("confidence"))
-    return rows.filter("n <> '' or x <> ''").select(sample, F.format_string("%s_e%03d", F.col(sample), F.col("k") + 1).alias("element_id"), first_filled(F.col("n"), F.substring("x", 1, 20)).alias("name"), first_filled(F.col("x"), F.col("n")).alias("value"), "category", "color", "material", "shape", "location", "confidence")
+    plain = lambda *c: trimmed(F.coalesce(*c, F.lit("")))
+    told = lambda n, x, category, confidence, look: F.struct(n.alias("n"), x.alias("x"), category.alias("category"), confidence.alias("confidence"), *[look(a).alias(a) for a in LOOKS])
+    of_item = lambda x: told(plain(x["name"]), plain(x["value"], x["description"]), x["category"], x["confidence"], lambda a: plain(x["attributes"][a]))
+    of_feature = lambda x: told(x["key"], features_text(x["value"]), F.lit("other"), F.lit("medium"), lambda a: F.lit(""))
+    listed = F.coalesce(*[F.try_variant_get("v", p, f"array<{ITEM}>") for p in ("$.elements", "$.extracted_elements", "$.atomic_rules")])
+    features = F.map_entries(F.try_variant_get("v", "$.identity_features", "map<string,variant>"))
+    entries = F.coalesce(F.transform(listed, of_item), F.transform(features, of_feature))
+    rows = answers.select(sample, lenient_json(F.col(text)).alias("v")).select(sample, F.posexplode(entries).alias("k", "e")).select(sample, "k", "e.*").filter("n <> '' or x <> ''")
+    number = (F.col("k") + 1).cast("string")
+    element_id = F.concat(F.coalesce(F.col(sample).cast("string"), F.lit("null")), F.lit("_e"), F.when(F.col("k") < 999, F.lpad(number, 3, "0")).otherwise(number))
+    return rows.select(sample, element_id.alias("element_id"), first_filled(F.col("n"), F.substring("x", 1, 20)).alias("name"), first_filled(F.col("x"), F.col("n")).alias("value"), element_category(F.col("category")).alias("category"), *LOOKS, confidence_label(F.col("confidence")).alias("confidence"))
 
 
 def as_rules(found: DataFrame, sample: str = "sample_id") -> DataFrame:
