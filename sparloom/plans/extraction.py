@@ -61,7 +61,7 @@ def elements(answers: DataFrame, text: str = "answer", sample: str = "sample_id"
 
 def as_rules(found: DataFrame, sample: str = "sample_id") -> DataFrame:
     """Elements as rules; those without an id or a value are left out."""
-    return found.select(sample, stripped("element_id").alias("rule_id"), stripped("value").alias("value")).filter("rule_id <> '' and value <> ''")
+    return found.select(sample, trimmed("element_id").alias("rule_id"), trimmed("value").alias("value")).filter("rule_id <> '' and value <> ''")
 
 
 def answer_items(text: Column, *paths: str) -> Column:
