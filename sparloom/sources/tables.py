@@ -38,23 +38,28 @@ def read_csv(spark: SparkSession, path: str | None, columns=None, trimmed: bool
     return raw.select(*[cell(F.col(f"`{c}`")).alias(c) for c in raw.columns if c not in ("_file", "_row")], "_file", "_row")
 
 
+# Lines of a range that are looked at together, at most.
+PIECE = 1_000
+
+
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
-    """(_file, _row, record) of CSV files, in splits: lines are read by byte ranges; quotes before a range, summed over
-    the ranges before it, tell whether it begins inside a cell; lines up to the next one that begins outside belong
-    together, across ranges too. Only records of several lines are shuffled by record. _row is the number of the
-    record's first line in its range, plus the range's first byte, so it grows within a file."""
-    block = ["_file", "_block"]
+    """(_file, _row, record) of CSV files, in splits: lines are read by byte ranges, and these are cut into pieces of
+    ``PIECE`` lines, so that no task holds a range; quotes before a piece, summed over the pieces before it, tell whether
+    it begins inside a cell; lines up to the next one that begins outside belong together, across pieces and ranges too.
+    Only records of several lines are shuffled by record. _row is the number of the record's first line in its range,
+    plus the range's first byte, so it grows within a file."""
+    piece = ["_file", "_block", "_piece"]
     lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
-    lines = lines.withColumn("_quotes", F.length("value") - F.length(F.replace("value", F.lit('"'))))
-    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    open_at = lines.groupBy(*block).agg(F.sum("_quotes").alias("n")).select(*block, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*block).orderBy("_id")
-    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    placed = lines.join(open_at, block).select(*block, "value", (F.col("_block") + F.row_number().over(inside) - 1).alias("_row"), ((F.col("_before") + F.coalesce(F.sum("_quotes").over(earlier), F.lit(0))) % 2 == 0).alias("_first"), "_quotes")
-    by_row = Window.partitionBy(*block).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("_of", F.max(F.when(F.col("_first"), F.col("_row"))).over(by_row))
-    carried = placed.groupBy(*block).agg(F.max("_of").alias("n")).select(*block, F.max("n").over(before).alias("_carried"))
-    placed = placed.join(carried, block).withColumn("_of", F.coalesce("_of", "_carried"))
+    lines = lines.withColumns({"_quotes": F.length("value") - F.length(F.replace("value", F.lit('"'))), "_piece": F.floor(F.col("_id") / PIECE)})
+    earlier = Window.partitionBy("_file").orderBy("_block", "_piece").rowsBetween(Window.unboundedPreceding, -1)
+    in_range = Window.partitionBy("_file", "_block")
+    open_at = lines.groupBy(*piece).agg(F.sum("_quotes").alias("n"), F.min("_id").alias("first")).select(*piece, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"), (F.col("_block") - F.min("first").over(in_range)).alias("_shift"))
+    inside = Window.partitionBy(*piece).orderBy("_id")
+    so_far = F.coalesce(F.sum("_quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.join(open_at, piece).select(*piece, "_id", "value", (F.col("_id") + F.col("_shift")).alias("_row"), ((F.col("_before") + so_far) % 2 == 0).alias("_first"), "_quotes")
+    placed = placed.withColumn("_of", F.max(F.when(F.col("_first"), F.col("_row"))).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    carried = placed.groupBy(*piece).agg(F.max("_of").alias("n")).select(*piece, F.max("n").over(earlier).alias("_carried"))
+    placed = placed.join(carried, piece).withColumn("_of", F.coalesce("_of", "_carried"))
     single = F.col("_first") & (F.col("_quotes") % 2 == 0)
     of_one = placed.filter(single).select("_file", "_row", F.col("value").alias("record"))
     parts = F.array_sort(F.collect_list(F.struct("_row", "value")))
