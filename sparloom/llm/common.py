@@ -64,6 +64,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` for joins that shuffle both sides. Spark sizes an exploded table by its rows before the explode, and a
+    read one by its compressed files, so tables that grow with the input may pass for small ones and be broadcast."""
+    return df.hint("merge")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is evaluated once per row, also where lambdas use it many times."""
     return F.transform(F.array(value), body)[0]

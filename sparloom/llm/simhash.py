@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparloom.llm import similar_sets
-from sparloom.llm.common import fresh_name, materialize, without_keys
+from sparloom.llm.common import by_shuffle, fresh_name, materialize, without_keys
 from sparloom.llm.components import components
 
 SHINGLE = 3
@@ -97,7 +97,7 @@ def link(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     tasks = max(fps.sparkSession.sparkContext.defaultParallelism, fps.count() * 64 * 24 // KEY_BYTES + 1)
     keyed = fps.repartition(tasks).select("fp", F.explode(_variants()).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("fp").alias("rep"), F.max("fp").alias("top")).filter("rep <> top").drop("top")
-    met = materialize(keyed.join(shared, "key"), "simhash-buckets")
+    met = materialize(keyed.join(by_shuffle(shared), "key"), "simhash-buckets")
     ties = met.filter((F.col("fp") != F.col("rep")) & (_apart("fp", "rep") <= max_bits)).select(F.col("fp").alias("a"), F.col("rep").alias("b"))
     first = components(ties)
     labelled = met.select("key", "fp").join(first, F.col("fp") == F.col("a"), "left").select("key", "fp", F.coalesce("b", "fp").alias("c"))
@@ -113,7 +113,7 @@ def link(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     segment = F.when(at < SEGMENT_BITS, differ.bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))).otherwise(F.shiftrightunsigned(differ, SEGMENT_BITS))
     earlier = reduce(lambda a, k: a | ((F.col("part") > k) & (byte(other(differ), k) == 0)), range(SEGMENT_BITS // 8 - 1), F.lit(False))
     meets_here = ((segment != 0) | (at % SEGMENT_BITS == 0)) & ~earlier
-    more = left.join(right, ["key", "part", "byte"]).filter((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (F.bit_count(differ) <= max_bits) & meets_here)
+    more = left.join(by_shuffle(right), ["key", "part", "byte"]).filter((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (F.bit_count(differ) <= max_bits) & meets_here)
     second = components(more.select(F.col("cx").alias("a"), F.col("cy").alias("b")))
     moved = first.join(second.select(F.col("a").alias("b"), F.col("b").alias("root")), "b", "left").select("a", F.coalesce("root", "b").alias("b"))
     return moved.union(second.select("a", "b")).distinct()
