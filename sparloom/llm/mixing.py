@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import fresh_name, materialize, words
+from sparloom.llm.common import by_shuffle, fresh_name, materialize, words
 from sparloom.operators.basics import global_place
 
 WEIGHTS = (1, 2, 3)
@@ -67,11 +67,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         level = counts.groupBy(*groups[:depth]).agg(F.sum("n").alias("n"))
         before = Window.partitionBy(*groups[: depth - 1]).orderBy(groups[depth - 1]).rowsBetween(Window.unboundedPreceding, -1)
         level = level.select(*groups[:depth], F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-        start = start.join(level, groups[:depth]).select(*groups, (F.col("start") + F.col("before")).alias("start"))
+        # the lower levels have nearly a row a document, the first one a row a class
+        start = start.join(by_shuffle(level) if depth > 2 else level, groups[:depth]).select(*groups, (F.col("start") + F.col("before")).alias("start"))
     start = start.drop("half")
     targets = source_targets(sized.select("key", "size"), weights, cap)
     place = F.row_number().over(Window.partitionBy("key", "class", "salt").orderBy("h", "size", "doc_id"))
-    placed = keyed.withColumn("place", place).join(start, ["key", "class", "salt"]).join(targets, "key")
+    placed = keyed.withColumn("place", place).join(by_shuffle(start), ["key", "class", "salt"]).join(targets, "key")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.col("key"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     upto = lambda k: F.floor(offset + share * k.cast("double"))

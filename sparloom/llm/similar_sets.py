@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparloom.llm import tokens
-from sparloom.llm.common import hashed_share, materialize, with_keys
+from sparloom.llm.common import by_shuffle, hashed_share, materialize, with_keys
 from sparloom.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -155,7 +155,8 @@ def texts_of(pairs: DataFrame, own: DataFrame) -> DataFrame:
 def links_by_texts(pairs: DataFrame, own: DataFrame, size: int, similarity: float) -> DataFrame:
     """(x, y) of the pairs (x, y, x_th, y_th, x_n, y_n) that are similar enough, from both texts side by side."""
     texts = texts_of(pairs, own)
-    both = pairs.join(texts.select(F.col("th").alias("x_th"), F.col("text").alias("x_text")), "x_th").join(texts.select(F.col("th").alias("y_th"), F.col("text").alias("y_text")), "y_th")
+    side = lambda name: by_shuffle(texts.select(F.col("th").alias(f"{name}_th"), F.col("text").alias(f"{name}_text")))
+    both = pairs.join(side("x"), "x_th").join(side("y"), "y_th")
     return both.select("x", "y", "x_text", "y_text").mapInArrow(lambda it: _verified(it, size, similarity), "x bigint, y bigint")
 
 
@@ -204,7 +205,7 @@ def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY,
     mixed = labelled.groupBy("at").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("at")
     rest = materialize(labelled.join(mixed, "at").join(known.select("set", "n", "slots"), "set"), "sets-rest")
     half = lambda name: rest.select("at", *[F.col(c).alias(a) for c, a in (("set", name), ("c", f"{name}_c"), ("n", f"{name}_n"), ("slots", f"{name}_slots"))])
-    more = half("x").join(half("y"), "at").filter("x < y and x_c <> y_c").filter(_possible(similarity))
+    more = half("x").join(by_shuffle(half("y")), "at").filter("x < y and x_c <> y_c").filter(_possible(similarity))
     root = lambda name: labelled.select(F.col("set").alias(name), F.col("c").alias(f"{name}_c")).distinct()
     met_later = verified(more).join(root("x"), "x").join(root("y"), "y")
     second = components(met_later.select(F.col("x_c").alias("a"), F.col("y_c").alias("b")))

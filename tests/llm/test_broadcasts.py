@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sparloom.llm import components, simhash
+from sparloom.llm import components, mixing, similar_sets, simhash
 
 
 def sent(plan):
@@ -34,3 +34,20 @@ def test_exploded_keys_of_fingerprints_are_shuffled(spark, monkeypatch):
     assert [roots.get(x) for x in near] == [None, 0, 0, 0, 0]
     assert any("Generate" in plan for label, plan in plans if label == "simhash-buckets") and any("Generate" in plan for label, plan in plans if label == "edges")
     assert not [label for label, plan in plans for tree in sent(plan) if "Generate" in tree]
+
+
+def test_buckets_and_texts_are_shuffled(spark, monkeypatch):
+    w = [f"w{k}" for k in range(300)]
+    texts = [" ".join(w[8 * k : 8 * k + 100]) for k in range(12)]
+    plans = watch(monkeypatch, similar_sets)
+    docs = spark.createDataFrame([(str(k), k, t) for k, t in enumerate(texts)], "key string, doc_id long, text string")
+    assert len({r.root for r in similar_sets.groups(docs).collect()}) == 1
+    found = {label: plan for label, plan in plans if label in ("sets-pairs", "sets-links")}
+    assert not [tree for tree in sent(found["sets-pairs"]) if "y_c#" in tree.split("\n")[1]]
+    assert not [tree for tree in sent(found["sets-links"]) if "_text#" in tree.split("\n")[1]]
+
+
+def test_places_of_salts_are_shuffled(spark):
+    docs = spark.createDataFrame([(k, "some words " * (k % 7), f"s{k % 3}") for k in range(40)], "doc_id long, text string, source string")
+    trees = sent(mixing.mix(docs)._jdf.queryExecution().executedPlan().toString())
+    assert trees and not [tree for tree in trees if "salt#" in tree.split("\n")[0] + tree.split("\n")[1]]
